@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, embedding_dedup, line_dedup, url_filter
+from folioscope.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, url_filter
 
 _QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup,
     "op2_line_dedup": line_dedup,
     "op3_benchmark_decontamination": decontaminate,
     "op4_url_filter": url_filter,
+    "op7_minhash_near_dedup": minhash_dedup,
 }
 
 
