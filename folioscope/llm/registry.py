@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, embedding_dedup, line_dedup, minhash_dedup, url_filter
+from folioscope.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, toxicity, url_filter
 
 _QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup,
     "op2_line_dedup": line_dedup,
     "op3_benchmark_decontamination": decontaminate,
     "op4_url_filter": url_filter,
+    "op5_toxicity": toxicity,
+    "op6_language_id": language_id,
     "op7_minhash_near_dedup": minhash_dedup,
 }
 
