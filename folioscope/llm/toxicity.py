@@ -33,7 +33,7 @@ CUTOFF = 0.5
 BITS = 20
 #: Distances of the two words of a pair: neighbours and skip-grams.
 GAPS = (1, 2, 3)
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.1, 1.0, 0.5, 1.0
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 4.0, 0.0
 
 _MASK = np.uint64((1 << BITS) - 1)
 
