@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, quality, toxicity, url_filter
+from folioscope.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, packing, quality, toxicity, url_filter, warc_zip
 
 _QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup,
@@ -16,6 +16,8 @@ _QUERIES = {
     "op5_toxicity": toxicity,
     "op6_language_id": language_id,
     "op7_minhash_near_dedup": minhash_dedup,
+    "op8_best_fit_packing": packing,
+    "op9_warc_zip": warc_zip,
     "op10_quality_classifier": quality,
 }
 
