@@ -1,7 +1,8 @@
 """Benchmark decontamination by a positional inverted index over the training text.
 
 The index holds a posting (document, position) for every occurrence of a benchmark term in
-the documents, written once, each partition's lists sorted by term.  A test window is found
+the documents, written once, each partition's lists sorted by term.  Terms are pairs of
+neighbouring words (a nextword index), whose lists are far shorter than those of words.  A test window is found
 by starting from the list of its rarest term, moved back by the term's offset, and
 intersecting it with the moved lists of its other terms: a start at which every term of the
 window has its posting is an exact phrase match.  ``proximity_matches`` uses the same lists
@@ -49,24 +50,41 @@ def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return listed.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, width))).alias("window")).distinct()
 
 
+def pairs(words: Column) -> Column:
+    """(offset, a, b) for each two neighbours of an array of words; (0, word, null) for a single one."""
+    return F.when(F.size(words) == 1, F.array(F.struct(F.lit(0).alias("offset"), words[0].alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.struct(i.alias("offset"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b")))
+    )
+
+
 class PositionalIndex:
-    """Postings of ``terms`` in ``docs`` (doc_id, text).
+    """Postings in ``docs`` (doc_id, text) of the terms of ``windows`` (arrays of words).
 
-    terms: term, term_id.  postings: doc_id, doc_hash, term_id, pos; the posting of term 0
+    A term is a pair of neighbouring words; a window of one word has that word as its term.
+    terms: term_id, a, b.  postings: doc_id, doc_hash, term_id, pos; the posting of term 0
     stands behind a document's last word, so that it holds the number of its words.
     """
 
-    def __init__(self, docs: DataFrame, terms: DataFrame):
+    def __init__(self, docs: DataFrame, windows: DataFrame):
         spark = docs.sparkSession
-        numbered = terms.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id() + 1)
-        end = spark.createDataFrame([("", 0)], "term string, term_id long")
+        found = windows.select(F.explode(pairs(F.col("window"))).alias("t")).select("t.a", "t.b").distinct()
+        end = spark.createDataFrame([(0, "", "")], "term_id long, a string, b string")
+        numbered = found.select((F.monotonically_increasing_id() + 1).alias("term_id"), "a", "b")
         self.terms = cut(numbered.unionByName(end), "terms")
+        keyed = small(self.terms.withColumn("key", F.xxhash64("a", F.col("b"), F.col("b").isNull())), 128)
+
         listed = F.concat(words(F.col("text")), F.array(F.lit("")))
-        posted = (
-            docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), F.posexplode(listed).alias("pos", "term"))
-            .join(small(self.terms, 96), "term")
-            .select("doc_id", "doc_hash", "term_id", "pos")
-        )
+        tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), listed.alias("w"))
+        tokens = tokens.select("doc_id", "doc_hash", "w", F.posexplode("w").alias("pos", "word")).withColumn("next", F.coalesce(F.get("w", F.col("pos") + 1), F.lit("")))
+        pair_key = F.xxhash64("word", "next", F.lit(False))
+        if self.terms.where("b IS NULL").limit(1).count():
+            none = F.lit(None).cast("string")
+            tokens = tokens.select("doc_id", "doc_hash", "pos", "word", F.explode(F.array(F.col("next"), none)).alias("next"))
+            pair_key = F.xxhash64("word", "next", F.col("next").isNull())
+        # The digests meet by an equi-join on one long; the words themselves are compared after it.
+        same = F.startswith("word", F.col("a")) & F.startswith(F.col("a"), F.col("word"))
+        same &= (F.col("b").isNull() & F.col("next").isNull()) | (F.startswith("next", F.col("b")) & F.startswith(F.col("b"), F.col("next")))
+        posted = tokens.withColumn("key", pair_key).join(keyed, "key").where(same).select("doc_id", "doc_hash", "term_id", "pos")
         self.postings = cut(posted.sortWithinPartitions("term_id"), "postings")
         self.counts = cut(self.postings.groupBy("term_id").agg(F.count("*").alias("n")), "counts")
 
@@ -76,12 +94,12 @@ class PositionalIndex:
 
     def _by_rarity(self, windows: DataFrame) -> DataFrame:
         """window_id, size, lists: the window's (n, offset, term_id), rarest first; windows with a term that no document has are gone."""
-        spread = windows.select("window_id", F.size("window").alias("size"), F.posexplode("window").alias("offset", "term"))
-        known = spread.join(self.terms, "term").join(self.counts, "term_id")
+        spread = windows.select("window_id", F.size("window").alias("size"), F.explode(pairs(F.col("window"))).alias("t")).select("window_id", "size", "t.*")
+        known = spread.join(self.terms, spread["a"].eqNullSafe(self.terms["a"]) & spread["b"].eqNullSafe(self.terms["b"])).join(self.counts, "term_id")
         return (
             known.groupBy("window_id", "size")
             .agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term_id"))).alias("lists"))
-            .where(F.size("lists") == F.col("size"))
+            .where(F.size("lists") == F.greatest(F.col("size") - 1, F.lit(1)))
         )
 
     def phrase_matches(self, windows: DataFrame) -> DataFrame:
@@ -100,11 +118,14 @@ class PositionalIndex:
         near = small(touched, 24)
         lists = self.postings.join(near, same_doc(self.postings, near), "left_semi").select("doc_id", "doc_hash", "term_id", "pos")
 
-        rest = starts.join(small(ranked, 256), "window_id").select(
-            "doc_id", "doc_hash", "start", "window_id", "size", F.posexplode("lists").alias("rank", "list")
+        # Every second pair and the last one hold all words of the window.
+        cover = F.filter("lists", lambda x: (x["offset"] % 2 == 0) | (x["offset"] == F.col("size") - 2))
+        held_by = ranked.select("window_id", "size", cover.alias("lists"), F.size(cover).alias("n_lists"))
+        rest = starts.join(small(held_by, 256), "window_id").select(
+            "doc_id", "doc_hash", "start", "window_id", "size", "n_lists", F.posexplode("lists").alias("rank", "list")
         )
-        wanted = rest.where("rank > 0 OR size = 1").select(
-            "doc_id", "doc_hash", "start", "window_id", "size", "rank",
+        wanted = rest.select(
+            "doc_id", "doc_hash", "start", "window_id", "size", "n_lists", "rank",
             F.col("list.term_id").alias("term_id"), (F.col("start") + F.col("list.offset")).alias("pos"),
         )
         held = wanted.alias("w").join(
@@ -112,10 +133,10 @@ class PositionalIndex:
             F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.doc_hash") == F.col("p.doc_hash")) & (F.col("w.term_id") == F.col("p.term_id")) & (F.col("w.pos") == F.col("p.pos")),
         )
         return (
-            held.groupBy("w.doc_id", "w.doc_hash", "w.start", "w.window_id", "w.size")
+            held.groupBy("w.doc_id", "w.doc_hash", "w.start", "w.window_id", "w.size", "w.n_lists")
             .agg(F.bit_or(F.expr("shiftleft(1L, w.rank)")).alias("ranks"))
-            .where("bit_count(ranks) = greatest(size - 1, 1)")
-            .drop("ranks")
+            .where("bit_count(ranks) = n_lists")
+            .drop("ranks", "n_lists")
         )
 
     def proximity_matches(self, windows: DataFrame, within: int) -> DataFrame:
@@ -124,7 +145,7 @@ class PositionalIndex:
         Positions are cut into strips of ``within``; a posting meets those of its own strip
         and of the two beside it.
         """
-        ranked = self._by_rarity(windows).where("size > 1")
+        ranked = self._by_rarity(windows).where("size > 2")
         pick = lambda k: ranked.select("window_id", F.col("lists")[k]["term_id"].alias("term_id"))
         strip = F.floor(F.col("pos") / within)
         a = self.postings.join(small(pick(0), 24), "term_id").select("doc_id", "doc_hash", "window_id", "pos", F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
@@ -145,7 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_it
     by_item = test_windows(items, width)
     windows = cut(by_item.select("window").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
     of_item = by_item.join(windows, "window").select("window_id", "item_id").where("item_id IS NOT NULL")
-    index = PositionalIndex(docs, windows.select(F.explode("window").alias("term")))
+    index = PositionalIndex(docs, windows)
     matches = cut(index.phrase_matches(windows), "matches")
 
     key = ["doc_id", "doc_hash"]
