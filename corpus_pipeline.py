@@ -1,8 +1,85 @@
-"""Corpus pipeline (filled in below)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Five stages, each an operator of ``folioscope.llm`` with production parameters.  A stage takes
+(spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last
+return the columns of ``documents``, with n_chars following the text.
+
+Every stage takes nulls in any column, empty texts, repeated rows and empty tables as its
+operator's docstring says.  Rows that repeat an id with its text are one document from the
+near-dedup on.  Further columns are passed through; the last stage returns pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import decontaminate, line_dedup, minhash_dedup, packing, quality
+from folioscope.llm.scratch import cut, small
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``; n_chars counts the characters of the text."""
+    counted = F.length("text").cast(like.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in like.columns else None
+    return docs.select(*(counted if c == "n_chars" else F.col(f"`{c}`") for c in like.columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts."""
+    model = quality.train(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    marked = docs.select(*docs.columns, F.col("text").alias("_scored"))
+    own = {name: c for name, c in quality.statistics(F.col("_scored")).items()}
+    marked = marked.withColumn("_statistics", F.struct(*(c.alias(k) for k, c in own.items())))
+    return marked.where(quality.compiled(*model, "_statistics.") >= quality.CUTOFF).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines deleted; a text that loses all its lines goes."""
+    done = line_dedup.line_dedup(docs.drop("n_lines", "n_deleted"))
+    kept = done.where(~((F.col("n_deleted") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
+    return _as_documents(kept, docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    found = cut(minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.join(small(found, 24), docs["doc_id"] == F.col("gone"), "left_anti")
+    again = left.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
+    again = small(cut(again, "again"), 24)
+    once = left.join(again, left["doc_id"] == F.col("again"), "left_anti")
+    more = left.join(again, left["doc_id"] == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without contaminated documents; passages of a single item are cut out of the rest."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return _as_documents(decontaminate.clean(docs, items), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, with their sequence and offset."""
+    return packing.packed(docs.select("doc_id", "text"), packing.production_tokenizer())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier's scores and the packing plan are not SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -195,6 +195,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_it
     )
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` without the words at the positions of ``spans`` and what stands before each of them."""
+    own = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps = F.split(text, WORD, -1)
+    gone = lambda i: F.exists(spans, lambda s: (s["from"] <= i) & (i < s["to"]))
+    kept = F.transform(own, lambda w, i: F.when(gone(i), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
+    return F.concat(F.array_join(kept, ""), F.get(gaps, F.size(own)))
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
+    """``docs`` (doc_id, text and any others) without the contaminated ones, and with the hit words of the others cut out."""
+    found = cut(decontaminate(docs.select("doc_id", "text"), items, width, min_items).where("spans IS NOT NULL"), "hits")
+    found = found.select(F.col("doc_id").alias("hit_id"), "doc_hash", "contaminated", "spans").dropDuplicates(["hit_id", "doc_hash"])
+    right = small(found, 512)
+    met = docs.join(right, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("doc_hash")), "left")
+    kept = met.where(~F.coalesce("contaminated", F.lit(False)))
+    text = F.when(F.col("spans").isNull(), docs["text"]).otherwise(without_spans(docs["text"], F.col("spans")))
+    return kept.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
