@@ -39,7 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once and read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
