@@ -31,27 +31,25 @@ def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
     model = quality.train(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    marked = docs.select(*docs.columns, F.col("text").alias("_scored"))
-    own = {name: c for name, c in quality.statistics(F.col("_scored")).items()}
-    marked = marked.withColumn("_statistics", F.struct(*(c.alias(k) for k, c in own.items())))
-    return marked.where(quality.compiled(*model, "_statistics.") >= quality.CUTOFF).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return rows.transform(quality.scores, model).where(F.col("score") >= quality.CUTOFF).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines deleted; a text that loses all its lines goes."""
-    done = line_dedup.line_dedup(docs.drop("n_lines", "n_deleted"))
+    done = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     kept = done.where(~((F.col("n_deleted") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
-    return _as_documents(kept, docs)
+    return _as_documents(kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = cut(minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    left = docs.join(small(found, 24), docs["doc_id"] == F.col("gone"), "left_anti")
-    again = left.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again"))
+    gone = cut(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    left = docs.join(small(gone, 24), "doc_id", "left_anti").select(*docs.columns)
+    again = left.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
     again = small(cut(again, "again"), 24)
-    once = left.join(again, left["doc_id"] == F.col("again"), "left_anti")
-    more = left.join(again, left["doc_id"] == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    more = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(more)
 
 

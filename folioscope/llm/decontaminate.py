@@ -209,9 +209,9 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_items: int
     found = cut(decontaminate(docs.select("doc_id", "text"), items, width, min_items).where("spans IS NOT NULL"), "hits")
     found = found.select(F.col("doc_id").alias("hit_id"), "doc_hash", "contaminated", "spans").dropDuplicates(["hit_id", "doc_hash"])
     right = small(found, 512)
-    met = docs.join(right, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("doc_hash")), "left")
-    kept = met.where(~F.coalesce("contaminated", F.lit(False)))
-    text = F.when(F.col("spans").isNull(), docs["text"]).otherwise(without_spans(docs["text"], F.col("spans")))
+    met = docs.join(right, docs["doc_id"].eqNullSafe(right["hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == right["doc_hash"]), "left")
+    kept = met.where(~F.coalesce(right["contaminated"], F.lit(False)))
+    text = F.when(right["spans"].isNull(), docs["text"]).otherwise(without_spans(docs["text"], right["spans"]))
     return kept.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 

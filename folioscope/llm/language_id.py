@@ -56,7 +56,7 @@ def normalise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     b[gap] = 0x20
     keep = ~gap
     keep[1:] |= ~gap[:-1]
-    inner = at[(at > 0) & (at < len(b))]
+    inner = at[at < len(b)]
     keep[inner] = True
     kept = np.concatenate([[0], np.cumsum(keep)])
     return b[keep], kept[at]
@@ -100,10 +100,12 @@ def _tables(model: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, int, list
     width, out = len(seen) + 1, []
     for _, sample in model:
         nxt = suffix_automaton(sample)
-        first = np.full(width, _FLAG, np.int32)
+        # A byte that the sample hasn't is a phrase of its own: it leads to a last state that no byte continues.
+        first = np.full(width, len(nxt) * width, np.int32)
         for c, to in nxt[0].items():
-            first[kind[c]] = to * width | _FLAG
-        table = np.tile(first, (len(nxt), 1))
+            first[kind[c]] = to * width
+        table = np.tile(first | _FLAG, (len(nxt) + 1, 1))
+        table[0] = first
         for state, to in enumerate(nxt):
             if to:
                 table[state, kind[list(to)]] = np.array(list(to.values()), np.int32) * width

@@ -120,17 +120,17 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_runs(docs.select("doc_id", "text"), min_words)
     per_doc = cut(gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("line")).alias("gone_lines")), "gone")
     per_doc = per_doc.select(F.col("doc_id").alias("gone_id"), F.col("doc_hash").alias("gone_hash"), "gone_lines")
-    right = F.broadcast(per_doc) if _fits(docs, per_doc) else per_doc
-    met = docs.join(right, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_hash(docs["text"]) == F.col("gone_hash")), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    lost = F.coalesce(F.size("gone_lines"), F.lit(0))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    text = F.when(F.col("gone_lines").isNull(), docs["text"]).otherwise(kept)
+    right = F.broadcast(per_doc) if _fits(per_doc) else per_doc
+    met = docs.join(right, docs["doc_id"].eqNullSafe(right["gone_id"]) & (text_hash(docs["text"]) == right["gone_hash"]), "left")
+    lines, gone_lines = F.split(docs["text"], "\n", -1), right["gone_lines"]
+    lost = F.coalesce(F.size(gone_lines), F.lit(0))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_lines, i)), "\n")
+    text = F.when(gone_lines.isNull(), docs["text"]).otherwise(kept)
     others = [docs[c] for c in docs.columns if c not in {"text", "n_lines", "n_deleted"}]
     return met.select(*others, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.greatest(lost, F.lit(0)).cast("long").alias("n_deleted"))
 
 
-def _fits(docs: DataFrame, per_doc: DataFrame, bound: int = 32 << 20) -> bool:
+def _fits(per_doc: DataFrame, bound: int = 32 << 20) -> bool:
     size = per_doc.agg(F.sum(F.size("gone_lines") * 4 + 64).alias("b")).collect()[0]["b"]
     return (size or 0) <= bound
 

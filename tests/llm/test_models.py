@@ -1,0 +1,146 @@
+"""Classifiers: held-out accuracy and defined cases; suffix automata against brute force."""
+
+import math
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from folioscope.llm import language_id, quality, toxicity
+
+RNG = random.Random(9)
+WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("ra", "lo", "ni", "st")]
+BAD = ["vile", "nasty", "awful"]
+LANGS = {"aa": ["tor", "ken", "mal"], "bb": ["yüx", "özi", "wéq"], "cc": ["pluf", "snor", "grib"]}
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+def toxic_pairs():
+    rows = []
+    for i in range(700):
+        text, bad = prose(RNG.randrange(5, 60)), i % 4 == 0
+        rows.append((i, text + (f" {RNG.choice(BAD)}, {prose(3)}" if bad else ""), int(bad)))
+    return rows
+
+
+def accuracy(out, want, col):
+    rows = [r for r in out.collect() if r.held_out and r.doc_id in want]
+    assert len(rows) > 20
+    return sum(r[col] == want[r.doc_id] for r in rows) / len(rows)
+
+
+def test_folds(spark):
+    df = spark.createDataFrame([(i,) for i in (0, 1, 77, -5)] + [(None,)], "doc_id long")
+    got = {r.doc_id: r.f for r in df.select("doc_id", toxicity.fold(F.col("doc_id"), 5).alias("f")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in (0, 1, 77, -5)} | {None: 0}
+
+
+def test_toxicity_on_held_out_documents(spark, docs, tables):
+    rows = toxic_pairs()
+    odd = [(9001, None), (9002, ""), (9003, " ,. "), (None, "vile"), (9004, prose(20_000)), (0, rows[0][1])]
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows] + [(9001, None, None), (None, 1, 1), (0, 0, 0)], "doc_id long, toxic int, quality int")
+    d = tables(documents=docs([r[:2] for r in rows] + odd).withColumn("score", F.lit("clash")), labels=labels)
+    out = toxicity.query(spark, d).cache()
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows) + len(odd)
+    assert accuracy(out, {i: y for i, _, y in rows}, "predicted") > 0.97
+    by = {r.doc_id: r for r in out.collect()}
+    assert by[9001].score == by[9002].score == by[9003].score < 0.5 and all(0 <= r.score <= 1 for r in by.values())
+
+
+def test_toxicity_without_labels(spark, docs, tables):
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    d = tables(documents=docs([(1, "a"), (2, None)]), labels=none)
+    assert [r.score for r in toxicity.query(spark, d).collect()] == [0.0, 0.0]
+
+
+def test_held_out_labels_are_not_learnt(spark, docs, tables):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0][:40]
+    rows = [(i, "secretword " + prose(10)) for i in held] + [(i, prose(10)) for i in range(400) if i not in held]
+    labels = spark.createDataFrame([(i, int(i in held), 1) for i, _ in rows], "doc_id long, toxic int, quality int")
+    out = toxicity.query(spark, tables(documents=docs(rows), labels=labels))
+    assert max(r.score for r in out.collect()) < 0.5
+
+
+def junk(i):
+    word = RNG.choice(WORDS)
+    return [" ".join([word] * RNG.randrange(20, 60)), prose(30).upper().replace(" ", "!! ") + "!!", prose(30).replace(" ", "%%% ")][i % 3]
+
+
+def test_quality_on_held_out_documents(spark, docs, tables):
+    rows = [(i, junk(i) if i % 5 == 0 else prose(RNG.randrange(20, 80)), int(i % 5 != 0)) for i in range(800)]
+    odd = [(9001, None), (9002, ""), (None, "x"), (9003, prose(20_000)), (1, rows[1][1])]
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows] + [(5000, 0, None)], "doc_id long, toxic int, quality int")
+    d = tables(documents=docs([r[:2] for r in rows] + odd), labels=labels)
+    out = quality.query(spark, d).cache()
+    assert out.count() == len(rows) + len(odd)
+    assert accuracy(out, {i: y for i, _, y in rows}, "predicted") > 0.97
+    by = {r.doc_id: r.score for r in out.collect()}
+    assert by[9001] == by[9002] and all(0 <= s <= 1 for s in by.values())
+
+
+def test_compiled_rules_equal_the_fitted_ones(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7)).astype(float)
+    names = ["a", "b", "c"]
+    bias, rules = quality.fit(x, y, names)
+    want = 1 / (1 + np.exp(-(bias + sum(w * quality.holds(r, x, names) for r, w in rules))))
+    assert ((want > 0.5) == (y > 0.5)).mean() > 0.97 and 0 < len(rules) < 60
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, s_a double, s_b double, s_c double")
+    got = [r.s for r in df.select("i", quality.compiled(bias, rules).alias("s")).orderBy("i").collect()]
+    assert np.allclose(got, want)
+
+
+def test_quality_with_one_kind_of_label(spark, docs, tables):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "doc_id long, toxic int, quality int")
+    out = quality.query(spark, tables(documents=docs([(1, "a"), (2, None)]), labels=labels))
+    assert {r.predicted for r in out.collect()} == {1}
+
+
+def brute_entropy(text, sample, n):
+    phrases = 0
+    for at in range(0, len(text), language_id.BLOCK):
+        block, i = text[at : at + language_id.BLOCK], 0
+        while i < len(block):
+            k = 1
+            while i + k < len(block) and block[i : i + k + 1] in sample:
+                k += 1
+            phrases, i = phrases + 1, i + k
+    return phrases * math.log2(max(len(sample), 2)) / max(len(text), 1)
+
+
+def foreign(lang, n):
+    return " ".join("".join(RNG.choice(LANGS[lang]) for _ in range(RNG.randrange(1, 4))) for _ in range(n))
+
+
+def test_cross_parsing_like_brute_force():
+    texts = [foreign("aa", 40), foreign("bb", 700), "", "12 ;;", "zzz zzz", foreign("cc", 3).upper()]
+    model = tuple((k, language_id.normalise(pa.array([foreign(k, 60)]))[0].tobytes()) for k in LANGS)
+    got = language_id.entropies(pa.array(texts), model)
+    for i, text in enumerate(texts):
+        plain = language_id.normalise(pa.array([text]))[0].tobytes()
+        assert np.allclose(got[i], [brute_entropy(plain, s, len(s)) for _, s in model])
+
+
+def test_languages_of_held_out_documents(spark, docs, tables):
+    rows = [(i, foreign(lang, RNG.randrange(4, 40)), lang) for i, lang in ((i, list(LANGS)[i % 3]) for i in range(300))]
+    made = None
+    for lang in LANGS:
+        part = docs([r[:2] for r in rows if r[2] == lang], lang=lang)
+        made = part if made is None else made.unionByName(part)
+    odd = docs([(9001, None), (9002, ""), (9003, "12 34 !"), (None, foreign("aa", 9)), (9004, foreign("bb", 30_000))], lang=None)
+    out = language_id.query(spark, tables(documents=made.unionByName(odd).withColumn("score", F.lit(1)))).cache()
+    assert accuracy(out, {i: lang for i, _, lang in rows}, "lang_pred") > 0.97
+    by = {r.doc_id: r for r in out.collect()}
+    assert {by[i].lang_pred for i in (9001, 9002, 9003)} == {"und"} and by[9004].lang_pred == "bb" and by[None].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in by.values())
+
+
+def test_languages_without_labels(spark, docs, tables):
+    out = language_id.query(spark, tables(documents=docs([(1, "abc")], lang=None)))
+    assert [r.lang_pred for r in out.collect()] == ["und"]
