@@ -9,10 +9,11 @@ candidates grow with members rather than with pairs.  Candidates are confirmed o
 and components of the confirmed links follow.
 
 A star may miss a link between two members that are both unlike its centre.  So buckets that
-still hold several components are looked at again: members go to tiles, each pair of tiles
-compares short bitmaps, for which |A \\ B| >= |bits(A) & ~bits(B)| gives a strict upper bound of
-the similarity, and pairs of different components that the bound doesn't exclude are
-confirmed too.  No link between documents that share a bucket is lost.
+still hold several components are looked at again: members go to tiles with their sets, each
+pair of tiles compares short bitmaps, for which |A - B| >= |bits(A) & ~bits(B)| gives a strict
+upper bound of the similarity, and pairs of different components that the bound doesn't
+exclude are confirmed on the sets.  A tile pair returns only the links that join components,
+so no pairs pile up, and no connection between documents that share a bucket is lost.
 
 Defined cases: null or blank texts have an empty set and link with nothing; a text of fewer
 than five words is one shingle.  Rows that share a doc_id but not a text are documents of
@@ -41,7 +42,7 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 BITMAP_BITS = 2048
 #: Members of a bucket in a tile, about.
-TILE = 512
+TILE = 256
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _ODDS = np.array(_ODD)
@@ -136,61 +137,73 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(n, pa.int64()), _signed(one), _signed(two), bands], ["doc_id", "n", "f1", "f2", "bands"])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(s & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
 def _full_sets(batches):
     for batch in batches:
         for first, end, sets in shingle_sets(batch.column(1)):
             one, two = _prints(sets)
             held = _lists(np.concatenate(sets), [len(s) for s in sets])
-            bits = pa.array([bitmap(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _signed(one), _signed(two), held, bits], ["doc_id", "f1", "f2", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _signed(one), _signed(two), held], ["doc_id", "f1", "f2", "shingles"])
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    bits = np.zeros((len(sets), BITMAP_BITS), np.float32)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[row, np.concatenate(sets) & (BITMAP_BITS - 1)] = 1
+    return bits
+
+
+def cell_links(a: list[tuple], b: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of (gid, component, set) rows of two tiles, or of one with itself: as many as joins, at most."""
+    x, y = _bitmaps([r[2] for r in a]), _bitmaps([r[2] for r in b])
+    both = x @ y.T
+    na, nb = np.array([len(r[2]) for r in a])[:, None], np.array([len(r[2]) for r in b])[None, :]
+    most = np.minimum(na - (x.sum(1)[:, None] - both), nb - (y.sum(1)[None, :] - both))
+    maybe = 100 * most >= percent * (na + nb - most)
+    maybe &= np.array([r[1] for r in a])[:, None] != np.array([r[1] for r in b])[None, :]
+    if a is b:
+        maybe = np.triu(maybe)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(maybe))):
+        p, q = root(a[i][1]), root(b[j][1])
+        if p != q:
+            shared = len(np.intersect1d(a[i][2], b[j][2], assume_unique=True))
+            if 100 * shared >= percent * (len(a[i][2]) + len(b[j][2]) - shared):
+                parent[p] = q
+                out.append((a[i][0], b[j][0]))
+    return out
 
 
 def _cells(percent: int):
-    """Streams rows sorted by cell (bucket, low tile, high tile); yields the pairs of classes that may be links."""
-
-    def of_cell(rows: list[dict]) -> tuple[list, list]:
-        a = [r for r in rows if r["tile"] == r["low"]]
-        b = [r for r in rows if r["tile"] == r["high"]]
-        if not a or not b:
-            return [], []
-        unpack = lambda rows: np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        get = lambda rows, c: np.array([r[c] for r in rows], np.int64)
-        x, y = unpack(a), unpack(b)
-        both = x @ y.T
-        na, nb = get(a, "n")[:, None], get(b, "n")[None, :]
-        only_a, only_b = x.sum(1)[:, None] - both, y.sum(1)[None, :] - both
-        most = np.minimum(na - only_a, nb - only_b)
-        maybe = 100 * most >= percent * (na + nb - most)
-        maybe &= get(a, "component")[:, None] != get(b, "component")[None, :]
-        ga, gb = get(a, "gid"), get(b, "gid")
-        if rows[0]["low"] == rows[0]["high"]:
-            maybe &= ga[:, None] < gb[None, :]
-        i, j = np.nonzero(maybe)
-        return np.minimum(ga[i], gb[j]).tolist(), np.maximum(ga[i], gb[j]).tolist()
+    """Streams rows sorted by cell (bucket, low tile, high tile); yields the links found in each."""
+
+    def of_cell(rows: list[tuple], low: int, high: int) -> pa.RecordBatch:
+        a = [r[1:] for r in rows if r[0] == low]
+        b = a if low == high else [r[1:] for r in rows if r[0] == high]
+        found = cell_links(a, b, percent) if a and b else []
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         now, rows = None, []
-
-        def flush():
-            i, j = of_cell(rows) if len(rows) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], ["a", "b"])
-
         for batch in batches:
-            for row in batch.to_pylist():
-                cell = (row["bucket"], row["low"], row["high"])
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "tile", "gid", "component")}
+            held = batch.column("shingles")
+            values, at = held.values.to_numpy(zero_copy_only=False), held.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                cell = tuple(int(cols[c][i]) for c in ("bucket", "low", "high"))
                 if cell != now:
                     if rows:
-                        yield flush()
+                        yield of_cell(rows, *now[1:])
                     now, rows = cell, []
-                rows.append(row)
+                rows.append((int(cols["tile"][i]), int(cols["gid"][i]), int(cols["component"][i]), values[at[i] : at[i + 1]].copy()))
         if rows:
-            yield flush()
+            yield of_cell(rows, *now[1:])
 
     return run
 
@@ -219,8 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
     wanted = cut(classes.join(ids, "gid").select("gid", "n", "f1", "f2", F.col("rep").alias("doc_id")), "wanted")
     texts = docs.join(small(wanted.select("doc_id"), 24), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets, f"doc_id {id_type}, f1 long, f2 long, shingles array<long>, bits binary")
-    sets = cut(sets.join(small(wanted, 48), ["doc_id", "f1", "f2"]).select("gid", "n", "shingles", "bits").dropDuplicates(["gid"]), "sets")
+    sets = texts.mapInArrow(_full_sets, f"doc_id {id_type}, f1 long, f2 long, shingles array<long>")
+    sets = cut(sets.join(small(wanted, 48), ["doc_id", "f1", "f2"]).select("gid", "shingles").dropDuplicates(["gid"]), "sets")
     links = cut(_confirmed(pairs, sets, percent), "links")
     reach = cut(components(links), "components")
 
@@ -229,11 +242,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = open_.where("least <> most").groupBy("members", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     left = placed.join(open_.select("bucket", tiles.alias("tiles")), "bucket").withColumn("tile", F.pmod(F.hash("gid"), "tiles"))
-    left = left.join(sets.select("gid", "n", "bits"), "gid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = left.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "gid", "n", "component", "bits")
+    left = left.join(sets, "gid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = left.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "gid", "component", "shingles")
     cells = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    more = cut(cells.mapInArrow(_cells(percent), "a long, b long").distinct(), "more")
-    found = cut(_confirmed(more, sets, percent), "found")
+    found = cut(cells.mapInArrow(_cells(percent), "a long, b long"), "found")
     if found.limit(1).count():
         reach = cut(components(links.unionByName(found)), "components")
 
