@@ -78,13 +78,16 @@ def aligned(before: list, after: list) -> list[tuple[str, int, object, object]]:
 def list_diff(before: DataFrame, after: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     """group, kind, at, before, after: each group's two lists aligned.  A group is one list of one document."""
 
-    def of_group(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b).iloc[0][group].tolist()
-        rows = aligned(*(side.sort_values(order)[value].tolist() if len(side) else [] for side in (a, b)))
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*group, "kind", "at", "before", "after"])
+    cols = [*group, order, value]
+    sides = before.select(*cols, F.lit(0).alias("_side")).unionByName(after.select(*cols, F.lit(1).alias("_side")))
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        rows = aligned(*(pdf[pdf["_side"] == side][value].tolist() for side in (0, 1)))
+        return pd.DataFrame([(*pdf.iloc[0][group].tolist(), *r) for r in rows], columns=[*group, "kind", "at", "before", "after"])
 
     kinds = ", ".join(f"{g} {before.schema[g].dataType.simpleString()}" for g in group)
-    return before.groupBy(*group).cogroup(after.groupBy(*group)).applyInPandas(of_group, f"{kinds}, kind string, at long, before string, after string")
+    return sides.groupBy(*group).applyInPandas(of_group, f"{kinds}, kind string, at long, before string, after string")
 
 
 def json_leaves(df: DataFrame, keys: list[str], document: str) -> DataFrame:
