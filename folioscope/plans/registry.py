@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import relational
+from folioscope.plans import package_queries, relational
 
-_MODULES = (relational,)
+_MODULES = (relational, package_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
