@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.models import docx, pptx, xlsx
 from folioscope.operators import roundtrip, selection
 from folioscope.plans.relational import table
-from folioscope.sources import opc, packages
+from folioscope.sources import corpus, opc, packages
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -243,3 +247,40 @@ def roundtrip_decks(spark, d):
     rows = roundtrip.checks(decks(spark, d).persist(), ["patch"]).where("scored")
     good = rows.groupBy("adapter", "pkg").agg(F.every(F.col("outcome") == "success").alias("ok"))
     return good.groupBy("adapter").agg(F.count("*").alias("files"), F.count_if("ok").alias("preserved"))
+
+
+# Files of a corpus.
+
+
+@query("SELECT sha256(text) AS digest, lang AS format, source, 'd' || doc_id || '.txt' AS name FROM documents")
+def holdout_rows(spark, d):
+    line = F.concat(F.sha2(F.col("text").cast("binary"), 256), F.lit("  corpus/"), "lang", F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return corpus.holdout_rows(table(spark, d, "documents").select(line.alias("value")))
+
+
+@query("""SELECT user_id, event_type AS event, event_id, round(value, 2) AS elapsed_ms FROM events WHERE event_id % 4 <> 1""")
+def child_events(spark, d):
+    line = F.when(F.col("event_id") % 4 == 1, F.lit("not a { line")).otherwise(F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").cast("string").alias("message"), F.round("value", 2).alias("elapsed_ms"))))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n")
+    output = table(spark, d, "events").groupBy("user_id").agg(text.alias("out"))
+    return corpus.child_events(output, ["user_id"], "out").select("user_id", "event", F.col("message").cast("long").alias("event_id"), "elapsed_ms")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS archive, 'nations/' || n_name || '.txt' AS path, strlen(n_name) + 1 AS size FROM nation")
+def archive_members(spark, d):
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        if int(pdf["n_regionkey"].iloc[0]) % 2:
+            with tarfile.open(fileobj=out, mode="w:gz") as t:
+                for r in pdf.itertuples():
+                    info = tarfile.TarInfo(f"top/nations/{r.n_name}.txt")
+                    info.size = len(r.n_name) + 1
+                    t.addfile(info, io.BytesIO(r.n_name.encode() + b"\n"))
+        else:
+            with zipfile.ZipFile(out, "w") as z:
+                for r in pdf.itertuples():
+                    z.writestr(f"top/nations/{r.n_name}.txt", r.n_name + "\n")
+        return pd.DataFrame({"archive": [str(pdf["n_regionkey"].iloc[0])], "content": [out.getvalue()]})
+
+    made = table(spark, d, "nation").groupBy("n_regionkey").applyInPandas(write, "archive string, content binary")
+    return corpus.unpack(made, strip=1).select("archive", "path", "size")
