@@ -12,7 +12,8 @@ every text is parsed.  Letters are lower-cased, and a run of other ASCII charact
 space.
 
 The model is at most ``SAMPLE_DOCS`` documents, of at most ``DOC_CHARS`` characters, and
-``LANG_BYTES`` bytes per language and ``ALL_BYTES`` in all.
+``LANG_BYTES`` bytes per language, and ``ALL_BYTES`` in all; of more than ``LANGUAGES``
+languages those with the most labelled documents are learnt.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; a null doc_id is in fold 0; repeated rows get equal
@@ -36,6 +37,7 @@ from folioscope.llm.wordhash import PUNCTUATION, text_buffers
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, DOC_CHARS = 64, 4_000
+LANGUAGES = 256
 LANG_BYTES, ALL_BYTES = 40_000, 400_000
 BLOCK = 1024
 #: Bytes parsed at a time, about.
@@ -146,6 +148,8 @@ def learn(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     marks = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("mark"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
     chosen = cut(marks.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS), "chosen")
+    most = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    chosen = chosen.join(F.broadcast(most.select("lang")), "lang")
     rows = usable.select("lang", "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
     found = rows.join(F.broadcast(chosen.select("lang", "mark").distinct()), ["lang", "mark"]).dropDuplicates(["lang", "mark"]).orderBy("lang", "mark").collect()
     by_lang: dict[str, list[str]] = {}
