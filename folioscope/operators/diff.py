@@ -18,6 +18,28 @@ def differing(before: Column, after: Column, tolerance: Column | None = None) ->
     return ~(equal & ~F.isnan(before) & ~F.isnan(after))
 
 
+#: Path patterns whose numbers may differ, and by how much, absolutely and relatively.
+TOLERANCES = {
+    "xlsx": [
+        (r"^/columns/[^/]+/[^/]+/width$", 0.5 / 5.25, 0.0),
+        (r"^/rows/[^/]+/[^/]+/height$", 0.5, 0.0),
+        (r"^/page_setup/[^/]+/pageMargins/", 0.5 / 72, 0.0),
+        (r"/tint$", 1 / 510, 0.0),
+        (r"/gradientFill/", 0.0, 1e-9),
+    ],
+    "docx": [(r"/(left|right|first_line|before|after|line|width|height|top|bottom|header|footer|gutter|grid)(/[0-9]+)*$", 10.0, 0.0)],
+    "pptx": [(r"/geometry/(x|y|cx|cy)$|/line/width$|^/slide-size/", 6350.0, 0.0), (r"/geometry/rot$", 60000 / 360, 0.0), (r"/", 0.0, 1e-9)],
+}
+
+
+def allowance(kind: str, path: Column, size: Column) -> Column:
+    """How far a number at ``path`` may be off in a format's model; null where it may not."""
+    out = F.lit(None).cast("double")
+    for pattern, absolute, relative in reversed(TOLERANCES[kind]):
+        out = F.when(path.rlike(pattern), F.lit(absolute) + F.abs(size) * relative).otherwise(out)
+    return out
+
+
 def keyed(before: DataFrame, after: DataFrame, keys: list[str], value: str, unlike: Column | None = None) -> DataFrame:
     """keys, kind (missing, added, changed), before, after: a full outer join on the keys.
 
@@ -37,10 +59,11 @@ def parents(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(segments) - 1), lambda n: F.array_join(F.slice(segments, 1, n), "/"))
 
 
-def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file") -> DataFrame:
+def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file", kind: str | None = None) -> DataFrame:
     """file, path, kind: the difference of two leaf tables (file, path, value), a lost or new container being one entry.
 
     The entry of a leaf is its outermost container that the other side hasn't, else itself.
+    ``kind``, a format, allows numbers its tolerances.
     """
 
     def containers(leaves: DataFrame) -> DataFrame:
@@ -52,7 +75,11 @@ def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file") -> Dat
         new = chain.join(containers(other), [file, "at"], "left_anti")
         return new.groupBy(file, "path").agg(F.min_by("at", "depth").alias("at")).select(file, F.col("at").alias("path"), F.lit(kind).alias("kind")).distinct()
 
-    changed = before.alias("a").join(after.alias("b"), [file, "path"]).where(~F.col("a.value").eqNullSafe(F.col("b.value")))
+    same = F.col("a.value").eqNullSafe(F.col("b.value"))
+    if kind is not None:
+        x, y = F.col("a.value").try_cast("double"), F.col("b.value").try_cast("double")
+        same = same | F.coalesce(F.abs(x - y) <= allowance(kind, F.col("path"), x), F.lit(False))
+    changed = before.alias("a").join(after.alias("b"), [file, "path"]).where(~same)
     changed = changed.select(file, "path", F.lit("changed").alias("kind"))
     return changed.unionByName(entries(before, after, "missing")).unionByName(entries(after, before, "added"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.models import docx, model_leaves, pptx, xlsx
-from folioscope.operators import diff, graph
+from folioscope.operators import diff, graph, scoring
 from folioscope.sources import opc, packages
 
 MODELS = {"xlsx": xlsx, "docx": docx, "pptx": pptx}
@@ -128,14 +129,47 @@ def expected(files: DataFrame, edits: DataFrame) -> DataFrame:
     return todo.select("pkg", "format", "content", "target").mapInArrow(run, _LEAVES)
 
 
-def differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """file, feature, path, kind of two leaf tables (file, feature, path, value), containers collapsed.
+def differences(before: DataFrame, after: DataFrame, kinds: list[str]) -> DataFrame:
+    """file, path, kind, feature of two leaf tables (file, format, path, vtype, value), containers collapsed, within each format's tolerances.
 
     Empty containers stand for nothing on either side.
     """
-    some = lambda df: df.where("path IS NOT NULL AND vtype <> 'empty'").select("file", "path", "value")
-    found = diff.subtree_diff(some(before), some(after))
-    return found.withColumn("feature", F.split("path", "/")[1])
+    out = None
+    for kind in kinds:
+        some = lambda df: df.where((F.col("format") == kind) & F.col("path").isNotNull() & (F.col("vtype") != "empty")).select("file", "path", "value")  # noqa: B023, E731
+        found = diff.subtree_diff(some(before), some(after), kind=kind)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("feature", F.split("path", "/")[1])
+
+
+@dataclass
+class Trial:
+    """The tables of a round trip; runs and models are computed once."""
+
+    files: DataFrame
+    names: list[str]
+    edits: DataFrame = field(init=False)
+    runs: DataFrame = field(init=False)
+
+    def __post_init__(self):
+        self.edits = targets(self.files).persist()
+        self.runs = run_adapters(self.files, self.edits, self.names).persist()
+        key = F.concat_ws("|", "adapter", "pkg")
+        self.base = self.runs.select("adapter", "pkg", "format", "opened", "saved", key.alias("file"))
+        self.saved = self.runs.where("saved").select(key.alias("pkg"), "format", F.col("output").alias("content"))
+        kind = self.base.select("file", "format")
+        self.leaves = leaves(self.saved).withColumnRenamed("pkg", "file").join(kind, "file").persist()
+        wanted = expected(self.files, self.edits).join(self.base.where("saved").select("pkg", "file", "format"), "pkg").drop("pkg")
+        self.differences = differences(wanted, self.leaves, list(MODELS)).persist()
+
+
+def preservation(trial: Trial) -> DataFrame:
+    """adapter, feature, preserved, present, rate over the files that can be edited."""
+    given = leaves(trial.files).where("path IS NOT NULL AND vtype <> 'empty'")
+    inputs = diff.present(given.select(F.col("pkg").alias("file"), "feature", "value"), ["file"])
+    results = trial.base.select("adapter", F.col("pkg").alias("file"), F.col("saved").alias("compared"))
+    lost = trial.differences.join(trial.base.select("adapter", "pkg", "file"), "file").select("adapter", F.col("pkg").alias("file"), "feature")
+    return scoring.feature_preservation(inputs, lost, results, inputs.select("feature").distinct())
 
 
 def checks(files: DataFrame, names: list[str]) -> DataFrame:
@@ -144,18 +178,11 @@ def checks(files: DataFrame, names: list[str]) -> DataFrame:
     Runs are computed once; models, problems and part maps of their outputs are tables joined
     on (adapter, pkg).
     """
-    edits = targets(files).persist()
-    runs = run_adapters(files, edits, names).persist()
-    saved = runs.where("saved").select(F.concat_ws("|", "adapter", "pkg").alias("pkg"), "format", F.col("output").alias("content"))
-    key = F.concat_ws("|", "adapter", "pkg")
-    base = runs.select("adapter", "pkg", "opened", "saved", key.alias("file"))
-
-    out_leaves = leaves(saved).select(F.col("pkg").alias("file"), "feature", "path", "vtype", "value", "error").persist()
-    want = expected(files, edits).persist()
-    wanted = want.join(base.where("saved").select("pkg", "file"), "pkg").select("file", "feature", "path", "vtype", "value")
-    differs = differences(wanted, out_leaves).select("file").distinct().withColumn("differs", F.lit(True))
-    unread = out_leaves.where("error IS NOT NULL").select("file").distinct().withColumn("unread", F.lit(True))
-    marked = out_leaves.where(F.contains("value", F.lit(MARKER))).select("file").distinct().withColumn("marked", F.lit(True))
+    trial = Trial(files, names)
+    base, saved = trial.base, trial.saved
+    differs = trial.differences.select("file").distinct().withColumn("differs", F.lit(True))
+    unread = trial.leaves.where("error IS NOT NULL").select("file").distinct().withColumn("unread", F.lit(True))
+    marked = trial.leaves.where(F.contains("value", F.lit(MARKER))).select("file").distinct().withColumn("marked", F.lit(True))
 
     own_parts, own_rels = packages.explode(files), packages.relationships(files)
     new_parts, new_rels = packages.explode(saved), packages.relationships(saved)

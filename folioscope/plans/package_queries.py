@@ -242,6 +242,13 @@ def roundtrip_checks(spark, d):
     return rows.groupBy("adapter", "name").agg(F.count_if(F.col("outcome") == "success").alias("passed"), F.count("*").alias("files"))
 
 
+@query(_BOOKS + """, n AS (SELECT count(DISTINCT pkg) AS n FROM books)
+SELECT adapter, feature, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0 ELSE n END AS preserved, n AS present, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0.0 ELSE 1.0 END::DOUBLE AS rate
+FROM n, (SELECT unnest(['identity', 'patch']) AS adapter), (SELECT unnest(['workbook', 'defined_names', 'cells', 'formulas', 'merged_cells', 'external_links']) AS feature)""")
+def roundtrip_features(spark, d):
+    return roundtrip.preservation(roundtrip.Trial(workbooks(spark, d).persist(), ["identity", "patch"]))
+
+
 @query("SELECT 'patch' AS adapter, count(DISTINCT conv_id) AS files, count(DISTINCT conv_id) AS preserved FROM conversations")
 def roundtrip_decks(spark, d):
     rows = roundtrip.checks(decks(spark, d).persist(), ["patch"]).where("scored")

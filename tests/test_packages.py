@@ -129,6 +129,14 @@ def test_containers_are_one_difference(spark):
     assert {(r.path, r.kind) for r in diff.subtree_diff(a, b).collect()} == {("/c/s1", "missing"), ("/c/s2/B1/v", "changed"), ("/c/s2/B2", "added")}
 
 
+def test_tolerances_at_their_limits(spark):
+    leaf = "file string, path string, value string"
+    a = [("/rows/S/1/height", "10"), ("/rows/S/2/height", "10"), ("/cells/S/A1/value", "1"), ("/page_setup/S/pageMargins/left", "1.0")]
+    b = [("/rows/S/1/height", "10.5"), ("/rows/S/2/height", "10.51"), ("/cells/S/A1/value", "1.0000001"), ("/page_setup/S/pageMargins/left", "1.006")]
+    made = [spark.createDataFrame([("f", *r) for r in rows], leaf) for rows in (a, b)]
+    assert {r.path for r in diff.subtree_diff(*made, kind="xlsx").collect()} == {"/rows/S/2/height", "/cells/S/A1/value"}
+
+
 def test_not_a_number_never_equals_itself(spark):
     rows = spark.createDataFrame([(1, float("nan"), float("nan")), (2, 1.0, 1.5), (3, 1.0, 1.6), (4, 2.0, 2.0)], "i int, before double, after double")
     out = rows.select("i", diff.differing(F.col("before"), F.col("after"), F.lit(0.5)).alias("d"))
