@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+from folioscope.functions.drawing import modified
 from folioscope.models.docx import _replace_text
 from folioscope.models.xlsx import attr, chart, dump, kid, kids
 from folioscope.sources import opc
@@ -126,14 +128,17 @@ _MAPPED = {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2"}
 
 
 def color(e: ET.Element | None, colors: dict[str, str]) -> str | None:
-    """A colour as RGB with its modifiers in order."""
+    """A colour as RGB, its modifiers applied in order; a name that no theme resolves stays a name."""
     for x in kids(e):
         name = opc.local(x.tag)
         if not name.endswith("Clr"):
             continue
         value = attr(x, "val")
         base = {"srgbClr": value.upper(), "schemeClr": colors.get(_MAPPED.get(value, value), value), "sysClr": attr(x, "lastClr") or value}.get(name, value)
-        return base + "".join(f"~{opc.local(m.tag)}={attr(m, 'val')}" for m in kids(x))
+        steps = [(opc.local(m.tag), int(attr(m, "val", "0"))) for m in kids(x)]
+        if re.fullmatch("[0-9A-Fa-f]{6}", base):
+            return modified(base.upper(), steps)
+        return base + "".join(f"|{n}={v}" for n, v in steps)
     return None
 
 
