@@ -25,7 +25,7 @@ from folioscope.llm.scratch import cut
 from folioscope.llm.wordhash import PUNCTUATION, mix, word_hashes
 
 #: Labelled documents that the model is fitted on, at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 16_000, 30_000
+SAMPLE, SAMPLE_CHARS = 16_000, 12_000
 #: Rows whose fold is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 5, 0
 CUTOFF = 0.5
@@ -80,7 +80,7 @@ def _fit(table: pa.Table) -> pa.Table:
         cuts = np.argsort(of, kind="stable")
         at, of = at[cuts], of[cuts]
         edge = np.searchsorted(of, np.arange(first, end + 1))
-        rows += [(np.unique(np.append(at[edge[i] : edge[i + 1]], 0)), labels[first + i]) for i in range(end - first)]
+        rows += [(np.unique(np.append(at[edge[i] : edge[i + 1]], 0)).astype(np.int32), labels[first + i]) for i in range(end - first)]
     places, w = ftrl(rows)
     return pa.table({"place": pa.array(places, pa.int64()), "weight": pa.array(w, pa.float64())})
 
