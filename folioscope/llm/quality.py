@@ -29,6 +29,8 @@ FOLDS, HELD_OUT = 4, 2
 CUTOFF = 0.7
 
 TREES, DEPTH, LEAF, LASSO, SEED = 40, 3, 20, 0.002, 7
+#: The penalty rises until so many rules at most keep a weight, so that the expression compiles to one method.
+MOST_RULES = 30
 
 #: A rule: (statistic, is above, threshold) each, all of which hold.
 Rule = tuple[tuple[str, bool, float], ...]
@@ -128,7 +130,13 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, list[tup
     if not held:
         share = y.mean()
         return float(np.log(share / (1 - share))), []
-    bias, w = lasso(r, y)
+    strength = LASSO
+    bias, w = lasso(r, y, strength)
+    while (w != 0).sum() > MOST_RULES:
+        strength *= 1.3
+        bias, w = lasso(r, y, strength)
+    held, r = [rule for rule, a in zip(held, w) if a != 0], r[:, w != 0]
+    bias, w = lasso(r, y)  # the weights of the rules that stay, under the least penalty
     return bias, [(rule, float(a)) for rule, a in zip(held, w) if a != 0]
 
 
