@@ -93,3 +93,10 @@ def differing_share(a: Column, b: Column, delta: float) -> Column:
     """The share of positions of two arrays whose values differ by more than ``delta``."""
     far = F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d > delta)
     return F.size(far) / F.greatest(F.size(a), F.lit(1))
+
+
+def wheel_tags(filename: Column) -> Column:
+    """All (python, abi, platform) tags of a wheel's file name, dotted parts multiplied out."""
+    parts = F.split(F.regexp_replace(filename, r"[.]whl$", ""), "-")
+    part = lambda n: F.split(F.get(parts, F.size(parts) - n), "[.]")
+    return F.flatten(F.transform(part(3), lambda py: F.flatten(F.transform(part(2), lambda abi: F.transform(part(1), lambda at: F.concat_ws("-", py, abi, at))))))

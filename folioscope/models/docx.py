@@ -129,7 +129,7 @@ class Story:
             elif name == "txbxContent":
                 boxes.append(x)
             elif name in ("OLEObject", "control", "chart") and ref and ref[1] in self.doc.parts:
-                self.out["embedded_objects"].append({"kind": name, "digest": hashlib.sha256(self.doc.parts[ref[1]]).hexdigest()})
+                self.out["embedded_objects"].append({"kind": name, "digest": opc.payload_digest(self.doc.parts[ref[1]])})
         self.out["images"] += [{"digest": d} for d in blips]
         if not blips and opc.local(e.tag) == "drawing":
             geometry = next((attr(x, "prst") for x in e.iter() if opc.local(x.tag) == "prstGeom"), None)
@@ -275,7 +275,7 @@ class Story:
             elif name == "altChunk":
                 ref = self.doc.rels.get(self.part, {}).get(opc.attribute(x, "id", ""))
                 if ref and ref[1] in self.doc.parts:
-                    self.out["embedded_objects"].append({"kind": "altChunk", "digest": hashlib.sha256(self.doc.parts[ref[1]]).hexdigest()})
+                    self.out["embedded_objects"].append({"kind": "altChunk", "digest": opc.payload_digest(self.doc.parts[ref[1]])})
         return out
 
 

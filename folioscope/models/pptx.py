@@ -245,7 +245,7 @@ class Slide:
             elif name == "chart" and inside:
                 out["chart"] = chart(self.deck.xml(ref[1]))
             elif name == "oleObj" and inside:
-                out["object"] = hashlib.sha256(self.deck.parts[ref[1]]).hexdigest()
+                out["object"] = opc.payload_digest(self.deck.parts[ref[1]])
         data = next((rels[i][1] for x in e.iter() if opc.local(x.tag) == "relIds" for k, i in x.attrib.items() if opc.local(k) == "dm" and i in rels), None)
         if data in self.deck.parts and kind == "graphicFrame":
             out["smartart"] = smart_tree(self.deck.xml(data))

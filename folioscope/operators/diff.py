@@ -84,6 +84,36 @@ def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file", kind:
     return changed.unionByName(entries(before, after, "missing")).unionByName(entries(after, before, "added"))
 
 
+#: The feature that a key of a presentation's model names, and those that keep all that is below them.
+DECK_KEYS = {
+    "slide-size": "slide-size", "slides": "slides", "layout": "slide-layout", "master": "slide-layout", "background": "background", "shapes": "shapes", "geometry": "geometry",
+    "preset": "geometry", "fill": "fill-line", "line": "fill-line", "placeholder": "placeholders", "paragraphs": "text", "format": "text-format", "table": "tables", "picture": "pictures",
+    "children": "groups", "chart": "charts", "smartart": "smartart", "object": "embedded-objects", "hyperlinks": "hyperlinks", "link": "hyperlinks", "notes": "notes", "comments": "comments",
+    "transition": "transitions", "animation": "animations", "media": "media", "theme": "theme", "masters-layouts": "masters-layouts", "custom-xml": "custom-xml", "sections": "sections",
+}
+DECK_STICKY = ("background", "tables", "charts", "smartart", "notes", "comments", "theme", "masters-layouts")
+
+
+def deck_feature(path: Column) -> Column:
+    """The feature of a place in a presentation's model: the innermost key that names one, unless a container above keeps it."""
+    names = F.create_map(*(F.lit(x) for pair in DECK_KEYS.items() for x in pair))
+    below = lambda now, key: (
+        F.when(now.isin(*DECK_STICKY), now).when((key == "hidden") & (now == "slides"), "slide-hidden").otherwise(F.coalesce(F.try_element_at(names, key), now))
+    )
+    return F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 20), F.lit("package"), below)
+
+
+def pair_alike(before: dict, after: dict, same) -> list[tuple[str, str]]:
+    """Keys that only one side has, paired where ``same`` holds of their values: the first fit of each, in key order."""
+    rest, out = sorted(set(after) - set(before)), []
+    for a in sorted(set(before) - set(after)):
+        b = next((b for b in rest if same(before[a], after[b])), None)
+        if b is not None:
+            rest.remove(b)
+            out.append((a, b))
+    return out
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 

@@ -138,8 +138,9 @@ def differences(before: DataFrame, after: DataFrame, kinds: list[str]) -> DataFr
     for kind in kinds:
         some = lambda df: df.where((F.col("format") == kind) & F.col("path").isNotNull() & (F.col("vtype") != "empty")).select("file", "path", "value")  # noqa: B023, E731
         found = diff.subtree_diff(some(before), some(after), kind=kind)
+        found = found.withColumn("feature", diff.deck_feature(F.col("path")) if kind == "pptx" else F.split("path", "/")[1])
         out = found if out is None else out.unionByName(found)
-    return out.withColumn("feature", F.split("path", "/")[1])
+    return out
 
 
 @dataclass
@@ -166,7 +167,9 @@ class Trial:
 def preservation(trial: Trial) -> DataFrame:
     """adapter, feature, preserved, present, rate over the files that can be edited."""
     given = leaves(trial.files).where("path IS NOT NULL AND vtype <> 'empty'")
-    inputs = diff.present(given.select(F.col("pkg").alias("file"), "feature", "value"), ["file"])
+    given = given.join(trial.files.select(F.col("pkg").cast("string").alias("pkg"), "format"), "pkg")
+    feature = F.when(F.col("format") == "pptx", diff.deck_feature(F.col("path"))).otherwise(F.col("feature"))
+    inputs = diff.present(given.select(F.col("pkg").alias("file"), feature.alias("feature"), "value"), ["file"])
     results = trial.base.select("adapter", F.col("pkg").alias("file"), F.col("saved").alias("compared"))
     lost = trial.differences.join(trial.base.select("adapter", "pkg", "file"), "file").select("adapter", F.col("pkg").alias("file"), "feature")
     return scoring.feature_preservation(inputs, lost, results, inputs.select("feature").distinct())

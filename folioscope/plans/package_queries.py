@@ -249,6 +249,13 @@ def roundtrip_features(spark, d):
     return roundtrip.preservation(roundtrip.Trial(workbooks(spark, d).persist(), ["identity", "patch"]))
 
 
+@query("""WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)
+SELECT 'identity' AS adapter, feature, CASE WHEN feature = 'text' THEN 0 ELSE n END AS preserved, n AS present, CASE WHEN feature = 'text' THEN 0.0 ELSE 1.0 END::DOUBLE AS rate
+FROM n, (SELECT unnest(['slide-size', 'shapes', 'geometry', 'text', 'text-format']) AS feature)""")
+def roundtrip_deck_features(spark, d):
+    return roundtrip.preservation(roundtrip.Trial(decks(spark, d).persist(), ["identity"]))
+
+
 @query("SELECT 'patch' AS adapter, count(DISTINCT conv_id) AS files, count(DISTINCT conv_id) AS preserved FROM conversations")
 def roundtrip_decks(spark, d):
     rows = roundtrip.checks(decks(spark, d).persist(), ["patch"]).where("scored")

@@ -207,6 +207,15 @@ def screen(content: bytes) -> str | None:
     return None
 
 
+def payload_digest(data: bytes) -> str:
+    """Digest of an embedded payload; a package counts by its members, not by how they were compressed."""
+    found = read_package(data, "last")
+    if found.error or not found.parts:
+        return hashlib.sha256(data).hexdigest()
+    rows = sorted(f"{k}:{hashlib.sha256(v).hexdigest()}" for k, v in found.parts.items())
+    return "zip:" + hashlib.sha256("\n".join(rows).encode()).hexdigest()
+
+
 def canonical(data: bytes, tokens: dict[str, str] | None = None) -> str:
     """Digest of an XML part that doesn't depend on prefixes, attribute order, comments, blank text or relationship ids.
 

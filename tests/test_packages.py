@@ -189,3 +189,32 @@ def test_landing_folder(spark, tmp_path):
     (folder / "new.docx").write_bytes(docx.write(docx.paragraph_markup("x")))
     landing.screen_stream(spark, str(folder), out, state).awaitTermination(120)
     assert len({r.pkg for r in spark.read.parquet(out).collect() if r.part}) == 2
+
+
+def test_payloads_count_by_their_members():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in reversed(opc.read_package(BOOK).parts.items()):
+            z.writestr(name, data)
+    assert opc.payload_digest(BOOK) == opc.payload_digest(out.getvalue()) and opc.payload_digest(b"x") != opc.payload_digest(b"y")
+
+
+def test_deck_features(spark):
+    want = {"/slides/0/hidden": "slide-hidden", "/slides/0/shapes/1/hidden": "shapes", "/slides/0/shapes/1/paragraphs/0/runs/0/format/size": "text-format", "/slides/0/shapes/0/table/0/0/text": "tables", "/theme/0/dk1": "theme", "/odd": "package", "/slides/0/shapes/0/children/0/geometry/x": "geometry"}
+    rows = spark.createDataFrame([(p,) for p in want], "p string").select("p", diff.deck_feature(F.col("p")).alias("f"))
+    assert {r.p: r.f for r in rows.collect()} == want
+
+
+def test_alike_values_pair_once():
+    near = lambda a, b: abs(a - b) <= 1
+    assert diff.pair_alike({"k": 0, "a": 1, "b": 1, "c": 9}, {"k": 5, "x": 2, "y": 2, "z": 2}, near) == [("a", "x"), ("b", "y")]
+
+
+def test_wheel_tags(spark):
+    from folioscope.functions import scalars
+
+    row = spark.createDataFrame([("name-1.0-py2.py3-none-any.whl",)], "f string").select(scalars.wheel_tags(F.col("f")).alias("t")).first()
+    assert row.t == ["py2-none-any", "py3-none-any"]
