@@ -9,7 +9,8 @@ configurations for the present weights, and weights of covered lengths fall.  Ea
 rounded to whole sequences as it is taken, so the weights follow what is really left, and
 the last pieces, which no nearly full configuration takes, go by best fit.
 
-The plan is at most a few thousand configurations and is broadcast.  A piece finds its place
+The plan counts alike sequences rather than listing them, so its size depends on the number of
+lengths and rounds and not on the number of pieces; it is broadcast.  A piece finds its place
 from its rank among the pieces of its length; ranks come from counts per (length, salt), so a
 length that holds a third of all pieces is spread over many tasks.
 
@@ -166,7 +167,11 @@ def with_each(last: np.ndarray, lengths: np.ndarray, capacity: int, top: int) ->
     return a
 
 
-def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], float]:
+#: Pieces by length of a sequence: (length, count) pairs.
+Contents = tuple[tuple[int, int], ...]
+
+
+def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[Contents, int]], float]:
     """Configurations and how often each, which take their pieces out of ``left``, and a lower bound of the program.
 
     A round prices the lengths by multiplicative weights, in which lengths that are less
@@ -175,7 +180,7 @@ def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarr
     nearly full, are used for a share of what remains, rounded to whole sequences at once.
     """
     whole, lengths, top = left.astype(float), np.arange(len(left)), len(left) - 1
-    used: dict[bytes, int] = {}
+    used: dict[Contents, int] = {}
     bound, idle = 0.0, 0
     for _ in range(ROUNDS):
         some = np.nonzero(left)[0]
@@ -195,53 +200,65 @@ def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarr
             if times and a @ lengths >= FILLED * capacity:
                 times = max(1, int(times * SHARE))
                 left[own] -= times * a[own]
-                used[a.tobytes()] = used.get(a.tobytes(), 0) + times
+                held = tuple(zip(own.tolist(), a[own].tolist()))
+                used[held] = used.get(held, 0) + times
                 idle = 0
-    return [(np.frombuffer(k, np.int32), n) for k, n in used.items()], bound
-
-
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations for the remaining pieces, longest first, each into the fullest sequence that has room."""
-    by_room: dict[int, list[list[int]]] = {}
-    for length in range(len(left) - 1, 0, -1):
-        for _ in range(int(left[length])):
-            room = next((r for r in range(length, capacity) if by_room.get(r)), None)
-            held = by_room[room].pop() if room is not None else []
-            held.append(length)
-            by_room.setdefault((capacity if room is None else room) - length, []).append(held)
-    merged: dict[tuple[int, ...], int] = {}
-    for group in by_room.values():
-        for held in group:
-            merged[tuple(held)] = merged.get(tuple(held), 0) + 1
-    return [(np.bincount(held, minlength=len(left)).astype(np.int32), n) for held, n in merged.items()]
-
-
-def plan(count: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[np.ndarray, int]]:
-    """Configurations (pieces by length) and how often each, that hold the histogram ``count`` exactly."""
-    left = count.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
+    return list(used.items()), bound
 
-    def use(a: np.ndarray, times: int) -> None:
-        if times > 0:
-            out.append((a, times))
-            left[:] -= times * a
 
-    if left[capacity]:
-        full = np.zeros(len(left), np.int32)
-        full[capacity] = 1
-        use(full, int(left[capacity]))
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
+    """Configurations for the remaining pieces, longest first, each into the fullest sequence that has room.
+
+    Sequences of equal contents are one entry with a count, and all pieces of a length go at
+    once, so the work depends on the number of lengths, not of pieces.
+    """
+    by_room: dict[int, dict[Contents, int]] = {}
+
+    def add(room: int, held: Contents, n: int) -> None:
+        if n:
+            slot = by_room.setdefault(room, {})
+            slot[held] = slot.get(held, 0) + n
+
+    for length in np.nonzero(left)[0][::-1].tolist():
+        n = int(left[length])
+        for room in sorted(r for r in by_room if r >= length):
+            each = room // length
+            for held, times in list(by_room[room].items()):
+                full = min(times, n // each)
+                some = n - full * each if full < times and 0 < n - full * each < each else 0
+                rest = times - full - bool(some)
+                if full or some:
+                    by_room[room].pop(held)
+                    add(room, held, rest)
+                    add(room - each * length, (*held, (length, each)), full)
+                    add(room - some * length, (*held, (length, some)), int(bool(some)))
+                    n -= full * each + some
+                if not n:
+                    break
+            if not n:
+                break
+        each = capacity // length
+        add(capacity - each * length, ((length, each),), n // each)
+        add(capacity - n % each * length, ((length, n % each),), int(n % each > 0))
+    return [(held, n) for slot in by_room.values() for held, n in slot.items()]
+
+
+def plan(count: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[Contents, int]]:
+    """Configurations and how often each, that hold the histogram ``count`` exactly."""
+    left = count.astype(np.int64).copy()
+    out: list[tuple[Contents, int]] = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     if left.any():
         out += configurations(left, capacity)[0]
     return out + best_fit(left, capacity)
 
 
-def places(planned: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
+def places(planned: list[tuple[Contents, int]]) -> dict[str, np.ndarray]:
     """Slots by length: from which rank a run of slots begins, its first sequence, slots per sequence and first offset."""
     rows, base, upto = [], 0, {}
-    for a, times in planned:
+    for held, times in planned:
         offset = 0
-        for length in np.nonzero(a)[0][::-1].tolist():
-            n = int(a[length])
+        for length, n in sorted(held, reverse=True):
             rows.append((length, upto.get(length, 0), base, n, offset))
             upto[length] = upto.get(length, 0) + n * times
             offset += n * length

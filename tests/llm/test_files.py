@@ -66,8 +66,12 @@ def test_plans_hold_the_histogram(seed):
     for length in rng.integers(1, 101, rng.integers(0, 3000)):
         count[length] += 1
     planned = packing.plan(count, 100)
-    assert (sum((a.astype(np.int64) * n for a, n in planned), np.zeros(101, np.int64)) == count).all()
-    assert all(a @ np.arange(101) <= 100 for a, _ in planned)
+    held = np.zeros(101, np.int64)
+    for contents, times in planned:
+        assert sum(length * n for length, n in contents) <= 100 and times > 0
+        for length, n in contents:
+            held[length] += n * times
+    assert (held == count).all()
     left = count.copy()
     left[100] = 0
     _, bound = packing.configurations(left, 100)
@@ -115,6 +119,16 @@ def test_no_pages(spark, tables):
     assert warc_zip.query(spark, tables(pages=spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_plans_do_not_grow_with_the_number_of_pieces():
+    rng = np.random.default_rng(8)
+    count = np.concatenate([[0], rng.integers(0, 50_000_000, 100)])
+    planned = packing.plan(count, 100)
+    assert len(planned) < 20_000 and sum(n for _, n in planned) <= 1.001 * (count @ np.arange(101)) / 100 + 100
+    wide = np.zeros(101, np.int64)
+    wide[[60, 55]] = 10**9
+    assert sum(n for _, n in packing.plan(wide, 100)) == 2 * 10**9
+
+
 def test_zip64_directories():
     data, name = b"stored bytes", b"m.bin"
     local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, zlib.crc32(data), 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(data), len(data))
