@@ -197,11 +197,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_it
 
 def without_spans(text: Column, spans: Column) -> Column:
     """``text`` without the words at the positions of ``spans`` and what stands before each of them."""
-    own = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    gaps = F.split(text, WORD, -1)
-    gone = lambda i: F.exists(spans, lambda s: (s["from"] <= i) & (i < s["to"]))
-    kept = F.transform(own, lambda w, i: F.when(gone(i), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
-    return F.concat(F.array_join(kept, ""), F.get(gaps, F.size(own)))
+    held = F.array(F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, WORD, -1).alias("g")))
+    hits = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"] - 1)))
+    # The one-element array binds the words and gaps, so that they are computed once per text.
+    rest = lambda z: F.array_except(F.sequence(F.lit(0), F.size(z["w"])), hits)
+    glued = lambda z: F.array_join(F.transform(rest(z), lambda i: F.concat(F.get(z["g"], i), F.coalesce(F.get(z["w"], i), F.lit("")))), "")
+    return F.transform(held, glued)[0]
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:

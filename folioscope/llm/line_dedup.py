@@ -124,7 +124,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = docs.join(right, docs["doc_id"].eqNullSafe(right["gone_id"]) & (text_hash(docs["text"]) == right["gone_hash"]), "left")
     lines, gone_lines = F.split(docs["text"], "\n", -1), right["gone_lines"]
     lost = F.coalesce(F.size(gone_lines), F.lit(0))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_lines, i)), "\n")
+    # The one-element array binds the lines, so that a text is split once.
+    left = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), gone_lines)
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(left(own), lambda i: F.get(own, i)), "\n"))[0]
     text = F.when(gone_lines.isNull(), docs["text"]).otherwise(kept)
     others = [docs[c] for c in docs.columns if c not in {"text", "n_lines", "n_deleted"}]
     return met.select(*others, text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.greatest(lost, F.lit(0)).cast("long").alias("n_deleted"))
