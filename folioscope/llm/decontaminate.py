@@ -28,6 +28,7 @@ from folioscope.llm.scratch import cut, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters beyond ASCII that lower() may change; texts with one are lower-cased by a table of A-Z.
 ODD_UPPER = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
 
@@ -40,7 +41,7 @@ MIN_ITEMS = 2
 def words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     lowered = F.when(text.rlike(ODD_UPPER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, GAP, -1), "")
 
 
 def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -74,8 +75,11 @@ class PositionalIndex:
         keyed = small(self.terms.withColumn("key", F.xxhash64("a", F.col("b"), F.col("b").isNull())), 128)
 
         listed = F.concat(words(F.col("text")), F.array(F.lit("")))
-        tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), listed.alias("w"))
-        tokens = tokens.select("doc_id", "doc_hash", "w", F.posexplode("w").alias("pos", "word")).withColumn("next", F.coalesce(F.get("w", F.col("pos") + 1), F.lit("")))
+        held = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), listed.alias("w"))
+        # The outer form, as the plain one would compute the words once more to look for empty arrays; there are none.
+        both = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))
+        tokens = held.select("doc_id", "doc_hash", F.posexplode_outer(both).alias("pos", "t"))
+        tokens = tokens.select("doc_id", "doc_hash", "pos", F.col("t.a").alias("word"), F.coalesce("t.b", F.lit("")).alias("next"))
         pair_key = F.xxhash64("word", "next", F.lit(False))
         if self.terms.where("b IS NULL").limit(1).count():
             none = F.lit(None).cast("string")
