@@ -40,7 +40,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Name and column of each statistic of a text; lengths as logarithms, the rest as shares."""
     t = F.coalesce(text, F.lit(""))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    words = F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))
+    words = F.array_remove(F.split(t, r"\s+", -1), "")
     n_chars, n_words = F.length(t).cast("double"), F.size(words).cast("double")
     per = lambda a, b: a / F.greatest(b, F.lit(1.0))
     distinct = F.size(F.array_distinct(words)).cast("double")
@@ -166,7 +166,11 @@ def scores(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]]) -> Da
     own = statistics(F.col("text"))
     used = sorted({name for rule, _ in model[1] for name, _, _ in rule})
     kept = [c for c in docs.columns if c not in {"score", "_statistics"}]
-    held = docs.select(*kept, F.struct(*(own[k].alias(k) for k in used), F.lit(0).alias("_")).alias("_statistics"))
+    held = docs.select(*kept, *(own[k].alias(f"_statistics_{k}") for k in used))
+    # The generator keeps a later filter on the score from being pushed below the statistics,
+    # where each rule would compute its own once more.
+    row = F.struct(*(F.col(f"_statistics_{k}").alias(k) for k in used), F.lit(0).alias("_"))
+    held = held.select(*kept, F.explode_outer(F.array(row)).alias("_statistics"))
     return held.select(*kept, compiled(*model, "_statistics.").alias("score"))
 
 
