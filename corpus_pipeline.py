@@ -38,7 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines deleted; a text that loses all its lines goes."""
     done = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
-    kept = done.where(~((F.col("n_deleted") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
+    kept = done.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
     return _as_documents(kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)), docs)
 
 
