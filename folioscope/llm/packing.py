@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ ROUNDS, PATIENCE, STEP, BEND = 400, 3, 0.1, 1.2
 NEARLY, FILLED, LONG, SHARE = 0.7, 0.999, 0.3, 0.2
 
 #: Words that a worker remembers, and characters that it splits at a time.
-MEMORY, SPLIT = 600_000, 1 << 18
+MEMORY, SPLIT = 240_000, 1 << 18
 
 #: Fixed value: the pattern by which the byte-level tokenizer cuts text into words.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -77,8 +78,10 @@ class _Words(dict):
             raise ValueError("a byte-level tokenizer without a normalizer or a prefix space is needed")
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= MEMORY:  # the words met first are the frequent ones
+            kept = list(islice(self.items(), MEMORY // 2))
             self.clear()
+            self.update(kept)
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         out = array("I", [t.id for t in tokens]).tobytes()
         self[word] = out

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 #: Upper bound of a table that is broadcast by hint; measured before each hint.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows of an Arrow batch between Spark and Python while an intermediate table is written.
+ARROW_ROWS = 1_000
+
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list[tuple[object, str]] = []
 
 
@@ -36,10 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once and read back."""
+    """``df``, written once and read back.  Arrow batches of the write hold few rows, as texts may be long."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
