@@ -18,6 +18,10 @@ from folioscope.llm import decontaminate, line_dedup, minhash_dedup, packing, qu
 from folioscope.llm.scratch import cut, small
 
 
+#: Near duplicates of the pipeline: 100 * |A & B| >= NEAR * |A | B| on shingles; op7's own contract has another bound.
+NEAR = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +48,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    gone = cut(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    gone = cut(minhash_dedup.near_duplicates(docs, NEAR).where("NOT kept").select("doc_id").distinct(), "gone")
     left = docs.join(small(gone, 24), "doc_id", "left_anti").select(*docs.columns)
     again = left.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
     again = small(cut(again, "again"), 24)

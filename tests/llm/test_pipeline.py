@@ -65,3 +65,14 @@ def test_empty_corpus(spark, docs, tables):
     bench = spark.createDataFrame([], "item_id long, text string")
     d = tables(documents=docs([(1, "x")]).where("false"), labels=labels, benchmark=bench)
     assert pipeline.run(spark, d).count() == 0
+
+
+def test_near_stage_takes_pairs_from_80_percent(spark, docs):
+    base = prose(200).split()
+    near = [f"changed{k}" if k % 50 == 25 else w for k, w in enumerate(base)]
+    far = [f"other{k}" if k % 40 == 20 else w for k, w in enumerate(base)]
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    share = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert 0.80 <= share(base, near) < 0.85 and share(base, far) < 0.80 and share(near, far) < 0.80
+    out = pipeline.near_stage(spark, docs([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
