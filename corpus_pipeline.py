@@ -5,13 +5,14 @@ Five stages, each an operator of ``folioscope.llm`` with production parameters.
 return the columns of ``documents``, with n_chars following the text.
 
 Every stage takes nulls in any column, empty texts, repeated rows and empty tables as its
-operator's docstring says.  Rows that repeat an id with its text are one document from the
-near-dedup on.  Further columns are passed through; the last stage returns pieces.
+operator's docstring says.  Rows that repeat an id, or a null id, with its text are one
+document from the near-dedup on; rows that share an id but not a text are documents of their
+own.  Further columns are passed through; the last stage returns pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, line_dedup, minhash_dedup, packing, quality
@@ -47,13 +48,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = cut(minhash_dedup.near_duplicates(docs, NEAR).where("NOT kept").select("doc_id").distinct(), "gone")
-    left = docs.join(small(gone, 24), "doc_id", "left_anti").select(*docs.columns)
-    again = left.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = small(cut(again, "again"), 24)
-    once = left.join(again, "doc_id", "left_anti").select(*docs.columns)
-    more = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates, and one row of those with the same id, or none, and the same text.
+
+    A document goes by its id and the hash of its text.  Among near duplicates the one with the
+    least id stays, and one without an id only if none has one.
+    """
+    text_hash = line_dedup.text_hash(F.col("text"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_hash.alias("hash"))
+    judged = minhash_dedup.near_duplicates(docs.select(own.alias("doc_id"), "text"), NEAR)
+    judged = cut(judged.select(F.col("doc_id.id").alias("met_id"), F.col("doc_id.hash").alias("met_hash"), "kept"), "judged")
+
+    def met(table: DataFrame) -> Column:
+        return F.col("doc_id").eqNullSafe(table["met_id"]) & (text_hash == table["met_hash"])
+
+    gone = small(cut(judged.where("NOT kept").select("met_id", "met_hash").distinct(), "gone"), 32)
+    left = docs.join(gone, met(gone), "left_anti").select(*docs.columns)
+    again = judged.where("kept").groupBy("met_id", "met_hash").agg(F.count("*").alias("rows")).where("rows > 1").select("met_id", "met_hash")
+    again = small(cut(again, "again"), 32)
+    once = left.join(again, met(again), "left_anti").select(*docs.columns)
+    more = left.join(again, met(again), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(more)
 
 

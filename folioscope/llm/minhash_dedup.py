@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    wide = 32 if id_type.startswith("struct") else 0
     features = cut(docs.mapInArrow(_features, f"doc_id {id_type}, n long, f1 long, f2 long, bands array<long>"), "features")
     classes = features.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("gid", F.monotonically_increasing_id()), "classes")
@@ -231,9 +232,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ids = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
     wanted = cut(classes.join(ids, "gid").select("gid", "n", "f1", "f2", F.col("rep").alias("doc_id")), "wanted")
-    texts = docs.join(small(wanted.select("doc_id"), 24), "doc_id", "left_semi")
+    texts = docs.join(small(wanted.select("doc_id"), 24 + wide), "doc_id", "left_semi")
     sets = texts.mapInArrow(_full_sets, f"doc_id {id_type}, f1 long, f2 long, shingles array<long>")
-    sets = cut(sets.join(small(wanted, 48), ["doc_id", "f1", "f2"]).select("gid", "shingles").dropDuplicates(["gid"]), "sets")
+    sets = cut(sets.join(small(wanted, 48 + wide), ["doc_id", "f1", "f2"]).select("gid", "shingles").dropDuplicates(["gid"]), "sets")
     links = cut(_confirmed(pairs, sets, percent), "links")
     reach = cut(components(links), "components")
 
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     node = classes.join(reach, classes["gid"] == reach["id"], "left").select("n", "f1", "f2", "rep", "component")
     lowest = node.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("lowest"))
-    node = node.join(small(lowest, 24), "component", "left").select("n", "f1", "f2", F.coalesce("lowest", "rep").alias("component_id"))
+    node = node.join(small(lowest, 24 + wide), "component", "left").select("n", "f1", "f2", F.coalesce("lowest", "rep").alias("component_id"))
     out = features.select("doc_id", "n", "f1", "f2").join(node, ["n", "f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

@@ -76,3 +76,14 @@ def test_near_stage_takes_pairs_from_80_percent(spark, docs):
     assert 0.80 <= share(base, near) < 0.85 and share(base, far) < 0.80 and share(near, far) < 0.80
     out = pipeline.near_stage(spark, docs([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_near_stage_judges_texts_not_ids(spark, docs):
+    a, b, c, d = (prose(80) for _ in range(4))
+    near = " ".join([*c.split()[:40], "changed", *c.split()[41:]])
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, near), (None, a), (None, d), (None, d + " more"), (None, d), (9, ""), (None, None), (8, "")]
+    out = pipeline.near_stage(spark, docs(rows), "").collect()
+    kept = sorted(((r.doc_id, r.text) for r in out), key=repr)
+    assert [r for r in kept if r[1] in (a, b)] == sorted([(3, a), (5, b)], key=repr)
+    assert sum(r[1] in (c, near) for r in kept) == 1 and sum((r[1] or "").startswith(d) for r in kept) == 1
+    assert [r for r in kept if not r[1]] == sorted([(9, ""), (8, ""), (None, None)], key=repr) and len(kept) == 7
