@@ -70,12 +70,20 @@ class _Words(dict):
     """Token ids, as little-endian 32-bit bytes, of each word met so far.
 
     A word of a byte-level tokenizer without a normalizer goes to its merging model directly.
+    ``split`` parts a text at the tokenizer's added tokens, which are matched before words are;
+    ``added`` has their ids.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("a byte-level tokenizer without a normalizer or a prefix space is needed")
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()) or len({t.normalized for t in added.values()}) > 1:
+            raise ValueError("added tokens that are matched as they are, all at once, are needed")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(longest)})" if longest else r"(?!)").split
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:  # the words met first are the frequent ones
@@ -103,14 +111,20 @@ def split_words(text: str) -> list[str]:
 def token_bytes(text: str, words: _Words) -> bytes:
     """Ids of ``text`` and the end token, 4 bytes each.
 
-    No merge crosses a word, so words are encoded once each; a long text is split between two
-    words, where the pattern always ends one.
+    Added tokens are taken first; what lies between two is split on its own.  No merge crosses
+    a word, so words are encoded once each; a long text is split between two words, where the
+    pattern always ends one.
     """
-    parts, at = [], 0
-    while len(text) - at > SPLIT and (gap := _SAFE.search(text, at + SPLIT)):
-        parts.append(b"".join(map(words.__getitem__, split_words(text[at : gap.start()]))))
-        at = gap.start()
-    parts += map(words.__getitem__, split_words(text[at:] if at else text))
+    parts = []
+    for run in words.split(text) if any(t in text for t in words.added) else (text,):
+        if run in words.added:
+            parts.append(words.added[run])
+            continue
+        at = 0
+        while len(run) - at > SPLIT and (gap := _SAFE.search(run, at + SPLIT)):
+            parts.append(b"".join(map(words.__getitem__, split_words(run[at : gap.start()]))))
+            at = gap.start()
+        parts += map(words.__getitem__, split_words(run[at:] if at else run))
     parts.append(END_ID.to_bytes(4, "little"))
     return b"".join(parts)
 

@@ -23,6 +23,7 @@ def reference_ids(text):
 
 
 TEXTS = [(1, "Hello wörld, it's 42!\n\n  x"), (2, None), (3, ""), (4, "word " * 3000), (5, "Ünï çödé " * 500), (5, "Ünï çödé " * 500), (None, "no id"), (6, "a" * 5000), (7, "it's\tmine  now 'llama  \r\n" * 40), (8, "x½ Ⅷ 2² a\x1cb \x1f c_d __ ا٣ ​ e\u0301 \u00a0\u3000 z\x85 日本語 七"), (9, "tab\x1c \x1d x"), (10, "😀👍🏽 ok \ufffd")]
+TEXTS += [(11, "a<|endoftext|>b"), (12, "<|endoftext|>"), (13, "one  <|endoftext|> \n<|endoftext|><|endoftext|>two <|endoftext| >"), (14, "many words <|endoftext|> é 42" * 400)]
 
 
 def test_tokens_of_long_texts_do_not_depend_on_splitting(monkeypatch):
