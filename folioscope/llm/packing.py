@@ -7,7 +7,9 @@ configuration program (fewest sequences whose contents cover the histogram) is s
 multiplicative weights: a knapsack over the capacity, by dynamic programming, prices the best
 configurations for the present weights, and weights of covered lengths fall.  Each step is
 rounded to whole sequences as it is taken, so the weights follow what is really left, and
-the last pieces, which no nearly full configuration takes, go by best fit.
+the last pieces, which no nearly full configuration takes, go by best fit.  Where that stays
+away from the lower bound, as with few lengths that do not fill a sequence, the fractional
+program is solved over all lengths with the duals of a simplex as prices, and rounded down.
 
 The plan counts alike sequences rather than listing them, so its size depends on the number of
 lengths and rounds and not on the number of pieces; it is broadcast.  A piece finds its place
@@ -47,6 +49,10 @@ ROUNDS, PATIENCE, STEP, BEND = 400, 3, 0.1, 1.2
 #: share; lengths over LONG sequences are priced with; SHARE of what remains is used at a time.
 NEARLY, FILLED, LONG, SHARE = 0.7, 0.999, 0.3, 0.2
 
+#: Steps within this share of the lower bound, or within this many sequences for each length, are not improved
+#: (rounding down can leave a sequence of each); pivots of the simplex for each length, at most.
+TIGHT, ROUNDING, PIVOTS = 0.002, 0.1, 10
+
 #: Words that a worker remembers, and characters that it splits at a time.
 MEMORY, SPLIT = 240_000, 1 << 18
 
@@ -260,14 +266,89 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
     return [(held, n) for slot in by_room.values() for held, n in slot.items()]
 
 
+def fractional(count: np.ndarray, capacity: int) -> list[tuple[Contents, float]]:
+    """Configurations and how often each in the fractional program's solution.
+
+    Revised simplex over all lengths: the basis' duals price the lengths, one knapsack table
+    gives the best configuration with each, and those enter while they gain.  It ends at the
+    optimum, or within half a sequence or a tenth of TIGHT of the bound.
+    """
+    lengths = np.nonzero(count)[0]
+    m, each = len(lengths), capacity // lengths
+    n = count[lengths] * (1 + 0.01 * np.random.default_rng(0).random(m))  # equal counts would stall the pivots
+    basis, inverse, x = np.diag(each.astype(float)), np.diag(1.0 / each), n / each
+    centre, bound = lengths / capacity, float(n @ lengths) / capacity
+    pool = np.zeros((0, m))
+    for _ in range(PIVOTS * m):
+        dual = inverse.sum(0)
+        worth = pool @ dual
+        if not len(pool) or worth.max() <= 1 + 1e-9:
+            for near in (0.7, 0.0):  # prices near those of the best bound move less; those of the basis decide
+                price, value = near * centre + (1 - near) * dual, np.zeros(len(count))
+                value[lengths] = price
+                best, last = priced(value, capacity)
+                if float(n @ price) / best[capacity] > bound:
+                    centre, bound = price / best[capacity], float(n @ price) / best[capacity]
+                pool = with_each(last, lengths, capacity, len(count) - 1)[:, lengths].astype(float)
+                worth = pool @ dual
+                pool, worth = pool[worth > 1 + 1e-9], worth[worth > 1 + 1e-9]
+                if len(pool):
+                    break
+            if not len(pool) or x.sum() <= max(bound + 0.5, bound * (1 + TIGHT / 10)):
+                break
+        enters = pool[int(worth.argmax())]
+        step = inverse @ enters
+        ratio = np.full(m, np.inf)
+        np.divide(x, step, out=ratio, where=step > 1e-7)
+        if not np.isfinite(ratio.min()):
+            break
+        r = int(np.where(ratio <= ratio.min() + 1e-9, step, 0).argmax())
+        x = np.maximum(x - ratio[r] * step, 0)
+        x[r] = ratio[r]
+        basis[:, r] = enters
+        inverse[r] /= step[r]
+        step[r] = 0
+        inverse -= np.outer(step, inverse[r])
+    x = np.maximum(inverse @ count[lengths], 0)
+    held = [tuple((int(lengths[i]), int(c)) for i, c in enumerate(col) if c) for col in basis.T]
+    return list(zip(held, x.tolist()))
+
+
+def rounded(solved: list[tuple[Contents, float]], left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
+    """Whole sequences of a fractional solution; the rest goes by steps or by best fit, whichever is less."""
+    left, out = left.copy(), []
+    for held, x in sorted(solved, key=lambda c: -c[1]):
+        times = min(int(x + 1e-6), *(int(left[length]) // n for length, n in held))
+        if times:
+            out.append((held, times))
+            for length, n in held:
+                left[length] -= n * times
+    return out + min(_by_steps(left, capacity)[0], best_fit(left, capacity), key=sequences)
+
+
+def sequences(planned: list[tuple[Contents, int]]) -> int:
+    return sum(times for _, times in planned)
+
+
+def _by_steps(left: np.ndarray, capacity: int) -> tuple[list[tuple[Contents, int]], float]:
+    left = left.copy()
+    out, bound = configurations(left, capacity) if left.any() else ([], 0.0)
+    return out + best_fit(left, capacity), bound
+
+
 def plan(count: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[Contents, int]]:
-    """Configurations and how often each, that hold the histogram ``count`` exactly."""
+    """Configurations and how often each, that hold the histogram ``count`` exactly.
+
+    Where the steps stay away from the lower bound, the fractional program is solved over all
+    lengths and rounded down, and the plan of fewer sequences is taken.
+    """
     left = count.astype(np.int64).copy()
     out: list[tuple[Contents, int]] = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    if left.any():
-        out += configurations(left, capacity)[0]
-    return out + best_fit(left, capacity)
+    stepped, bound = _by_steps(left, capacity)
+    if sequences(stepped) - bound > max(TIGHT * bound, ROUNDING * np.count_nonzero(left)):
+        stepped = min(stepped, rounded(fractional(left, capacity), left, capacity), key=sequences)
+    return out + stepped
 
 
 def places(planned: list[tuple[Contents, int]]) -> dict[str, np.ndarray]:

@@ -131,6 +131,19 @@ def test_plans_do_not_grow_with_the_number_of_pieces():
     assert sum(n for _, n in packing.plan(wide, 100)) == 2 * 10**9
 
 
+@pytest.mark.parametrize("held, least", [({400: 6000, 300: 12000}, 6000), ({300: 6000, 212: 6000}, 3000), ({400: 7, 300: 14}, 7), ({300: 60, 212: 60}, 30), ({350: 900, 330: 900, 344: 900}, 900), ({600: 1000, 412: 1000, 100: 5000}, 1500)])
+def test_plans_of_few_lengths_are_optimal(held, least):
+    count = np.zeros(1025, np.int64)
+    count[list(held)] = list(held.values())
+    planned = packing.plan(count)
+    got = np.zeros(1025, np.int64)
+    for contents, times in planned:
+        assert sum(length * n for length, n in contents) <= 1024 and times > 0
+        for length, n in contents:
+            got[length] += n * times
+    assert (got == count).all() and sum(n for _, n in planned) == least
+
+
 def test_zip64_directories():
     data, name = b"stored bytes", b"m.bin"
     local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, zlib.crc32(data), 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(data), len(data))
