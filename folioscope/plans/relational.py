@@ -483,7 +483,7 @@ def tint_blend(spark, d):
 p AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS s, regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) AS h, u FROM u)
 SELECT page_id, s || '://' || lower(h) || CASE WHEN starts_with(substr(u, length(s) + 4 + length(h)), '/') THEN '' ELSE '/' END || substr(u, length(s) + 4 + length(h)) AS url FROM p""")
 def url_norm(spark, d):
-    url = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*", 0)).otherwise(F.concat(F.upper(F.substring("url", 1, 12)), F.substring("url", 13, 10000)))
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]*", 0)).otherwise(F.concat(F.upper(F.substring("url", 1, 12)), F.substr("url", F.lit(13))))
     return table(spark, d, "pages").select("page_id", scalars.normal_url(url).alias("url"))
 
 

@@ -35,3 +35,9 @@ def test_like_sql(spark, duck, name):
 
 def test_flagship(spark):
     assert registry.flagship(spark, DIR).count() > 0
+
+
+def test_long_urls_keep_their_rest(spark, tmp_path):
+    url = "https://host.example/" + "a" * 20_000 + "Z"
+    spark.createDataFrame([(1, url, "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [r.url for r in registry.queries()["url_norm"](spark, str(tmp_path)).collect()] == [url]
