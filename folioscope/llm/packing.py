@@ -2,19 +2,22 @@
 
 Documents are cut into pieces of at most a sequence's length; only longer ones are cut, and
 only their first piece may be shorter.  Which lengths share a sequence is decided on the
-histogram of piece lengths, which has at most as many entries as a sequence has tokens.  The
-configuration program (fewest sequences whose contents cover the histogram) is solved by
-multiplicative weights: a knapsack over the capacity, by dynamic programming, prices the best
-configurations for the present weights, and weights of covered lengths fall.  Each step is
-rounded to whole sequences as it is taken, so the weights follow what is really left, and
-the last pieces, which no nearly full configuration takes, go by best fit.  Where that stays
-away from the lower bound, as with few lengths that do not fill a sequence, the fractional
-program is solved over all lengths with the duals of a simplex as prices, and rounded down.
+histogram of piece lengths, which has at most as many entries as a sequence has tokens.
+
+The configuration program (fewest sequences whose contents cover the histogram) is solved by
+multiplicative weights on both sides.  A knapsack over the capacity, by dynamic programming,
+prices all lengths at once: it gives the best configuration with each length, and a lower
+bound of the program.  Between two pricings the weights of the configurations met so far are
+multiplied, again and again, by what their contents lack, until all lengths are covered alike;
+the prices of the lengths move with them.  The fractional weights are rounded down to whole
+sequences, then up while the pieces last, and the few pieces left go by best fit.
 
 The plan counts alike sequences rather than listing them, so its size depends on the number of
-lengths and rounds and not on the number of pieces; it is broadcast.  A piece finds its place
-from its rank among the pieces of its length; ranks come from counts per (length, salt), so a
-length that holds a third of all pieces is spread over many tasks.
+lengths and configurations kept and not on the number of pieces; it is broadcast, and has at
+most a few entries for each of POOL configurations and what they leave over.  A piece finds its
+place from its rank among the pieces of its length.  The task that cuts a piece counts those of
+its length before it; adding the counts of the tasks before gives the rank, so no piece is
+sorted or moved, whatever share of all pieces a length has.
 
 Defined cases: null text is empty; an empty text is its end token; repeated rows are packed
 each; an empty table gives an empty result; further columns are not read.
@@ -31,6 +34,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +44,12 @@ SEQUENCE = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Pieces of one (length, salt), about.
-RANKED = 50_000
-#: Pricing rounds at most, rounds without use before the last ones go by best fit, step of the
-#: weights, and the power of a length in its value (over 1: long pieces first).
-ROUNDS, PATIENCE, STEP, BEND = 400, 3, 0.1, 1.2
-#: A configuration is used if its value is this share of the best and it is filled to that
-#: share; lengths over LONG sequences are priced with; SHARE of what remains is used at a time.
-NEARLY, FILLED, LONG, SHARE = 0.7, 0.999, 0.3, 0.2
-
-#: Steps within this share of the lower bound, or within this many sequences for each length, are not improved
-#: (rounding down can leave a sequence of each); pivots of the simplex for each length, at most.
-TIGHT, ROUNDING, PIVOTS = 0.002, 0.1, 10
+#: Pricings at most; multiplicative updates after each; their relaxation; heat at the start and the end.
+ROUNDS, UPDATES, RELAX, HOT, COLD = 120, 60, 1.8, 0.02, 1e-5
+#: A rounding comes every so many pricings; plans within this share of the bound end the search.
+ROUNDED, TIGHT = 8, 0.0005
+#: Configurations that are kept from one pricing to the next, at most; parts of a sequence that are rounded up, at least.
+POOL, UP = 16_000, 0.3
 
 #: Words that a worker remembers, and characters that it splits at a time.
 MEMORY, SPLIT = 240_000, 1 << 18
@@ -136,14 +134,17 @@ def token_bytes(text: str, words: _Words) -> bytes:
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and ids if wanted, of each piece of each row of ``docs`` (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, and ids if wanted, of each piece of each row of ``docs`` (doc_id, text).
+
+    chunk and nth name the task that cut a piece and how many of its length that task had cut before.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        words = _words(tokenizer)
+        words, chunk, seen = _words(tokenizer), TaskContext.get().partitionId(), [0] * (sequence + 1)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                rows, piece, start, length, crc, ids = array("q"), array("i"), array("q"), array("q"), array("q"), []
+                rows, piece, start, length, crc, nth, ids = array("q"), array("i"), array("q"), array("q"), array("q"), array("q"), []
                 for k, text in enumerate(batch.column(1).slice(i, 256).to_pylist()):
                     data = token_bytes(text or "", words)
                     n = len(data) // 4
@@ -152,18 +153,20 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids:
                     while at < n:
                         size = min(size, n - at) if not number else sequence
                         part = data[4 * at : 4 * (at + size)]
-                        rows.append(k), piece.append(number), start.append(at), length.append(size), crc.append(zlib.crc32(part))
+                        rows.append(k), piece.append(number), start.append(at), length.append(size), crc.append(zlib.crc32(part)), nth.append(seen[size])
                         if with_ids:
                             ids.append(np.frombuffer(part, "<u4").astype(np.int32))
                         at, number = at + size, number + 1
-                cols = [batch.column(0).slice(i, 256).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                        seen[size] += 1
+                cols = [batch.column(0).slice(i, 256).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+                cols += [pa.array([chunk] * len(rows), pa.int32()), pa.array(nth, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, chunk int, nth long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -194,39 +197,76 @@ def with_each(last: np.ndarray, lengths: np.ndarray, capacity: int, top: int) ->
 Contents = tuple[tuple[int, int], ...]
 
 
-def configurations(left: np.ndarray, capacity: int) -> tuple[list[tuple[Contents, int]], float]:
-    """Configurations and how often each, which take their pieces out of ``left``, and a lower bound of the program.
-
-    A round prices the lengths by multiplicative weights, in which lengths that are less
-    covered than the average weigh more, and takes from the one knapsack table the best
-    configuration with each long length.  Those that are nearly as good as the best, and
-    nearly full, are used for a share of what remains, rounded to whole sequences at once.
-    """
-    whole, lengths, top = left.astype(float), np.arange(len(left)), len(left) - 1
-    used: dict[Contents, int] = {}
-    bound, idle = 0.0, 0
-    for _ in range(ROUNDS):
-        some = np.nonzero(left)[0]
-        if not len(some) or idle == PATIENCE:
-            break
-        value = np.zeros(len(left))
-        behind = left[some] / whole[some] - (left @ lengths) / (whole @ lengths)
-        value[some] = lengths[some] ** BEND * np.exp(STEP * behind)
-        best, last = priced(value, capacity)
-        every = np.where(whole > 0, lengths / capacity, 0.0)
-        bound = max(bound, float(whole @ every), float(whole @ value / best[capacity]) if (value[whole > 0] > 0).all() else 0.0)
-        good = some[(value[some] + best[capacity - some] >= NEARLY * best[capacity]) & (some > LONG * capacity)][::-1]
-        idle += 1
-        for a in with_each(last, good, capacity, top):
-            own = np.nonzero(a)[0]
-            times = int((left[own] // a[own]).min())
-            if times and a @ lengths >= FILLED * capacity:
-                times = max(1, int(times * SHARE))
-                left[own] -= times * a[own]
-                held = tuple(zip(own.tolist(), a[own].tolist()))
-                used[held] = used.get(held, 0) + times
-                idle = 0
-    return list(used.items()), bound
+class Configurations:
+    """A pool of configurations with fractional weights, as sparse columns over the lengths of a histogram."""
+
+    def __init__(self, count: np.ndarray, capacity: int):
+        self.capacity, self.top = capacity, len(count) - 1
+        self.lengths = np.nonzero(count)[0]
+        self.n, self.share = count[self.lengths].astype(float), self.lengths / capacity
+        self.place = np.zeros(len(count), np.int64)
+        self.place[self.lengths] = np.arange(len(self.lengths))
+        self.price, self.bound = self.share.copy(), float(self.n @ self.share)
+        self.mark, self.marks = np.random.default_rng(0).integers(1, 1 << 62, len(count)), np.zeros(0, np.int64)
+        self.row, self.col, self.times, self.x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def extend(self) -> None:
+        """Prices all lengths by one knapsack table; adds the best configuration with each, and improves the bound."""
+        value = np.zeros(self.top + 1)
+        value[self.lengths] = self.price
+        best, last = priced(value, self.capacity)
+        self.bound = max(self.bound, float(self.n @ self.price) / best[self.capacity])
+        each = with_each(last, self.lengths, self.capacity, self.top)
+        marks, new = np.unique(each @ self.mark, return_index=True)
+        fresh = ~np.isin(marks, self.marks)
+        each = each[new[fresh]]
+        c, length = np.nonzero(each)
+        self.row = np.concatenate([self.row, self.place[length]])
+        self.times = np.concatenate([self.times, each[c, length].astype(float)])
+        self.col = np.concatenate([self.col, c + len(self.x)])
+        self.x, self.marks = np.concatenate([self.x, np.zeros(len(each))]), np.concatenate([self.marks, marks[fresh]])
+
+    def reweigh(self, heat: float) -> float:
+        """One round of multiplicative updates; the largest departure of a coverage from 1, as a logarithm.
+
+        A configuration weighs exp((its price - 1) / heat).  The price of a length moves by the
+        logarithm of its coverage, times its share of a sequence; so each weight is multiplied by
+        a mean, of weights that sum to 1 at most, of what its contents lack, and no step overshoots.
+        """
+        first = np.searchsorted(self.col, np.arange(len(self.x)))
+        for _ in range(UPDATES):
+            value = np.add.reduceat(self.price[self.row] * self.times, first)
+            self.x = self.bound / len(self.x) * np.exp(np.minimum((value - 1) / heat, 30))
+            cover = np.bincount(self.row, self.x[self.col] * self.times, len(self.n)) / self.n
+            step = np.log(np.maximum(cover, 1e-9))
+            self.price = np.maximum(self.price - RELAX * heat * self.share * step, 0)
+        return float(np.abs(np.where(self.price > 0, step, np.maximum(-step, 0))).max())
+
+    def prune(self) -> None:
+        """Beyond POOL configurations, half as many of most weight stay; others come back if they are worth it."""
+        if len(self.x) <= POOL:
+            return
+        keep = np.zeros(len(self.x), bool)
+        keep[np.argsort(-self.x)[: POOL // 2]] = True
+        number, own = np.cumsum(keep) - 1, keep[self.col]
+        self.row, self.times, self.col = self.row[own], self.times[own], number[self.col[own]]
+        self.x, self.marks = self.x[keep], self.marks[keep]
+
+    def rounded(self, left: np.ndarray) -> list[tuple[Contents, int]]:
+        """Whole sequences that hold ``left``: weights rounded down, then up while their pieces last, and best fit for the rest."""
+        left, out = left.copy(), {}
+        first = np.searchsorted(self.col, np.arange(len(self.x) + 1))
+        part = self.x + 1e-3 - np.floor(self.x + 1e-3)
+        down = [(c, int(self.x[c] + 1e-3)) for c in np.argsort(-self.x) if self.x[c] + 1e-3 >= 1]
+        up = [(c, 1) for c in np.argsort(-part) if part[c] >= UP]
+        for c, most in down + up:
+            own, k = self.lengths[self.row[first[c] : first[c + 1]]], self.times[first[c] : first[c + 1]].astype(np.int64)
+            times = min(most, int((left[own] // k).min()))
+            if times:
+                left[own] -= times * k
+                held = tuple(zip(own.tolist(), k.tolist()))
+                out[held] = out.get(held, 0) + times
+        return list(out.items()) + best_fit(left, self.capacity)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
@@ -266,89 +306,32 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
     return [(held, n) for slot in by_room.values() for held, n in slot.items()]
 
 
-def fractional(count: np.ndarray, capacity: int) -> list[tuple[Contents, float]]:
-    """Configurations and how often each in the fractional program's solution.
-
-    Revised simplex over all lengths: the basis' duals price the lengths, one knapsack table
-    gives the best configuration with each, and those enter while they gain.  It ends at the
-    optimum, or within half a sequence or a tenth of TIGHT of the bound.
-    """
-    lengths = np.nonzero(count)[0]
-    m, each = len(lengths), capacity // lengths
-    n = count[lengths] * (1 + 0.01 * np.random.default_rng(0).random(m))  # equal counts would stall the pivots
-    basis, inverse, x = np.diag(each.astype(float)), np.diag(1.0 / each), n / each
-    centre, bound = lengths / capacity, float(n @ lengths) / capacity
-    pool = np.zeros((0, m))
-    for _ in range(PIVOTS * m):
-        dual = inverse.sum(0)
-        worth = pool @ dual
-        if not len(pool) or worth.max() <= 1 + 1e-9:
-            for near in (0.7, 0.0):  # prices near those of the best bound move less; those of the basis decide
-                price, value = near * centre + (1 - near) * dual, np.zeros(len(count))
-                value[lengths] = price
-                best, last = priced(value, capacity)
-                if float(n @ price) / best[capacity] > bound:
-                    centre, bound = price / best[capacity], float(n @ price) / best[capacity]
-                pool = with_each(last, lengths, capacity, len(count) - 1)[:, lengths].astype(float)
-                worth = pool @ dual
-                pool, worth = pool[worth > 1 + 1e-9], worth[worth > 1 + 1e-9]
-                if len(pool):
-                    break
-            if not len(pool) or x.sum() <= max(bound + 0.5, bound * (1 + TIGHT / 10)):
-                break
-        enters = pool[int(worth.argmax())]
-        step = inverse @ enters
-        ratio = np.full(m, np.inf)
-        np.divide(x, step, out=ratio, where=step > 1e-7)
-        if not np.isfinite(ratio.min()):
-            break
-        r = int(np.where(ratio <= ratio.min() + 1e-9, step, 0).argmax())
-        x = np.maximum(x - ratio[r] * step, 0)
-        x[r] = ratio[r]
-        basis[:, r] = enters
-        inverse[r] /= step[r]
-        step[r] = 0
-        inverse -= np.outer(step, inverse[r])
-    x = np.maximum(inverse @ count[lengths], 0)
-    held = [tuple((int(lengths[i]), int(c)) for i, c in enumerate(col) if c) for col in basis.T]
-    return list(zip(held, x.tolist()))
-
-
-def rounded(solved: list[tuple[Contents, float]], left: np.ndarray, capacity: int) -> list[tuple[Contents, int]]:
-    """Whole sequences of a fractional solution; the rest goes by steps or by best fit, whichever is less."""
-    left, out = left.copy(), []
-    for held, x in sorted(solved, key=lambda c: -c[1]):
-        times = min(int(x + 1e-6), *(int(left[length]) // n for length, n in held))
-        if times:
-            out.append((held, times))
-            for length, n in held:
-                left[length] -= n * times
-    return out + min(_by_steps(left, capacity)[0], best_fit(left, capacity), key=sequences)
-
-
 def sequences(planned: list[tuple[Contents, int]]) -> int:
     return sum(times for _, times in planned)
 
 
-def _by_steps(left: np.ndarray, capacity: int) -> tuple[list[tuple[Contents, int]], float]:
-    left = left.copy()
-    out, bound = configurations(left, capacity) if left.any() else ([], 0.0)
-    return out + best_fit(left, capacity), bound
+def plan(count: np.ndarray, capacity: int = SEQUENCE) -> tuple[list[tuple[Contents, int]], float]:
+    """Configurations and how often each, that hold the histogram ``count`` exactly, and the program's lower bound.
 
-
-def plan(count: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[Contents, int]]:
-    """Configurations and how often each, that hold the histogram ``count`` exactly.
-
-    Where the steps stay away from the lower bound, the fractional program is solved over all
-    lengths and rounded down, and the plan of fewer sequences is taken.
+    The heat falls fast while the weights cover all lengths alike and slowly otherwise.  The
+    fractional solution is rounded now and then, and the plan of fewest sequences stays; it
+    ends within TIGHT of the bound, or after ROUNDS pricings.
     """
     left = count.astype(np.int64).copy()
     out: list[tuple[Contents, int]] = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    stepped, bound = _by_steps(left, capacity)
-    if sequences(stepped) - bound > max(TIGHT * bound, ROUNDING * np.count_nonzero(left)):
-        stepped = min(stepped, rounded(fractional(left, capacity), left, capacity), key=sequences)
-    return out + stepped
+    if not left.any():
+        return out, float(sequences(out))
+    pool, heat, found = Configurations(left, capacity), HOT, best_fit(left, capacity)
+    for k in range(1, ROUNDS + 1):
+        pool.extend()
+        heat = max(heat * (0.5 if pool.reweigh(heat) < 0.01 else 0.95), COLD)
+        if k % ROUNDED == 0:
+            found = min(found, pool.rounded(left), key=sequences)
+            if sequences(found) <= max(np.ceil(pool.bound - 1e-6), (1 + TIGHT) * pool.bound):
+                break
+        pool.prune()
+    return out + found, pool.bound + sequences(out)
 
 
 def places(planned: list[tuple[Contents, int]]) -> dict[str, np.ndarray]:
@@ -367,21 +350,19 @@ def places(planned: list[tuple[Contents, int]]) -> dict[str, np.ndarray]:
 
 
 def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """``cut_pieces`` (a table of ``pieces``) with sequence_id and offset."""
+    """``cut_pieces`` (a written table of ``pieces``) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
-    histogram = cut_pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()
+    counts = cut_pieces.groupBy("length", "chunk").agg((F.max("nth") + 1).alias("n"))
+    counts = cut(counts, "counts")
+    histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).toPandas()
     count = np.zeros(sequence + 1, np.int64)
     count[histogram["length"].to_numpy(int)] = histogram["n"].to_numpy(int)
-    salts = int(max(1, -(-int(count.max()) // RANKED)))
-    sent = spark.sparkContext.broadcast(places(plan(count, sequence)))
+    sent = spark.sparkContext.broadcast(places(plan(count, sequence)[0]))
 
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(small(counts, 24), ["length", "salt"])
-    ranked = ranked.select(*cut_pieces.columns, (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = cut(counts.select("length", "chunk", F.coalesce(before, F.lit(0)).alias("before")), "before")
+    kept = [c for c in cut_pieces.columns if c not in {"chunk", "nth"}]
+    ranked = cut_pieces.join(small(before, 24), ["length", "chunk"]).select(*kept, (F.col("nth") + F.col("before")).cast("long").alias("rank"))
 
     def run(batches):
         p = sent.value
@@ -391,10 +372,10 @@ def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             k = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             inner = rank - p["rank"][k]
             where = [pa.array(p["base"][k] + inner // p["n"][k]), pa.array(p["offset"][k] + inner % p["n"][k] * length)]
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, *where], [*batch.schema.names[:-1], "sequence_id", "offset"])
+            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*cols, *where], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
+    fields = ", ".join(f"`{c}` {cut_pieces.schema[c].dataType.simpleString()}" for c in kept)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import io
+import itertools
 import struct
 import zipfile
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -16,10 +18,15 @@ from folioscope.llm import packing, warc_zip
 TOKENIZER = packing.production_tokenizer()
 
 
-def reference_ids(text):
+@lru_cache(1)
+def reference():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def reference_ids(text):
+    return reference().encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 TEXTS = [(1, "Hello wörld, it's 42!\n\n  x"), (2, None), (3, ""), (4, "word " * 3000), (5, "Ünï çödé " * 500), (5, "Ünï çödé " * 500), (None, "no id"), (6, "a" * 5000), (7, "it's\tmine  now 'llama  \r\n" * 40), (8, "x½ Ⅷ 2² a\x1cb \x1f c_d __ ا٣ ​ e\u0301 \u00a0\u3000 z\x85 日本語 七"), (9, "tab\x1c \x1d x"), (10, "😀👍🏽 ok \ufffd")]
@@ -33,11 +40,11 @@ def test_tokens_of_long_texts_do_not_depend_on_splitting(monkeypatch):
         assert np.frombuffer(packing.token_bytes(text or "", words), "<u4").tolist() == reference_ids(text)
 
 
-@pytest.mark.parametrize("salted", [packing.RANKED, 3])
-def test_pieces_fill_sequences_without_gaps(docs, monkeypatch, salted):
-    monkeypatch.setattr(packing, "RANKED", salted)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pieces_fill_sequences_without_gaps(docs, parts):
     texts = TEXTS + [(100 + i, "some words " * (i % 40)) for i in range(300)]
-    rows = packing.packed(docs(texts).withColumn("length", F.lit("clash")), TOKENIZER, with_ids=True).collect()
+    frame = docs(texts, repartition=parts).withColumn("length", F.lit("clash")).withColumn("chunk", F.lit(1)).withColumn("rank", F.lit(0))
+    rows = packing.packed(frame, TOKENIZER, with_ids=True).collect()
     ids = {i: reference_ids(t) for i, t in texts}
     for r in rows:
         own = ids[r.doc_id][r.start : r.start + r.length]
@@ -60,24 +67,67 @@ def test_packing_nothing(docs):
     assert packing.packed(docs([(1, "x")]).where("false"), TOKENIZER).count() == 0
 
 
+def held_by(planned, capacity):
+    count = np.zeros(capacity + 1, np.int64)
+    for contents, times in planned:
+        assert sum(length * n for length, n in contents) <= capacity and times > 0
+        for length, n in contents:
+            count[length] += n * times
+    return count
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_hold_the_histogram(seed):
     rng = np.random.default_rng(seed)
-    count = np.zeros(101, np.int64)
-    for length in rng.integers(1, 101, rng.integers(0, 3000)):
-        count[length] += 1
-    planned = packing.plan(count, 100)
-    held = np.zeros(101, np.int64)
-    for contents, times in planned:
-        assert sum(length * n for length, n in contents) <= 100 and times > 0
-        for length, n in contents:
-            held[length] += n * times
-    assert (held == count).all()
-    left = count.copy()
-    left[100] = 0
-    _, bound = packing.configurations(left, 100)
-    used = sum(n for _, n in planned) - count[100]
-    assert bound - 1e-9 <= used <= 1.05 * bound + 2
+    count = np.bincount(rng.integers(1, 101, rng.integers(0, 3000)), minlength=101)
+    planned, bound = packing.plan(count, 100)
+    used = packing.sequences(planned)
+    assert (held_by(planned, 100) == count).all() and bound - 1e-6 <= used
+    assert used <= packing.sequences(packing.best_fit(count, 100)) and used <= 1.01 * bound + 1
+
+
+def brute_bound(count, capacity):
+    """The program's optimum by the simplex method with every configuration listed, in exact fractions."""
+    from fractions import Fraction
+
+    lengths = [int(x) for x in np.nonzero(count)[0]]
+    columns = [c for c in itertools.product(*(range(capacity // x + 1) for x in lengths)) if 0 < sum(a * x for a, x in zip(c, lengths)) <= capacity]
+    m = len(lengths)
+    basis = [tuple(int(i == j) for i in range(m)) for j in range(m)]
+    table = [[Fraction(int(i == j)) for j in range(m)] + [Fraction(int(count[lengths[i]]))] for i in range(m)]
+    while True:
+        dual = [sum(table[i][j] for i in range(m)) for j in range(m)]
+        enters = max(columns, key=lambda c: sum(a * y for a, y in zip(c, dual)))
+        if sum(a * y for a, y in zip(enters, dual)) <= 1:
+            return float(sum(row[-1] for row in table))
+        step = [sum(table[i][j] * enters[j] for j in range(m)) for i in range(m)]
+        r = min((i for i in range(m) if step[i] > 0), key=lambda i: table[i][-1] / step[i])
+        table[r] = [v / step[r] for v in table[r]]
+        for i in range(m):
+            if i != r:
+                table[i] = [v - step[i] * w for v, w in zip(table[i], table[r])]
+        basis[r] = enters
+
+
+@pytest.mark.parametrize("held", [{9: 40, 7: 33, 5: 51, 4: 70}, {11: 20, 8: 90, 6: 45, 3: 20}, {13: 31, 7: 64, 6: 77}, {10: 17, 9: 23, 5: 12, 2: 8}])
+def test_bound_and_plan_against_the_program_with_all_configurations(held):
+    count = np.zeros(21, np.int64)
+    count[list(held)] = list(held.values())
+    optimum = brute_bound(count, 20)
+    planned, bound = packing.plan(count, 20)
+    assert optimum * 0.99 <= bound <= optimum + 1e-6
+    assert optimum - 1e-6 <= packing.sequences(planned) <= optimum + len(held)
+
+
+@pytest.mark.parametrize("low, high", [(20, 300), (345, 512)])
+def test_lengths_of_a_narrow_range_are_packed_by_configurations(low, high):
+    count = np.zeros(1025, np.int64)
+    count[low:high] = np.random.default_rng(low).integers(100, 5000, high - low)
+    pool = packing.Configurations(count, 1024)
+    pool.extend(), pool.reweigh(packing.HOT)
+    assert len(pool.x) > 100 and pool.x.sum() > 0.2 * pool.bound
+    planned, bound = packing.plan(count)
+    assert packing.sequences(planned) <= 1.0006 * bound + 1 and (held_by(planned, 1024) == count).all()
 
 
 PAGES = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, "http://a/\r\n3", None), (4, None, ""), (5, "http://a/5", "x" * 300_000), (None, "http://a/n", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (6, "u", "single"), (None, "v", "lone"), (7, "w", "\r\n\r\nodd")]
@@ -123,25 +173,19 @@ def test_no_pages(spark, tables):
 def test_plans_do_not_grow_with_the_number_of_pieces():
     rng = np.random.default_rng(8)
     count = np.concatenate([[0], rng.integers(0, 50_000_000, 100)])
-    planned = packing.plan(count, 100)
-    lower = max(count @ np.arange(101) / 100, count[51:].sum())
-    assert len(planned) < 20_000 and sum(n for _, n in planned) <= 1.03 * lower
+    planned, bound = packing.plan(count, 100)
+    assert len(planned) < 20_000 and packing.sequences(planned) <= 1.001 * bound
     wide = np.zeros(101, np.int64)
     wide[[60, 55]] = 10**9
-    assert sum(n for _, n in packing.plan(wide, 100)) == 2 * 10**9
+    assert packing.sequences(packing.plan(wide, 100)[0]) == 2 * 10**9
 
 
-@pytest.mark.parametrize("held, least", [({400: 6000, 300: 12000}, 6000), ({300: 6000, 212: 6000}, 3000), ({400: 7, 300: 14}, 7), ({300: 60, 212: 60}, 30), ({350: 900, 330: 900, 344: 900}, 900), ({600: 1000, 412: 1000, 100: 5000}, 1500)])
+@pytest.mark.parametrize("held, least", [({400: 6000, 300: 12000}, 6000), ({300: 6000, 212: 6000}, 3000), ({400: 7, 300: 14}, 7), ({300: 60, 212: 60}, 30), ({350: 900, 330: 900, 344: 900}, 900), ({600: 1000, 412: 1000, 100: 5000}, 1500), ({508: 600, 258: 600, 234: 1200, 266: 600}, 900)])
 def test_plans_of_few_lengths_are_optimal(held, least):
     count = np.zeros(1025, np.int64)
     count[list(held)] = list(held.values())
-    planned = packing.plan(count)
-    got = np.zeros(1025, np.int64)
-    for contents, times in planned:
-        assert sum(length * n for length, n in contents) <= 1024 and times > 0
-        for length, n in contents:
-            got[length] += n * times
-    assert (got == count).all() and sum(n for _, n in planned) == least
+    planned, bound = packing.plan(count)
+    assert (held_by(planned, 1024) == count).all() and packing.sequences(planned) == least and 0.999 * least - 1 <= bound <= least + 1e-6
 
 
 def test_zip64_directories():
