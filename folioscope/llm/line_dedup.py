@@ -1,27 +1,33 @@
 """Line dedup: repeated runs of lines, found on a suffix array of line ids.
 
 The text of the corpus is read as sequences of line ids, one per document, blank lines left
-out.  Prefix doubling names the prefixes of every suffix: level 0 names lines, level k + 1
-names pairs of level-k names that stand 2^k lines apart, so a name stands for 2^k lines and
-names are ordered as the suffixes are.  Only lines, and pairs, that occur at least twice keep
-a name; everything else is a singleton of the suffix array and drops out.
-
-Two suffixes lie in the same longest-common-prefix interval of depth m exactly when their
-names at level k = floor(log2 m) agree at their start and again m - 2^k lines on.  So the
-interval of any run is a pair of names, and no sequential scan over the array is needed.
-A run is worth deleting from ``min_words`` words on; every maximal repeated run of so many
-words is the union of the shortest such runs that begin at, or end at, one of its lines, and
-those have at most ``min_words`` lines.  Hence a fixed number of doublings is enough,
-whatever the lengths of texts and runs.
+out.  Prefix doubling ranks the prefixes of every suffix: level 0 ranks lines, level k + 1
+ranks pairs of level-k ranks that stand 2^k lines apart.  Ranks are dealt by a distributed
+sort of the distinct pairs, so the ranks of a level are in the order of the suffixes; suffixes
+of equal rank are neighbours in the suffix array and share 2^k lines at least.  Lines, and
+pairs, that occur once have no rank: their suffixes are alone in the array from that depth on.
+
+The suffixes that share their first m lines are a longest-common-prefix interval of depth m.
+With k = floor(log2 m), it is the set of suffixes with the same level-k ranks at their start
+and again m - 2^k lines on, the two halves of m lines overlapping.  A run is worth deleting
+from ``min_words`` words on.  Let d(s) be the least depth at which suffix s has so many words.
+Of the intervals that hold s, those of depth d(s) to d(s + 1) decide: any longer repeated run
+from s is the union of such ones that start at s or later.  d is at most ``min_words`` lines,
+so ties beyond that depth do not matter, and doubling ends where two halves reach it, whatever
+the lengths of texts and runs.  Intervals whose later members lie at one distance from the first ones, one line
+after the other, merge to the maximal repeated runs.
 
 Of each interval the first occurrence in the order (doc_id, text hash, line) stays, and every
 other one is a later copy, whose lines are deleted.  A line goes only if an equal line stands
 earlier, so one copy of each line always stays.
 
+A line, pair or run that many documents share is counted by partial aggregates; its ranks and
+first places come back by joins of written tables, whose hot partitions Spark splits.
+
 Defined cases: an occurrence that overlaps an earlier one counts as a copy, so a periodic run
-within a text shrinks to one period.  A document is a distinct pair of doc_id and text:
-repeated rows are one document and get equal results.  A null doc_id comes first in the
-order.  Null texts stay null, blank lines are never deleted, texts without a deleted line
+within a text shrinks to one period.  Very long texts are read whole like any other; a step holds the
+lines of one text at most.  A document is a distinct pair of doc_id and text: repeated rows are
+one document and get equal results.  A null doc_id comes first in the order.  Null texts stay null, blank lines are never deleted, texts without a deleted line
 come back unchanged, and an empty table gives an empty result.  All columns are passed on;
 columns that this operator adds replace those of the same name.
 """
@@ -47,77 +53,99 @@ def _same_doc(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.doc_hash") == F.col(f"{b}.doc_hash"))
 
 
-def _names(df: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Ordered names for the values of ``key`` that occur more than once."""
+def _ranks(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Ranks, in order, of the values of ``key`` that occur more than once."""
     often = cut(df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
-    return cut(often.orderBy(*key).withColumn(name, F.monotonically_increasing_id()), "names")
+    return cut(often.orderBy(*key).withColumn(name, F.monotonically_increasing_id()), "ranks")
 
 
-def suffix_names(docs: DataFrame, levels: int) -> DataFrame:
+def suffix_ranks(docs: DataFrame, levels: int) -> DataFrame:
     """doc_id, doc_hash, p, line, n_words, r0 .. r<levels>: the lines that occur more than once.
 
-    p counts the lines of a text that aren't blank, line counts all.  r<k> names the 2^k lines
-    from p on; null if no other place has the same.
+    p counts the lines of a text that aren't blank, line counts all.  r<k> ranks the 2^k lines
+    from p on among all such; null if no other place has the same.
     """
     listed = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda y: y["s"].rlike(r"\S"))
     lines = docs.select("doc_id", text_hash(F.col("text")).alias("doc_hash"), F.posexplode(listed).alias("p", "at")).select(
         *DOC, "p", F.col("at.line").alias("line"), F.expr(r"regexp_count(at.s, '\\S+')").alias("n_words"), F.unhex(F.md5(F.col("at.s").cast("binary"))).alias("id")
     )
     lines = cut(lines, "lines")
-    names = _names(lines, ["id"], "r0")
-    active = lines.join(names, "id").drop("id")
+    ranks = _ranks(lines, ["id"], "r0")
+    active = lines.join(ranks, "id").drop("id")
     active = cut(active.groupBy(*DOC, "p").agg(*(F.first(c).alias(c) for c in ("line", "n_words", "r0"))), "suffixes")
-    drop(lines, names)
+    drop(lines, ranks)
     for k in range(levels):
         ahead = Window.partitionBy(*DOC).orderBy("p").rangeBetween(2**k, 2**k)
         paired = active.withColumn("next", F.max(f"r{k}").over(ahead))
         pairs = paired.where(f"r{k} IS NOT NULL AND next IS NOT NULL").select(F.col(f"r{k}").alias("a"), F.col("next").alias("b"))
-        names = _names(pairs, ["a", "b"], f"r{k + 1}")
-        longer = paired.join(names, (F.col(f"r{k}") == F.col("a")) & (F.col("next") == F.col("b")), "left").drop("a", "b", "next")
+        ranks = _ranks(pairs, ["a", "b"], f"r{k + 1}")
+        longer = paired.join(ranks, (F.col(f"r{k}") == F.col("a")) & (F.col("next") == F.col("b")), "left").drop("a", "b", "next")
         longer = cut(longer, "suffixes")
-        drop(active, names)
+        drop(active, ranks)
         active = longer
     return active
 
 
-def _shortest(lines: Column, at: Column, step: int, min_words: int) -> Column:
-    """Lines from ``at`` on, going by ``step``, until there are ``min_words`` words; 0 if the named lines end before."""
+def _least_depth(lines: Column, at: Column, min_words: int) -> Column:
+    """Lines from ``at`` on until there are ``min_words`` words; 0 if the ranked lines end before."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("over"))
     add = lambda a, x: F.when(
-        a["over"] | (x["p"] != at + step * a["n"]), a
+        a["over"] | (x["p"] != at + a["n"]), a
     ).otherwise(F.struct((a["n"] + 1).alias("n"), (a["words"] + x["n_words"]).alias("words"), (a["words"] + x["n_words"] >= min_words).alias("over")))
-    return F.aggregate(lines, start, add, lambda a: F.when(a["over"], a["n"]).otherwise(0))
+    return F.aggregate(F.filter(lines, lambda x: x["p"] >= at), start, add, lambda a: F.when(a["over"], a["n"]).otherwise(0))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, doc_hash, p, line: every line of a later copy of a repeated run."""
+def intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The suffixes (see ``suffix_ranks``), and doc_id, doc_hash, p, n, a, b: the intervals of depth n that hold the suffix at p.
+
+    a and b name the interval: the ranks of its first and of its last 2^floor(log2 n) lines.
+    """
     levels = max(0, min_words.bit_length() - 1)
-    suffixes = suffix_names(docs, levels)
-    reach = Window.partitionBy(*DOC).orderBy("p").rangeBetween(-(min_words - 1), min_words - 1)
+    suffixes = suffix_ranks(docs, levels)
+    reach = Window.partitionBy(*DOC).orderBy("p").rangeBetween(0, min_words)
     near = suffixes.select(*DOC, "p", F.sort_array(F.collect_list(F.struct("p", "n_words")).over(reach)).alias("near"))
-    here = F.col("p")
-    ahead = _shortest(F.filter("near", lambda x: x["p"] >= here), here, 1, min_words)
-    back = _shortest(F.reverse(F.filter("near", lambda x: x["p"] <= here)), here, -1, min_words)
-    runs = near.select(*DOC, F.explode(F.array(F.struct(here.alias("p"), ahead.alias("n")), F.struct((here - back + 1).alias("p"), back.alias("n")))).alias("run"))
-    runs = runs.select(*DOC, "run.p", "run.n").where("n > 0").distinct()
-    runs = runs.withColumn("k", F.length(F.bin(F.col("n").cast("long"))) - 1).withColumn("q", F.expr("p + n - cast(shiftleft(1, k) as int)"))
+    here, after = _least_depth(F.col("near"), F.col("p"), min_words), _least_depth(F.col("near"), F.col("p") + 1, min_words)
+    # Where the ranked lines end before the next suffix has enough words, this one is followed to their end.
+    ahead = F.size(F.filter(F.transform("near", lambda x, i: x["p"] == F.col("p") + i), lambda same: same))
+    depths = near.select(*DOC, "p", here.alias("least"), F.least(F.when(after > 0, after).otherwise(ahead), F.lit(min_words)).alias("most")).where("least > 0")
+    wanted = depths.select(*DOC, "p", F.explode(F.sequence("least", F.greatest("least", "most"))).alias("n"))
+    wanted = wanted.withColumn("k", F.length(F.bin(F.col("n").cast("long"))) - 1).withColumn("q", F.expr("p + n - cast(shiftleft(1, k) as int)"))
 
     at_level = lambda alias: F.coalesce(*(F.when(F.col("k") == k, F.col(f"{alias}.r{k}")) for k in range(levels + 1)))
-    head = runs.alias("s").join(suffixes.alias("x"), _same_doc("s", "x") & (F.col("s.p") == F.col("x.p")))
+    head = wanted.alias("s").join(suffixes.alias("x"), _same_doc("s", "x") & (F.col("s.p") == F.col("x.p")))
     head = head.select("s.*", at_level("x").alias("a")).where("a IS NOT NULL")
     both = head.alias("s").join(suffixes.alias("x"), _same_doc("s", "x") & (F.col("s.q") == F.col("x.p")))
-    both = cut(both.select("s.doc_id", "s.doc_hash", "s.p", "s.n", "a", at_level("x").alias("b")).where("b IS NOT NULL"), "runs")
+    return suffixes, cut(both.select("s.doc_id", "s.doc_hash", "s.p", "s.n", "a", at_level("x").alias("b")).where("b IS NOT NULL"), "intervals")
 
+
+def maximal_runs(held: DataFrame) -> DataFrame:
+    """doc_id, doc_hash, p, n, source_id, source_hash, source_p: the maximal later copies of runs, and where they stand first.
+
+    ``held`` is the table of ``intervals``.
+    """
     place = F.struct("doc_id", "doc_hash", "p")
-    firsts = both.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
-    later = both.join(firsts.drop("places"), ["n", "a", "b"]).where(place != F.col("first"))
-    gone = later.select(*DOC, F.explode(F.sequence("p", F.col("p") + F.col("n") - 1)).alias("p")).distinct()
+    firsts = cut(held.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"), "firsts")
+    later = held.join(firsts, ["n", "a", "b"]).where(place != F.col("first"))
+    source = ["source_id", "source_hash", "shift"]
+    copies = later.select(*DOC, "p", "n", F.col("first.doc_id").alias("source_id"), F.col("first.doc_hash").alias("source_hash"), (F.col("p") - F.col("first.p")).alias("shift"))
+    copies = copies.groupBy(*DOC, *source, "p").agg(F.max("n").alias("n"))
+    upto = F.max(F.col("p") + F.col("n")).over(Window.partitionBy(*DOC, *source).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    opens = copies.withColumn("opens", F.when(F.col("p") <= upto, 0).otherwise(1))
+    runs = opens.withColumn("run", F.sum("opens").over(Window.partitionBy(*DOC, *source).orderBy("p")))
+    runs = runs.groupBy(*DOC, *source, "run").agg(F.min("p").alias("p"), F.max(F.col("p") + F.col("n")).alias("end"))
+    return runs.select(*DOC, "p", (F.col("end") - F.col("p")).alias("n"), "source_id", "source_hash", (F.col("p") - F.col("shift")).alias("source_p"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, doc_hash, p, line: every line of a later copy of a repeated run."""
+    suffixes, held = intervals(docs, min_words)
+    gone = maximal_runs(held).select(*DOC, F.explode(F.sequence("p", F.col("p") + F.col("n") - 1)).alias("p")).distinct()
     return gone.alias("g").join(suffixes.alias("x"), _same_doc("g", "x") & (F.col("g.p") == F.col("x.p"))).select("g.doc_id", "g.doc_hash", "g.p", "x.line")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) with the lines of later copies deleted from text, and n_lines, n_deleted long."""
-    gone = repeated_runs(docs.select("doc_id", "text"), min_words)
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words)
     per_doc = cut(gone.groupBy(*DOC).agg(F.sort_array(F.collect_set("line")).alias("gone_lines")), "gone")
     per_doc = per_doc.select(F.col("doc_id").alias("gone_id"), F.col("doc_hash").alias("gone_hash"), "gone_lines")
     right = F.broadcast(per_doc) if _fits(per_doc) else per_doc

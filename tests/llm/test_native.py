@@ -53,6 +53,45 @@ def test_line_dedup_like_brute_force(docs, min_words):
     assert got == sorted(((p[0], want[p]) for p in LINES), key=repr)
 
 
+def test_line_dedup_of_very_long_texts(docs):
+    shared = [f"shared {i} x" for i in range(3000)]
+    pairs = [(1, "\n".join(["start of one", *shared, "end of one"])), (2, "\n".join([*(f"own {i}" for i in range(2000)), *shared[500:]])), (3, "word " * 200_000), (4, "word " * 200_000)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(pairs)).collect()}
+    assert got[1] == pairs[0][1] and got[2] == "\n".join(f"own {i}" for i in range(2000))
+    assert got[3] == pairs[2][1] and got[4] == ""
+
+
+def brute_maximal(pairs, min_words):
+    """Later copies of runs by comparing all places: the least earlier place of each long enough run, merged along equal distances."""
+    order = sorted({p for p in pairs if p[1] is not None}, key=lambda p: (p[0] is not None, p[0] or 0))
+    first, found = {}, {}
+    for doc in order:
+        lines = [x for x in doc[1].split("\n") if re.search(r"\S", x)]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= min_words:
+                    at = first.setdefault(tuple(lines[a:b]), (doc[0], a))
+                    if at != (doc[0], a):
+                        found.setdefault((doc[0], at[0], a - at[1]), set()).update(range(a, b))
+    return found
+
+
+def test_maximal_runs_like_brute_force(docs):
+    pairs = list(dict.fromkeys(LINES))
+    _, held = line_dedup.intervals(docs(pairs), 6)
+    rows = line_dedup.maximal_runs(held).collect()
+    want = brute_maximal(pairs, 6)
+    assert rows and max(r.n for r in rows) == 150
+    for r in rows:
+        assert set(range(r.p, r.p + r.n)) <= want[(r.doc_id, r.source_id, r.p - r.source_p)]
+    got, every = {}, {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).update(range(r.p, r.p + r.n))
+    for (doc_id, _, _), places in want.items():
+        every.setdefault(doc_id, set()).update(places)
+    assert got == every
+
+
 def test_line_dedup_of_nothing(docs):
     assert line_dedup.line_dedup(docs([(1, "x")]).where("false")).count() == 0
 
