@@ -1,21 +1,24 @@
 """Benchmark decontamination by a positional inverted index over the training text.
 
-The index holds a posting (document, position) for every occurrence of a benchmark term in
-the documents, written once, each partition's lists sorted by term.  Terms are pairs of
-neighbouring words (a nextword index), whose lists are far shorter than those of words.  A test window is found
-by starting from the list of its rarest term, moved back by the term's offset, and
-intersecting it with the moved lists of its other terms: a start at which every term of the
-window has its posting is an exact phrase match.  ``proximity_matches`` uses the same lists
-for terms that stand near each other.
-
-Everything is DataFrame operations.  Lists of common terms are never joined with each other:
-the rarest list bounds the number of starts, and the other lists are first restricted to
-documents that have a start.
-
-Defined cases: a document is a distinct pair of doc_id and text, so repeated rows get equal
-results, once per row; null text has no words; an item without words has no window; items
-that share a window, or an item id that comes twice, count by id; a null item_id counts for
-hits but not as an item.  Empty tables give empty (or all-clean) results, and further
+The index holds a posting (row, term, position) for every occurrence of a word of the test
+windows in the documents; it is written once, each partition's lists sorted by term.  Words
+that no window has are never looked up and have no list.
+
+A window is found from its rarest words on.  The list of its rarest word, and that of the next
+rarest, are intersected first, once for all windows that share the two; a place stays if the
+second list has a posting near enough.  Then the lists of the window's other words follow one
+by one, rarest first, each over the places that are left.  At a place where all words of the
+window have postings, the positions less the words' offsets in the window decide: if all agree
+on a start, it is an exact phrase match; if all lie in a stretch of at most ``NEAR`` times the
+window's words, in any order, it is a proximity match (exact matches are such, too).
+
+Everything is DataFrame operations.  Lists are joined by row, word and strip of positions, so
+neither a common word nor a very long document is one key.
+
+Defined cases: every row is a document of its own, so repeated rows get equal results; null
+text has no words; very long texts are indexed whole; an item without words has no window;
+items that share a window, or an item id that comes twice, count by id; a null item_id counts
+for hits but not as an item.  Empty tables give empty (or all-clean) results, and further
 columns are not read.
 """
 
@@ -34,6 +37,10 @@ ODD_UPPER = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
 
 #: Consecutive words of a test window.
 WINDOW = 8
+#: A proximity match holds a window's words in a stretch of so many times its words at most.
+NEAR = 2
+#: Lists of a window that are intersected one by one; the others follow together, over the few places left.
+LISTS = 8
 #: Items whose windows a contaminated document holds, at least.
 MIN_ITEMS = 2
 
@@ -51,150 +58,140 @@ def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return listed.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, width))).alias("window")).distinct()
 
 
-def pairs(words: Column) -> Column:
-    """(offset, a, b) for each two neighbours of an array of words; (0, word, null) for a single one."""
-    return F.when(F.size(words) == 1, F.array(F.struct(F.lit(0).alias("offset"), words[0].alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.struct(i.alias("offset"), F.get(words, i).alias("a"), F.get(words, i + 1).alias("b")))
-    )
-
-
 class PositionalIndex:
-    """Postings in ``docs`` (doc_id, text) of the terms of ``windows`` (arrays of words).
+    """Postings in ``docs`` (doc_id, text) of the words of ``windows`` (arrays of words).
 
-    A term is a pair of neighbouring words; a window of one word has that word as its term.
-    terms: term_id, a, b.  postings: doc_id, doc_hash, term_id, pos; the posting of term 0
-    stands behind a document's last word, so that it holds the number of its words.
+    terms: term_id, word.  postings: n, term_id, pos, and doc_id, doc_hash in the posting of
+    term 0, which stands behind a document's last word, so that it holds the number of its words.
     """
 
     def __init__(self, docs: DataFrame, windows: DataFrame):
         spark = docs.sparkSession
-        found = windows.select(F.explode(pairs(F.col("window"))).alias("t")).select("t.a", "t.b").distinct()
-        end = spark.createDataFrame([(0, "", "")], "term_id long, a string, b string")
-        numbered = found.select((F.monotonically_increasing_id() + 1).alias("term_id"), "a", "b")
-        self.terms = cut(numbered.unionByName(end), "terms")
-        keyed = small(self.terms.withColumn("key", F.xxhash64("a", F.col("b"), F.col("b").isNull())), 128)
+        found = windows.select(F.explode("window").alias("word")).distinct()
+        end = spark.createDataFrame([(0, "")], "term_id long, word string")
+        self.terms = cut(found.select((F.monotonically_increasing_id() + 1).alias("term_id"), "word").unionByName(end), "terms")
+        keyed = small(self.terms.select("term_id", F.col("word").alias("term"), F.xxhash64("word").alias("key")), 96)
 
         listed = F.concat(words(F.col("text")), F.array(F.lit("")))
-        held = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), listed.alias("w"))
+        held = docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_hash"), listed.alias("w"))
         # The outer form, as the plain one would compute the words once more to look for empty arrays; there are none.
-        both = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"))
-        tokens = held.select("doc_id", "doc_hash", F.posexplode_outer(both).alias("pos", "t"))
-        tokens = tokens.select("doc_id", "doc_hash", "pos", F.col("t.a").alias("word"), F.coalesce("t.b", F.lit("")).alias("next"))
-        pair_key = F.xxhash64("word", "next", F.lit(False))
-        if self.terms.where("b IS NULL").limit(1).count():
-            none = F.lit(None).cast("string")
-            tokens = tokens.select("doc_id", "doc_hash", "pos", "word", F.explode(F.array(F.col("next"), none)).alias("next"))
-            pair_key = F.xxhash64("word", "next", F.col("next").isNull())
+        tokens = held.select("n", "doc_id", "doc_hash", F.posexplode_outer("w").alias("pos", "word")).withColumn("key", F.xxhash64("word"))
         # The digests meet by an equi-join on one long; the words themselves are compared after it.
-        same = F.startswith("word", F.col("a")) & F.startswith(F.col("a"), F.col("word"))
-        same &= (F.col("b").isNull() & F.col("next").isNull()) | (F.startswith("next", F.col("b")) & F.startswith(F.col("b"), F.col("next")))
-        posted = tokens.withColumn("key", pair_key).join(keyed, "key").where(same).select("doc_id", "doc_hash", "term_id", "pos")
-        self.postings = cut(posted.sortWithinPartitions("term_id"), "postings")
-        self.counts = cut(self.postings.groupBy("term_id").agg(F.count("*").alias("n")), "counts")
+        same = F.startswith("word", F.col("term")) & F.startswith(F.col("term"), F.col("word"))
+        at_end = lambda c: F.when(F.col("term_id") == 0, F.col(c)).alias(c)
+        posted = tokens.join(keyed, "key").where(same).select("n", "term_id", "pos", at_end("doc_id"), at_end("doc_hash"))
+        self.postings = cut(posted.sortWithinPartitions("term_id", "n", "pos"), "postings")
+        self.lists = self.postings.where("term_id > 0").select("n", "term_id", "pos")
+        self.counts = cut(self.lists.groupBy("term_id").agg(F.count("*").alias("df")), "counts")
 
     def documents(self) -> DataFrame:
-        """doc_id, doc_hash, n_words: a row for each row of the input."""
-        return self.postings.where("term_id = 0").select("doc_id", "doc_hash", F.col("pos").cast("long").alias("n_words"))
+        """n, doc_id, doc_hash, n_words: a row for each row of the input."""
+        return self.postings.where("term_id = 0").select("n", "doc_id", "doc_hash", F.col("pos").cast("long").alias("n_words"))
 
     def _by_rarity(self, windows: DataFrame) -> DataFrame:
-        """window_id, size, lists: the window's (n, offset, term_id), rarest first; windows with a term that no document has are gone."""
-        spread = windows.select("window_id", F.size("window").alias("size"), F.explode(pairs(F.col("window"))).alias("t")).select("window_id", "size", "t.*")
-        known = spread.join(self.terms, spread["a"].eqNullSafe(self.terms["a"]) & spread["b"].eqNullSafe(self.terms["b"])).join(self.counts, "term_id")
-        return (
-            known.groupBy("window_id", "size")
-            .agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term_id"))).alias("lists"))
-            .where(F.size("lists") == F.greatest(F.col("size") - 1, F.lit(1)))
-        )
+        """window_id, size, span, slots (offset, term_id), terms (distinct, rarest first), k (their number), t1, t2.
 
-    def phrase_matches(self, windows: DataFrame) -> DataFrame:
-        """doc_id, doc_hash, start, window_id, size of each occurrence of each of ``windows`` (window_id, window)."""
-        ranked = cut(self._by_rarity(windows), "ranked")
-        first = ranked.select("window_id", "size", "lists", F.col("lists")[0]["term_id"].alias("term_id"), F.col("lists")[0]["offset"].alias("offset"))
-        starts = (
-            self.postings.join(small(first.select("window_id", "term_id", "offset"), 32), "term_id")
-            .select("doc_id", "doc_hash", (F.col("pos") - F.col("offset")).alias("start"), "window_id")
-            .where("start >= 0")
-            .distinct()
-        )
-        starts = cut(starts, "starts")
-        touched = cut(starts.select("doc_id", "doc_hash").distinct(), "touched")
-        same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["doc_hash"] == b["doc_hash"])
-        near = small(touched, 24)
-        lists = self.postings.join(near, same_doc(self.postings, near), "left_semi").select("doc_id", "doc_hash", "term_id", "pos")
-
-        # Every second pair and the last one hold all words of the window.
-        cover = F.filter("lists", lambda x: (x["offset"] % 2 == 0) | (x["offset"] == F.col("size") - 2))
-        held_by = ranked.select("window_id", "size", cover.alias("lists"), F.size(cover).alias("n_lists"))
-        rest = starts.join(small(held_by, 256), "window_id").select(
-            "doc_id", "doc_hash", "start", "window_id", "size", "n_lists", F.posexplode("lists").alias("rank", "list")
-        )
-        wanted = rest.select(
-            "doc_id", "doc_hash", "start", "window_id", "size", "n_lists", "rank",
-            F.col("list.term_id").alias("term_id"), (F.col("start") + F.col("list.offset")).alias("pos"),
-        )
-        held = wanted.alias("w").join(
-            lists.alias("p"),
-            F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.doc_hash") == F.col("p.doc_hash")) & (F.col("w.term_id") == F.col("p.term_id")) & (F.col("w.pos") == F.col("p.pos")),
-        )
-        return (
-            held.groupBy("w.doc_id", "w.doc_hash", "w.start", "w.window_id", "w.size", "w.n_lists")
-            .agg(F.bit_or(F.expr("shiftleft(1L, w.rank)")).alias("ranks"))
-            .where("bit_count(ranks) = n_lists")
-            .drop("ranks", "n_lists")
-        )
-
-    def proximity_matches(self, windows: DataFrame, within: int) -> DataFrame:
-        """doc_id, doc_hash, window_id, pos, other: places where a window's two rarest terms stand at most ``within`` words apart, in either order.
-
-        Positions are cut into strips of ``within``; a posting meets those of its own strip
-        and of the two beside it.
+        Windows with a word that no document has are gone; t2 is null where k is 1.
         """
-        ranked = self._by_rarity(windows).where("size > 2")
-        pick = lambda k: ranked.select("window_id", F.col("lists")[k]["term_id"].alias("term_id"))
-        strip = F.floor(F.col("pos") / within)
-        a = self.postings.join(small(pick(0), 24), "term_id").select("doc_id", "doc_hash", "window_id", "pos", F.explode(F.array(strip - 1, strip, strip + 1)).alias("strip"))
-        b = self.postings.join(small(pick(1), 24), "term_id").select("doc_id", "doc_hash", "window_id", F.col("pos").alias("other"), strip.alias("strip"))
-        joined = a.alias("a").join(
-            b.alias("b"),
-            F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.doc_hash") == F.col("b.doc_hash")) & (F.col("a.window_id") == F.col("b.window_id")) & (F.col("a.strip") == F.col("b.strip")),
+        spread = windows.select("window_id", F.size("window").alias("size"), F.posexplode("window").alias("offset", "word"))
+        known = spread.join(self.terms, "word").join(self.counts, "term_id")
+        ranked = known.groupBy("window_id", "size").agg(
+            F.sort_array(F.collect_list(F.struct("offset", "term_id"))).alias("slots"), F.sort_array(F.collect_set(F.struct("df", "term_id"))).alias("lists")
         )
-        found = joined.select("a.doc_id", "a.doc_hash", "a.window_id", "pos", "other")
-        return found.where((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).distinct()
+        terms = F.transform("lists", lambda x: x["term_id"])
+        ranked = ranked.where(F.size("slots") == F.col("size")).select("window_id", "size", (F.col("size") * NEAR).alias("span"), "slots", terms.alias("terms"), F.size("lists").alias("k"))
+        return ranked.withColumn("t1", F.get("terms", F.lit(0))).withColumn("t2", F.get("terms", F.lit(1)))
+
+    def _places(self, ranked: DataFrame, strip: int) -> DataFrame:
+        """n, window_id, p: places of each window's rarest word that have its next rarest near by."""
+        pairs = small(ranked.where("k > 1").select("t1", "t2", "span").distinct(), 32)
+        a = self.lists.join(pairs, F.col("term_id") == F.col("t1")).select("n", F.col("pos").alias("p"), "t1", "t2", "span").withColumn("strip", F.explode(_strips(strip)))
+        seconds = small(pairs.select(F.col("t2").alias("term_id")).distinct(), 16)
+        b = self.lists.join(seconds, "term_id", "left_semi").select("n", F.col("term_id").alias("t2"), "pos", F.floor(F.col("pos") / strip).alias("strip"))
+        near = a.join(b, ["n", "t2", "strip"]).where(F.abs(F.col("p") - F.col("pos")) < F.col("span")).select("n", "p", "t1", "t2", "span").distinct()
+        found = near.join(ranked.select("window_id", "t1", "t2", "span"), ["t1", "t2", "span"]).select("n", "window_id", "p")
+        single = self.lists.join(small(ranked.where("k = 1").select("window_id", "t1"), 24), F.col("term_id") == F.col("t1")).select("n", "window_id", F.col("pos").alias("p"))
+        return cut(found.unionByName(single), "places")
+
+    def matches(self, windows: DataFrame) -> DataFrame:
+        """n, window_id, size, p, near, starts: places of the rarest words of ``windows`` (window_id, window) with a proximity match, and the starts of exact ones."""
+        ranked = cut(self._by_rarity(windows), "ranked")
+        most = ranked.agg(F.max("k").alias("k"), F.max("span").alias("span")).first()
+        strip = 4 * (most["span"] or 1)
+        left = self._places(ranked, strip)
+        touched = cut(left.select("n").distinct(), "touched")
+        lists = self.lists.join(small(touched, 16), "n", "left_semi").select("n", "term_id", "pos", F.floor(F.col("pos") / strip).alias("strip"))
+        lists = cut(lists, "lists")
+        held_by = small(ranked.select("window_id", "size", "span", "terms", "k", "slots"), 512)
+        left = left.join(held_by, "window_id")
+        for r in range(2, min(most["k"] or 0, LISTS)):
+            t = F.get("terms", F.lit(r))
+            at = F.when(t.isNull(), F.array(F.lit(None).cast("long"))).otherwise(_strips(strip))
+            wanted = left.select("*", t.alias("t"), F.explode(at).alias("at")).alias("w")
+            met = wanted.join(lists.alias("l"), (F.col("w.n") == F.col("l.n")) & (F.col("t") == F.col("l.term_id")) & (F.col("at") == F.col("l.strip")), "left")
+            met = met.where("t IS NULL OR abs(l.pos - p) < span")
+            left = met.groupBy("w.n", "window_id", "p").agg(*(F.first(c).alias(c) for c in ("size", "span", "terms", "k", "slots")))
+        left = cut(left, "left")
+
+        wanted = left.select("n", "window_id", "p", "span", F.explode("terms").alias("term_id"), _strips(strip).alias("at")).withColumn("strip", F.explode("at")).drop("at")
+        around = wanted.join(lists, ["n", "term_id", "strip"]).where(F.abs(F.col("pos") - F.col("p")) < F.col("span"))
+        around = around.groupBy("n", "window_id", "p").agg(F.collect_set(F.struct(F.col("pos").cast("int").alias("pos"), "term_id")).alias("found"))
+        full = around.join(left, ["n", "window_id", "p"])
+        within = lambda s: F.filter("found", lambda y: (y["pos"] >= s) & (y["pos"] < s + F.col("span")))
+        near = F.exists("found", lambda x: F.size(F.array_distinct(F.transform(within(x["pos"]), lambda y: y["term_id"]))) == F.col("k"))
+        begins = F.transform(F.filter("slots", lambda x: x["term_id"] == F.col("terms")[0]), lambda x: F.col("p") - x["offset"])
+        at = lambda s, x: F.struct((s + x["offset"]).cast("int").alias("pos"), x["term_id"].alias("term_id"))
+        starts = F.filter(begins, lambda s: F.forall("slots", lambda x: F.array_contains("found", at(s, x))))
+        return cut(full.select("n", "window_id", "size", "p", near.alias("near"), starts.alias("starts")).where("near"), "matches")
+
+
+def _strips(strip: int) -> Column:
+    """The strips of positions that lie less than span from p."""
+    return F.sequence(F.floor((F.col("p") - F.col("span") + 1) / strip), F.floor((F.col("p") + F.col("span") - 1) / strip))
+
+
+def phrase_matches(matches: DataFrame) -> DataFrame:
+    """n, start, window_id, size of each exact occurrence, from a table of ``PositionalIndex.matches``."""
+    return matches.select("n", "window_id", "size", F.explode("starts").alias("start")).distinct()
+
+
+def proximity_matches(matches: DataFrame) -> DataFrame:
+    """n, window_id: the windows whose words stand near each other in a document, from the same table."""
+    return matches.select("n", "window_id").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """doc_id, doc_hash, n_words, n_hit, n_items, items_sha256, contaminated, spans: a row for each row of ``docs``.
+    """doc_id, doc_hash, n_words, n_hit, n_items, items_sha256, contaminated, n_near, spans: a row for each row of ``docs``.
 
-    spans: the hit words as sorted, disjoint [from, to) positions.
+    n_near: items with a proximity match; spans: the hit words as sorted, disjoint [from, to) positions.
     """
     by_item = test_windows(items, width)
     windows = cut(by_item.select("window").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
     of_item = by_item.join(windows, "window").select("window_id", "item_id").where("item_id IS NOT NULL")
     index = PositionalIndex(docs, windows)
-    matches = cut(index.phrase_matches(windows), "matches")
+    matches = index.matches(windows)
+    phrases = phrase_matches(matches)
 
-    key = ["doc_id", "doc_hash"]
-    before = Window.partitionBy(*key).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ends = matches.groupBy(*key, "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
+    before = Window.partitionBy("n").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ends = phrases.groupBy("n", "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
     ends = ends.withColumn("covered", F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))))
-    new = ends.where("end > covered")
-    hit = new.groupBy(*key).agg(
+    hit = ends.where("end > covered").groupBy("n").agg(
         F.sum(F.col("end") - F.col("covered")).cast("long").alias("n_hit"),
         F.sort_array(F.collect_list(F.struct(F.col("covered").alias("from"), F.col("end").alias("to")))).alias("spans"),
     )
-    named = matches.select(*key, "window_id").distinct().join(small(of_item, 32), "window_id").select(*key, "item_id").distinct()
-    named = named.groupBy(*key).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-
-    keyed = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}" if c in key else c) for c in df.columns))
-    on = lambda a, b: F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}doc_hash") == F.col(f"{b}doc_hash"))
-    found = keyed(hit, "h").join(keyed(named, "i"), on("h_", "i_"), "left").drop("i_doc_id", "i_doc_hash")
-    out = index.documents().join(small(cut(found, "found"), 512), on("", "h_"), "left")
+    of_item = small(cut(of_item, "items"), 32)
+    met = lambda windows: windows.select("n", "window_id").distinct().join(of_item, "window_id").select("n", "item_id").distinct()
+    named = met(phrases).groupBy("n").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    near = met(proximity_matches(matches)).groupBy("n").agg(F.count("*").alias("n_near"))
+    found = cut(hit.join(named, "n", "full").join(near, "n", "full"), "found")
+    out = index.documents().join(small(found, 512), "n", "left")
     return out.select(
         "doc_id", "doc_hash", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("ids", F.array().cast("array<string>"))).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_items", F.lit(0)) >= min_items).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         "spans",
     )
 
@@ -223,7 +220,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, min_items: int
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontaminate(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 SQL = r"""
@@ -246,9 +243,23 @@ WITH dw AS (
 ), items AS (
   SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS id FROM matches WHERE item_id IS NOT NULL) GROUP BY n
+), terms AS (
+  SELECT phrase, size, len(ws) AS k, unnest(ws) AS t
+  FROM (SELECT DISTINCT phrase, size, list_distinct(string_split(phrase, ' ')) AS ws FROM windows)
+), tokens AS (
+  SELECT n, t, p FROM (SELECT n, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM dw) WHERE t IN (SELECT t FROM terms)
+), met AS (
+  SELECT n, phrase, size, k FROM terms JOIN (SELECT DISTINCT n, t FROM tokens) USING (t) GROUP BY ALL HAVING count(*) = k
+), held AS (
+  SELECT n, phrase, met.size, met.k, t, p FROM met JOIN terms USING (phrase) JOIN tokens USING (n, t)
+), stretches AS (
+  SELECT a.n, a.phrase FROM held a JOIN held b ON a.n = b.n AND a.phrase = b.phrase AND b.p BETWEEN a.p AND a.p + 2 * a.size - 1
+  GROUP BY a.n, a.phrase, a.p, a.k HAVING count(DISTINCT b.t) = a.k
+), nears AS (
+  SELECT n, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT n, phrase FROM stretches) JOIN windows USING (phrase) GROUP BY n
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_items, 0) >= 2 AS contaminated
-FROM dw LEFT JOIN hits ON dw.n = hits.n LEFT JOIN items ON dw.n = items.n
+       coalesce(n_items, 0) >= 2 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN hits ON dw.n = hits.n LEFT JOIN items ON dw.n = items.n LEFT JOIN nears ON dw.n = nears.n
 """

@@ -109,22 +109,24 @@ def tokens(text):
 def brute_hits(pairs, items, width, min_items):
     out = []
     for doc_id, text in pairs:
-        w, hit, found = tokens(text), set(), set()
+        w, hit, found, near = tokens(text), set(), set(), set()
         for item_id, item in items:
             v = tokens(item)
             for j in range(max(1, len(v) - width + 1)) if v else ():
                 x = v[j : j + width]
+                if any(set(x) <= set(w[s : s + 2 * len(x)]) for s in range(len(w))):
+                    near.add(item_id)
                 for s in range(len(w) - len(x) + 1):
                     if w[s : s + len(x)] == x:
                         hit.update(range(s, s + len(x)))
                         found.add(item_id)
         ids = ",".join(sorted(str(i) for i in found if i is not None))
         n = len(found - {None})
-        out.append((doc_id, len(w), len(hit), n, hashlib.sha256(ids.encode()).hexdigest(), n >= min_items))
+        out.append((doc_id, len(w), len(hit), n, hashlib.sha256(ids.encode()).hexdigest(), n >= min_items, len(near - {None})))
     return sorted(out, key=repr)
 
 
-ITEMS = [(1, "The quick brown fox jumps over the lazy dog again"), (2, "Éclair été; ÉCOLE"), (3, "single"), (4, ""), (5, None), (None, "nobody named this"), (11, "the quick brown fox jumps over the lazy cat"), (2, "a second text of item two")]
+ITEMS = [(1, "The quick brown fox jumps over the lazy dog again"), (2, "Éclair été; ÉCOLE"), (3, "single"), (4, ""), (5, None), (None, "nobody named this"), (11, "the quick brown fox jumps over the lazy cat"), (2, "a second text of item two"), (15, "the the the")]
 TEXTS = [
     (1, "x THE QUICK brown, fox jumps over the lazy dog y"),
     (2, "the quick brown fox jumps over the lazy dog again; the quick brown fox jumps over the lazy cat. Éclair été ÉCOLE"),
@@ -137,6 +139,10 @@ TEXTS = [
     (7, "a second text of item two two"),
     (8, "filler " * 5000 + "the quick brown fox jumps over the lazy dog"),
     (9, "the the the quick quick brown"),
+    (10, "fox the quick jumps brown over x y the lazy dog z"),
+    (12, "lazy the dog over and under the jumps of a quick fox brown again " * 3),
+    (13, "été éclair x y école single"),
+    (14, "the the the the"),
 ]
 
 
@@ -144,7 +150,7 @@ TEXTS = [
 def test_decontamination_like_brute_force(spark, docs, width):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = decontaminate.decontaminate(docs(TEXTS), items, width, 2)
-    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
     assert sorted((tuple(r) for r in out.select(*cols).collect()), key=repr) == brute_hits(TEXTS, ITEMS, width, 2)
 
 
@@ -164,11 +170,21 @@ def test_hit_words_are_cut_out(spark, docs):
 
 def test_proximity(spark, docs):
     windows = spark.createDataFrame([(1, ["red", "fox", "runs"])], "window_id long, window array<string>")
-    texts = docs([(1, "red fox x x fox runs"), (2, "fox runs x x x x x x x x x red fox"), (3, "red fox runs")])
+    texts = docs([(1, "red fox x x runs x"), (2, "fox runs x x x x x x x x x red fox"), (3, "red fox runs"), (4, "red x x x x x runs fox"), (5, "fox runs red red fox runs")])
     index = decontaminate.PositionalIndex(texts, windows)
-    near = index.proximity_matches(windows, 4)
-    assert sorted({r.doc_id for r in near.collect()}) == [1, 3]
-    assert [r.doc_id for r in index.phrase_matches(windows).collect()] == [3]
+    matches = index.matches(windows)
+    name = {r.n: r.doc_id for r in index.documents().collect()}
+    assert sorted(name[r.n] for r in decontaminate.proximity_matches(matches).collect()) == [1, 3, 5]
+    assert sorted((name[r.n], r.start) for r in decontaminate.phrase_matches(matches).collect()) == [(3, 0), (5, 3)]
+
+
+def test_wide_windows(spark, docs):
+    item = " ".join(f"u{i % 90}" for i in range(100))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, f"before {item} after"), (2, item.replace("u77", "other"))]
+    out = decontaminate.decontaminate(docs(texts), items, 100, 1)
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+    assert sorted(tuple(r) for r in out.select(*cols).collect()) == brute_hits(texts, [(1, item)], 100, 1)
 
 
 URLS = [
