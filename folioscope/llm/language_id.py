@@ -7,18 +7,21 @@ the language with the least wins, the first by name among equals.
 
 The automata become dense transition tables, a failing step carrying the restart and a flag,
 so many places of many texts are parsed at the same time, one numpy gather a step.  For that
-a text is parsed in blocks of ``BLOCK`` bytes, each starting with a new phrase; every block of
-every text is parsed.  Letters are lower-cased, and a run of other ASCII characters is one
-space.
+a text is parsed in blocks of ``BLOCK`` bytes, all from the root at first.  Each later block is
+then followed from the state in which the block before it really ended, until both parses
+meet, as greedy parses soon do; so the phrases are those of one parse of the whole text,
+whatever its length.  Letters are lower-cased, and a run of other ASCII characters is one space.
 
-The model is at most ``SAMPLE_DOCS`` documents, of at most ``DOC_CHARS`` characters, and
-``LANG_BYTES`` bytes per language, and ``ALL_BYTES`` in all; of more than ``LANGUAGES``
-languages those with the most labelled documents are learnt.
+The model learns every language that has a label.  It is fitted on a bounded sample: for each
+language at most ``SAMPLE_DOCS`` documents, the first by a hash, and of each a slice of at most
+``DOC_CHARS`` characters from a place that the hash gives; together at most ``LANG_BYTES`` bytes
+a language and ``ALL_BYTES`` in all, dealt evenly over languages and documents.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; a null doc_id is in fold 0; repeated rows get equal
-results; an empty table gives an empty result, and further columns are not read.  The score
-is the winner's margin: 1 - its entropy / the second's; 1 if there is one language only.
+results; an empty table gives an empty result, and further columns are not read.  Of documents with
+the same id each is learnt from.  The score is the winner's margin: 1 - its entropy / the
+second's; 1 if there is one language only.
 """
 
 from __future__ import annotations
@@ -32,12 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.labelled import fold
-from folioscope.llm.scratch import cut
+from folioscope.llm.scratch import cut, small
 from folioscope.llm.wordhash import PUNCTUATION, text_buffers
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, DOC_CHARS = 64, 4_000
-LANGUAGES = 256
 LANG_BYTES, ALL_BYTES = 40_000, 400_000
 BLOCK = 1024
 #: Bytes parsed at a time, about.
@@ -115,6 +117,23 @@ def _tables(model: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, int, list
     return kind, width, out
 
 
+def _resume(table: np.ndarray, c: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parses blocks from ``state`` beside parses from the root until the two meet.
+
+    Phrases more than from the root, whether they met, and the states at the ends of those that did not.
+    """
+    true, root, more = state.copy(), np.zeros_like(state), np.zeros(len(state), np.int64)
+    apart, step = np.nonzero(true != root)[0], 0
+    while len(apart) and len(apart := apart[size[apart] > step]):
+        now = c[start[apart] + step]
+        a, b = table[true[apart] + now], table[root[apart] + now]
+        more[apart] += (a >> 30) - (b >> 30)
+        true[apart], root[apart] = a & (_FLAG - 1), b & (_FLAG - 1)
+        apart = apart[true[apart] != root[apart]]
+        step += 1
+    return more, true == root, true
+
+
 def entropies(texts: pa.Array, model: tuple[tuple[str, bytes], ...]) -> np.ndarray:
     """Estimated cross-entropy of each text (rows) for each language (columns)."""
     kind, _, tables = _tables(model)
@@ -127,39 +146,62 @@ def entropies(texts: pa.Array, model: tuple[tuple[str, bytes], ...]) -> np.ndarr
     start = at[of] + rank * BLOCK
     size = np.minimum(at[of + 1] - start, BLOCK)
     order = np.argsort(-size, kind="stable")
-    start, size, of = start[order], size[order], of[order]
-    phrases = np.ones((len(tables), len(start)), np.int32)
+    first, live = start[order], np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
+    phrases = np.zeros((len(tables), len(start)), np.int64)
     state = np.zeros((len(tables), len(start)), np.int32)
-    live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
-    for step in range(int(size[0]) if len(size) else 0):
+    for step in range(int(size.max()) if len(size) else 0):
         n = live[step]
-        now = c[start[:n] + step]
+        now = c[first[:n] + step]
         for k, table in enumerate(tables):
             to = table[state[k, :n] + now]
             phrases[k, :n] += to >> 30
             state[k, :n] = to & (_FLAG - 1)
-    total = np.stack([np.bincount(of, p, len(sizes)) for p in phrases], axis=1)
-    return total * np.log2([max(len(s), 2) for _, s in model]) / np.maximum(sizes, 1)[:, None]
+    total = np.empty((len(sizes), len(tables)))
+    for k, table in enumerate(tables):
+        count, ends = np.empty(len(of), np.int64), np.empty(len(of), np.int32)
+        count[order], ends[order] = phrases[k], state[k]
+        alone, more = ends.copy(), np.zeros(len(of), np.int64)
+        todo = np.nonzero(rank > 0)[0]
+        while len(todo):
+            more[todo], met, true = _resume(table, c, start[todo], size[todo], ends[todo - 1])
+            now = np.where(met, alone[todo], true)
+            moved = todo[now != ends[todo]]
+            ends[todo] = now
+            todo = moved[moved + 1 < len(of)] + 1
+            todo = todo[rank[todo] > 0]
+        total[:, k] = np.bincount(of, count + more, len(sizes)) + (sizes > 0)
+    return np.maximum(total, 1) * np.log2([max(len(s), 2) for _, s in model]) / np.maximum(sizes, 1)[:, None]
+
+
+def dealt(sizes: list[int], room: int) -> list[int]:
+    """How much each of some texts gives, so that all give as evenly as they can and ``room`` in all at most."""
+    out, left = [0] * len(sizes), room
+    by_size = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for k, i in enumerate(by_size):
+        out[i] = min(sizes[i], left // (len(sizes) - k))
+        left -= out[i]
+    return out
 
 
 def learn(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     """(language, sample) for each language of ``docs`` (doc_id, text, lang)."""
-    usable = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= DOC_CHARS) & F.col("text").rlike(r"\p{L}"))
-    marks = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("mark"))
+    usable = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    marked = usable.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
-    chosen = cut(marks.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS), "chosen")
-    most = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    chosen = chosen.join(F.broadcast(most.select("lang")), "lang")
-    rows = usable.select("lang", "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
-    found = rows.join(F.broadcast(chosen.select("lang", "mark").distinct()), ["lang", "mark"]).dropDuplicates(["lang", "mark"]).orderBy("lang", "mark").collect()
+    chosen = cut(marked.select("lang", "doc_id", "mark").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS), "chosen")
+    # Letters stand somewhere in the text; a slice begins before its end by as much as it is long.
+    at = F.pmod("mark", F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
+    rows = marked.select("lang", "mark", F.substr("text", at, F.lit(DOC_CHARS)).alias("text"))
+    found = rows.join(small(chosen.select("lang", "mark"), 64), ["lang", "mark"]).dropDuplicates(["lang", "mark"]).orderBy("lang", "mark").collect()
     by_lang: dict[str, list[str]] = {}
     for row in found:
         by_lang.setdefault(row["lang"], []).append(row["text"])
     room = min(LANG_BYTES, ALL_BYTES // max(1, len(by_lang)))
     model = []
     for lang, texts in sorted(by_lang.items()):
-        b, _ = normalise(pa.array([" ".join(texts)]))
-        model.append((lang, b[:room].tobytes()))
+        b, at = normalise(pa.array([t + " " for t in texts]))
+        parts = [b[lo : lo + n] for lo, n in zip(at, dealt(np.diff(at).tolist(), room))]
+        model.append((lang, np.concatenate(parts).tobytes()))
     return tuple(model)
 
 

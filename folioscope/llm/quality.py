@@ -2,15 +2,17 @@
 
 Statistics of each text are Spark columns.  Shallow trees are grown on random halves of a
 bounded labelled sample; every path from a root is a rule, a conjunction of thresholds.  A
-lasso logistic regression over the rules keeps few of them, and these are compiled into one
-Spark column expression, so whole texts are scored within the scan, without Python.
+lasso logistic regression over the rules keeps few of them: the penalty is the largest one whose
+loss on a quarter that it was not fitted on is within a standard error of the least.  The rules
+are compiled into one Spark column expression, so whole texts are scored within the scan,
+without Python.
 
 The sample is at most ``SAMPLE`` labelled documents, chosen by a hash of their id; only their
 statistics come to the driver.
 
 Defined cases: null texts count as empty, and empty texts have all statistics 0 and get the
 score that the rules give to those; repeated rows get equal scores; a null doc_id is in fold
-0; without labelled documents, or with labels of one kind only, the score is the share of
+0; an id with several texts is learnt with each of them; without labelled documents, or with labels of one kind only, the score is the share of
 label 1 (0.5 without any).  An empty table gives an empty result, and further columns are not
 read.
 """
@@ -22,15 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.labelled import fold, label_sample
-from folioscope.llm.scratch import cut
+from folioscope.llm.scratch import cut, small
 
 SAMPLE = 16_000
 FOLDS, HELD_OUT = 4, 2
 CUTOFF = 0.7
 
-TREES, DEPTH, LEAF, LASSO, SEED = 40, 3, 20, 0.002, 7
-#: The penalty rises until so many rules at most keep a weight, so that the expression compiles to one method.
-MOST_RULES = 30
+TREES, DEPTH, LEAF, SEED = 40, 3, 20, 7
+#: The penalties that are tried, least first.
+LASSO = tuple(0.0005 * 1.6**k for k in range(12))
 
 #: A rule: (statistic, is above, threshold) each, all of which hold.
 Rule = tuple[tuple[str, bool, float], ...]
@@ -98,23 +100,51 @@ def holds(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
     return out
 
 
-def lasso(r: np.ndarray, y: np.ndarray, strength: float = LASSO, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and weights of a logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
-    n, m = r.shape
-    rate = 4.0 * n / (np.linalg.norm(r, 2) ** 2 + n)
-    w, bias = np.zeros(m), float(np.log(y.mean() / (1 - y.mean())))
+def lasso(r: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float, steps: int = 300) -> tuple[float, np.ndarray]:
+    """Bias and weights of a logistic regression with an L1 penalty, by accelerated proximal gradient steps.
+
+    Row i of ``r`` stands for n[i] rows, of which the share y[i] has label 1.
+    """
+    share = n / n.sum()
+    m = r.shape[1]
+    rate = 4.0 / (np.linalg.norm(r * np.sqrt(share)[:, None], 2) ** 2 + 1)
+    p = float(np.clip(share @ y, 1e-3, 1 - 1e-3))
+    w, bias = np.zeros(m), float(np.log(p / (1 - p)))
     v, vb, t = w, bias, 1.0
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(r @ v + vb))) - y
-        new = v - rate * (r.T @ g) / n
+        g = share * (1 / (1 + np.exp(-(r @ v + vb))) - y)
+        new = v - rate * (r.T @ g)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * strength, 0)
-        new_b = vb - rate * g.mean()
+        new_b = vb - rate * g.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - bias)
         w, bias, t = new, float(new_b), t_new
     return bias, w
 
 
+def alike(r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of ``r``, the mean of y of each, and how many there are of each."""
+    rows, of, n = np.unique(r, axis=0, return_inverse=True, return_counts=True)
+    return rows.astype(np.float64), np.bincount(of.ravel(), y, len(rows)) / n, n.astype(float)
+
+
+def _losses(bias: float, w: np.ndarray, r: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, np.where(y > 0, -1, 1) * (r @ w + bias))
+
+
+def penalty(r: np.ndarray, y: np.ndarray) -> float:
+    """The largest penalty whose loss on every fourth row, fitted on the others, is within a standard error of the least."""
+    aside = np.arange(len(y)) % 4 == 3
+    if not aside.any() or len(set(y[~aside])) < 2:
+        return LASSO[0]
+    own, tried = alike(r[~aside], y[~aside]), []
+    for strength in LASSO:
+        loss = _losses(*lasso(*own, strength), r[aside], y[aside])
+        tried.append((loss.mean(), loss.std() / np.sqrt(len(loss))))
+    least = min(tried)
+    return max(strength for strength, (loss, _) in zip(LASSO, tried) if loss <= least[0] + least[1])
+
+
 def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, list[tuple[Rule, float]]]:
     """Bias and the rules that keep a weight."""
     if len(y) == 0 or y.min() == y.max():
@@ -125,18 +155,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, list[tup
         some = np.sort(rng.choice(len(y), max(1, len(y) // 2), replace=False))
         for rule in grow(x[some], y[some], names, rng):
             rules.setdefault(holds(rule, x, names).tobytes(), rule)
-    held = [rule for key, rule in rules.items()]
-    r = np.stack([holds(rule, x, names) for rule in held], axis=1).astype(np.float64) if held else np.zeros((len(y), 0))
-    if not held:
+    if not rules:
         share = y.mean()
         return float(np.log(share / (1 - share))), []
-    strength = LASSO
-    bias, w = lasso(r, y, strength)
-    while (w != 0).sum() > MOST_RULES:
-        strength *= 1.3
-        bias, w = lasso(r, y, strength)
+    held = list(rules.values())
+    r = np.stack([holds(rule, x, names) for rule in held], axis=1)
+    bias, w = lasso(*alike(r, y), penalty(r, y))
     held, r = [rule for rule, a in zip(held, w) if a != 0], r[:, w != 0]
-    bias, w = lasso(r, y)  # the weights of the rules that stay, under the least penalty
+    if not held:
+        return bias, []
+    bias, w = lasso(*alike(r, y), LASSO[0])  # the weights of the rules that stay, under the least penalty
     return bias, [(rule, float(a)) for rule, a in zip(held, w) if a != 0]
 
 
@@ -155,9 +183,9 @@ def compiled(bias: float, rules: list[tuple[Rule, float]], prefix: str = "s_") -
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list[tuple[Rule, float]]]:
     """Bias and weighted rules learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     chosen = cut(label_sample(labels, "quality", FOLDS, HELD_OUT, sample), "sample")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
+    rows = docs.join(small(chosen, 16), "doc_id").select("doc_id", "label", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
     names = [c for c in rows.columns if c not in {"doc_id", "label"}]
-    rows = cut(rows.dropDuplicates(["doc_id"]), "statistics").orderBy("doc_id").toPandas()
+    rows = cut(rows.dropDuplicates(), "statistics").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample).toPandas()
     return fit(rows[names].to_numpy(float), rows["label"].to_numpy(float), names)
 
 

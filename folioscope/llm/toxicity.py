@@ -5,12 +5,12 @@ two words between, hashed into 2^20 places.  FTRL-proximal learning with a rate
 coordinate and an L1 term leaves few weights that aren't zero; they are broadcast (at most
 2^20 pairs of 12 bytes) and every whole text is scored in one pass without a shuffle.
 
-The model is fitted in one task on at most ``SAMPLE`` labelled documents, chosen by a hash of
-their id, with whole texts of at most ``SAMPLE_CHARS`` characters; that bounds the task.
+The model is fitted in one task on whole texts of at most ``SAMPLE`` labelled documents, in the
+order of a hash of their id, up to ``SAMPLE_CHARS`` characters in all; that bounds the task.
 
 Defined cases: null, empty and wordless texts get the score of the bias alone; repeated rows
-get equal scores; a null doc_id is in fold 0; without a labelled document every score is 0.
-An empty table gives an empty result, and further columns are not read.
+get equal scores; a null doc_id is in fold 0; an id with several texts is learnt with each of them; without a
+labelled document every score is 0.  An empty table gives an empty result, and further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.labelled import fold, label_sample
-from folioscope.llm.scratch import cut
+from folioscope.llm.labelled import first_texts, fold, label_sample
+from folioscope.llm.scratch import cut, small
 from folioscope.llm.wordhash import PUNCTUATION, mix, word_hashes
 
-#: Labelled documents that the model is fitted on, at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 16_000, 12_000
+#: Labelled documents that the model is fitted on, at most, and their characters together.
+SAMPLE, SAMPLE_CHARS = 16_000, 80_000_000
 #: Rows whose fold is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 5, 0
 CUTOFF = 0.5
@@ -73,7 +73,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.n
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("mark", "ascending"), ("doc_id", "ascending")])
+    table = table.sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     texts, labels, rows = table.column("text").combine_chunks(), table.column("label").to_pylist(), []
     for first, end, h, doc in word_hashes(texts, PUNCTUATION):
         at, of = features(h, doc)
@@ -88,8 +88,7 @@ def _fit(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Places and weights learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     chosen = cut(label_sample(labels, "toxic", FOLDS, HELD_OUT, sample), "sample")
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "label")
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("mark", F.xxhash64("doc_id"))
+    rows = first_texts(docs.join(small(chosen, 16), "doc_id").select("doc_id", "text", "label"), sample, SAMPLE_CHARS)
     model = cut(rows.groupBy(F.lit(1).alias("one")).applyInArrow(_fit, "place long, weight double"), "model").toPandas()
     return (model["place"].to_numpy(), model["weight"].to_numpy()) if len(model) else None
 

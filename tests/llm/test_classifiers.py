@@ -2,13 +2,17 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import regex
 from pyspark.sql import functions as F
 
-from folioscope.llm import language_id, quality, toxicity
+from folioscope.llm import labelled, language_id, quality, toxicity
+from folioscope.llm.wordhash import mix, word_hashes
 
 RNG = random.Random(9)
 WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("ra", "lo", "ni", "st")]
@@ -103,23 +107,23 @@ def test_quality_with_one_kind_of_label(spark, docs, tables):
 
 
 def brute_entropy(text, sample, n):
-    phrases = 0
-    for at in range(0, len(text), language_id.BLOCK):
-        block, i = text[at : at + language_id.BLOCK], 0
-        while i < len(block):
-            k = 1
-            while i + k < len(block) and block[i : i + k + 1] in sample:
-                k += 1
-            phrases, i = phrases + 1, i + k
-    return phrases * math.log2(max(len(sample), 2)) / max(len(text), 1)
+    phrases, i = 0, 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        phrases, i = phrases + 1, i + k
+    return max(phrases, 1) * math.log2(max(len(sample), 2)) / max(len(text), 1)
 
 
 def foreign(lang, n):
     return " ".join("".join(RNG.choice(LANGS[lang]) for _ in range(RNG.randrange(1, 4))) for _ in range(n))
 
 
-def test_cross_parsing_like_brute_force():
-    texts = [foreign("aa", 40), foreign("bb", 700), "", "12 ;;", "zzz zzz", foreign("cc", 3).upper()]
+@pytest.mark.parametrize("block", [7, 64, language_id.BLOCK])
+def test_cross_parsing_like_brute_force(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    texts = [foreign("aa", 40), foreign("bb", 700), "", "12 ;;", "zzz zzz", foreign("cc", 3).upper(), "torkenmal" * 500, foreign("aa", 60) * 9]
     model = tuple((k, language_id.normalise(pa.array([foreign(k, 60)]))[0].tobytes()) for k in LANGS)
     got = language_id.entropies(pa.array(texts), model)
     for i, text in enumerate(texts):
@@ -141,6 +145,97 @@ def test_languages_of_held_out_documents(spark, docs, tables):
     assert all(0 <= r.score <= 1 for r in by.values())
 
 
+def test_samples_are_dealt_evenly():
+    assert language_id.dealt([3, 100, 100], 50) == [3, 23, 24] and language_id.dealt([5, 5], 50) == [5, 5] and language_id.dealt([], 9) == []
+
+
+def test_languages_of_long_texts_only_and_many_languages(spark, docs):
+    made = docs([(i, foreign("aa", 30)) for i in range(40)], lang="aa").unionByName(docs([(100 + i, foreign("bb", 9_000)) for i in range(12)], lang="bb"))
+    for k in range(5):
+        made = made.unionByName(docs([(1000 + 10 * k + i, f"rare{chr(0x4E00 + k) * 3} word") for i in range(4)], lang=f"x{k:03}", repartition=1))
+    learnt = [lang for lang, _ in language_id.learn(made)]
+    assert {"aa", "bb"} <= set(learnt) and sum(lang.startswith("x") for lang in learnt) >= 4
+    assert all(len(sample) <= language_id.LANG_BYTES for _, sample in language_id.learn(made))
+
+
+def brute_places(text):
+    """Places of a text's features, by sets of word pairs."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    digest = {}
+    for w in set(words):
+        (_, _, h, _) = next(iter(word_hashes(pa.array([w]))))
+        digest[w] = int(h[0])
+    mixed = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    found = {mixed(digest[w]) for w in words}
+    for gap in (1, 2, 3):
+        found |= {mixed(digest[a] * 0xD6E8FEB86659FD93 + digest[b] * 0xA0761D6478BD642F + gap) for a, b in zip(words, words[gap:])}
+    return {max(x % (1 << toxicity.BITS), 1) for x in found} | {0}
+
+
+def brute_ftrl(rows):
+    """Weights by dictionaries, a coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        limit = 0.0 if i == 0 else toxicity.L1
+        if abs(z.get(i, 0.0)) <= limit:
+            return 0.0
+        return (math.copysign(limit, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, label in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for i in at:
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_toxicity_like_brute_force(spark, docs):
+    rows = [(i, f"{prose(RNG.randrange(0, 25))}{' vile, NASTY thing' if i % 3 == 0 else ''}", int(i % 3 == 0)) for i in range(120)]
+    odd = [(500, None), (501, ""), (502, "Vile vile vile"), (7, "a second text of an id, vile")]
+    frame = docs([r[:2] for r in rows] + odd)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learnt = [(i, t, y) for i, t, y in [*rows, (7, odd[3][1], rows[7][2])] if zlib.crc32(str(i).encode()) % 5]
+    marks = {r.doc_id: r.m for r in labels.select("doc_id", F.xxhash64("doc_id").alias("m")).collect()}
+    learnt.sort(key=lambda r: (marks[r[0]], r[0], r[1]))
+    want = brute_ftrl([(brute_places(t), y) for _, t, y in learnt])
+    model = toxicity.train(frame, labels)
+    assert dict(zip(model[0].tolist(), np.round(model[1], 9).tolist())) == {i: round(w, 9) for i, w in want.items()}
+    total = lambda text: sum(want.get(i, 0.0) for i in brute_places(text))
+    got = sorted((r.doc_id, round(r.score, 5)) for r in toxicity.scores(frame, model).collect())
+    assert got == sorted((i, round(1 / (1 + math.exp(-total(t))), 5)) for i, t in [r[:2] for r in rows] + odd)
+
+
+def test_first_texts_bound_rows_and_characters(spark, docs):
+    rows = docs([(i, "x" * 100) for i in range(50)] + [(3, "another text")]).withColumn("label", F.lit(1))
+    assert labelled.first_texts(rows, 10, 10_000).count() == 10
+    assert labelled.first_texts(rows, 100, 750).count() in (7, 8) and labelled.first_texts(rows, 100, 99_999).count() == 51
+    assert labelled.first_texts(rows.where("false"), 10, 10).count() == 0
+
+
+def brute_statistics(text):
+    t = text or ""
+    words = t.split()
+    count = lambda pattern: len(regex.findall(pattern, t))
+    n, m, d = max(len(t), 1), max(len(words), 1), len(set(words))
+    return [
+        math.log1p(len(words)), len(t) / m, d / m, d / max(math.sqrt(len(words)), 1), count(r"\p{Lu}") / n, count(r"\p{Nd}") / n,
+        count(r"[^\p{L}\p{N}\s.,()+@_-]") / m, count(r"[.,]") / m, len(words) / (t.count("\n") + 1),
+    ]
+
+
+def test_statistics_like_brute_force(docs):
+    texts = [(1, None), (2, ""), (3, "One two, THREE.\n42 & four%four\ttwo two"), (4, "ÄÖ ñandú — x_y (z) + a@b " * 30), (5, "\n\n"), (6, "w " * 50_000)]
+    names = list(quality.statistics(F.col("text")))
+    got = {r[0]: list(r)[1:] for r in docs(texts).select("doc_id", *(c.alias(k) for k, c in quality.statistics(F.col("text")).items())).collect()}
+    assert len(names) == 9
+    for i, text in texts:
+        assert np.allclose(got[i], brute_statistics(text)), (i, got[i], brute_statistics(text))
+
+
 def test_languages_without_labels(spark, docs, tables):
     out = language_id.query(spark, tables(documents=docs([(1, "abc")], lang=None)))
     assert [r.lang_pred for r in out.collect()] == ["und"]
