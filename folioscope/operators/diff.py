@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.models.compare import DECK_KEYS, DECK_STICKY
+
 
 def differing(before: Column, after: Column, tolerance: Column | None = None) -> Column:
     """Numbers differ unless they are equal or within tolerance; not-a-number differs from everything."""
@@ -60,8 +62,9 @@ def parents(path: Column) -> Column:
 
 
 def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file", kind: str | None = None) -> DataFrame:
-    """file, path, kind: the difference of two leaf tables (file, path, value), a lost or new container being one entry.
+    """file, path, kind: the difference of two leaf tables (file, path, value and perhaps vtype), a lost or new container being one entry.
 
+    Values of two kinds differ even if they are written alike, and not-a-number differs from itself.
     The entry of a leaf is its outermost container that the other side hasn't, else itself.
     ``kind``, a format, allows numbers its tolerances.
     """
@@ -75,7 +78,9 @@ def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file", kind:
         new = chain.join(containers(other), [file, "at"], "left_anti")
         return new.groupBy(file, "path").agg(F.min_by("at", "depth").alias("at")).select(file, F.col("at").alias("path"), F.lit(kind).alias("kind")).distinct()
 
-    same = F.col("a.value").eqNullSafe(F.col("b.value"))
+    same = F.col("a.value").eqNullSafe(F.col("b.value")) & ~F.coalesce(F.col("a.value") == "NaN", F.lit(False))
+    if "vtype" in before.columns and "vtype" in after.columns:
+        same = F.when(F.col("a.vtype") == "num", same).otherwise(F.col("a.value").eqNullSafe(F.col("b.value"))) & (F.col("a.vtype") == F.col("b.vtype"))
     if kind is not None:
         x, y = F.col("a.value").try_cast("double"), F.col("b.value").try_cast("double")
         same = same | F.coalesce(F.abs(x - y) <= allowance(kind, F.col("path"), x), F.lit(False))
@@ -84,21 +89,11 @@ def subtree_diff(before: DataFrame, after: DataFrame, file: str = "file", kind:
     return changed.unionByName(entries(before, after, "missing")).unionByName(entries(after, before, "added"))
 
 
-#: The feature that a key of a presentation's model names, and those that keep all that is below them.
-DECK_KEYS = {
-    "slide-size": "slide-size", "slides": "slides", "layout": "slide-layout", "master": "slide-layout", "background": "background", "shapes": "shapes", "geometry": "geometry",
-    "preset": "geometry", "fill": "fill-line", "line": "fill-line", "placeholder": "placeholders", "paragraphs": "text", "format": "text-format", "table": "tables", "picture": "pictures",
-    "children": "groups", "chart": "charts", "smartart": "smartart", "object": "embedded-objects", "hyperlinks": "hyperlinks", "link": "hyperlinks", "notes": "notes", "comments": "comments",
-    "transition": "transitions", "animation": "animations", "media": "media", "theme": "theme", "masters-layouts": "masters-layouts", "custom-xml": "custom-xml", "sections": "sections",
-}
-DECK_STICKY = ("background", "tables", "charts", "smartart", "notes", "comments", "theme", "masters-layouts")
-
-
 def deck_feature(path: Column) -> Column:
     """The feature of a place in a presentation's model: the innermost key that names one, unless a container above keeps it."""
     names = F.create_map(*(F.lit(x) for pair in DECK_KEYS.items() for x in pair))
     below = lambda now, key: (
-        F.when(now.isin(*DECK_STICKY), now).when((key == "hidden") & (now == "slides"), "slide-hidden").otherwise(F.coalesce(F.try_element_at(names, key), now))
+        F.when(now.isin(*DECK_STICKY), now).when(key == "hidden", F.when(now == "slides", "slide-hidden").otherwise("shapes")).otherwise(F.coalesce(F.try_element_at(names, key), now))
     )
     return F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 20), F.lit("package"), below)
 

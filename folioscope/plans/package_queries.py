@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.models import docx, pptx, xlsx
-from folioscope.operators import roundtrip, selection
+from folioscope.operators import roundtrip
 from folioscope.plans.relational import table
 from folioscope.sources import corpus, opc, packages
 
@@ -114,10 +114,10 @@ def docx_table_rt(spark, d):
 
 
 def decks(spark: SparkSession, d: str) -> DataFrame:
-    """A presentation per conversation, a slide per turn: a shape with the role and one with the first line of the text."""
+    """A presentation per conversation, a slide per turn: a shape with the role and one with the text, a paragraph per line."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        slides = [pptx.text_shape(2, [r.role], (int(r.turn) * 100, 0, 1000, 500)) + pptx.text_shape(3, [(r.text or "").split("\n")[0]]) for r in pdf.sort_values("turn").itertuples()]
+        slides = [pptx.text_shape(2, [r.role], (int(r.turn) * 100, 0, 1000, 500)) + pptx.text_shape(3, (r.text or "").split("\n")) for r in pdf.sort_values("turn").itertuples()]
         return pd.DataFrame({"pkg": [str(pdf["conv_id"].iloc[0])], "format": ["pptx"], "content": [pptx.write(slides)]})
 
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
@@ -125,12 +125,15 @@ def decks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
-SELECT CAST(conv_id AS VARCHAR) AS pkg, CAST(i AS BIGINT) AS slide, role, string_split(text, chr(10))[1] AS text, CAST(turn * 100 AS BIGINT) AS x FROM t""")
+SELECT CAST(conv_id AS VARCHAR) AS pkg, CAST(i AS BIGINT) AS slide, role, coalesce(text, '') AS text, CAST(turn * 100 AS BIGINT) AS x FROM t""")
 def pptx_slides_rt(spark, d):
     found = roundtrip.leaves(decks(spark, d)).withColumn("s", F.split("path", "/"))
-    at = lambda end: F.max(F.when(F.concat_ws("/", F.slice("s", 4, 100)) == end, F.col("value")))
+    end = F.concat_ws("/", F.slice("s", 4, 100))
+    at = lambda wanted: F.max(F.when(end == wanted, F.col("value")))
+    line = F.when(end.rlike("^shapes/1/paragraphs/[0-9]+/text$"), F.struct(F.col("s")[6].cast("int").alias("i"), "value"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["value"]), "\n")
     rows = found.where("s[1] = 'slides' AND size(s) > 4").groupBy("pkg", F.col("s")[2].cast("long").alias("slide"))
-    return rows.agg(at("shapes/0/paragraphs/0/text").alias("role"), at("shapes/1/paragraphs/0/text").alias("text"), at("shapes/0/geometry/x").cast("long").alias("x"))
+    return rows.agg(at("shapes/0/paragraphs/0/text").alias("role"), text.alias("text"), at("shapes/0/geometry/x").cast("long").alias("x"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS pkg, 1::BIGINT AS slide, 2::BIGINT AS shape_id FROM conversations GROUP BY conv_id")
@@ -191,29 +194,39 @@ def package_screen(spark, d):
     return packages.screened(files)
 
 
-#: Labels that tell packages apart: label, pattern of the part's name, pattern of its content.
-LABELS = [
-    ("multiple-parts", r"^xl/worksheets/sheet1[.]xml$", None),
-    ("merged-cells", r"^xl/worksheets/", r"<(\w+:)?mergeCell[ >]"),
-    ("formulas", r"^xl/worksheets/", r"<(\w+:)?f[ >]"),
-    ("defined-names", r"^xl/workbook[.]xml$", r"<(\w+:)?definedName[ >]"),
-    ("theme", r"theme/theme[^/]*[.]xml$", None),
-    ("shared-strings", r"^xl/sharedstrings[.]xml$", None),
-    ("images", r"media/[^/]+[.](png|jpe?g|gif|emf|wmf|bmp|tiff?|svg)$", None),
-    ("charts", r"charts/chart[^/]*[.]xml$", None),
-    ("comments", r"^xl/comments[^/]*[.]xml$", None),
-    ("hyperlinks", r"^xl/worksheets/", r"<(\w+:)?hyperlink[ >]"),
-    ("conditional-formatting", r"^xl/worksheets/", r"<(\w+:)?conditionalFormatting[ >]"),
-    ("data-validation", r"^xl/worksheets/", r"<(\w+:)?dataValidation[ >]"),
-    ("frozen-panes", r"^xl/worksheets/", r"<(\w+:)?pane[ >]"),
-]
-
-
-@query(_BOOKS + "SELECT DISTINCT pkg AS file_id, unnest(['multiple-parts', 'merged-cells', 'formulas', 'defined-names']) AS label FROM books")
+@query(_BOOKS + "SELECT DISTINCT pkg, unnest(['merged-cells', 'formulas', 'defined-names']) AS label FROM books")
 def package_labels(spark, d):
-    rules = spark.createDataFrame(LABELS, "label string, part_pattern string, content_pattern string")
-    parts = packages.explode(workbooks(spark, d)).select(F.col("pkg").alias("file_id"), "part", F.decode("data", "ISO-8859-1").alias("content"))
-    return selection.labels(parts, rules)
+    return packages.labels(workbooks(spark, d))
+
+
+def rich_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A document per part of parts, with what its size names: a table, a field, a second section, a header part, an image."""
+
+    def write(batches):
+        for pdf in batches:
+            made = []
+            for size, name in zip(pdf["p_size"], pdf["p_name"]):
+                body, more = docx.paragraph_markup(name), {}
+                if size % 2 == 0:
+                    body += docx.table_markup([[name, str(size)]])
+                if size % 3 == 0:
+                    body += "<w:p><w:r><w:instrText> PAGE </w:instrText></w:r></w:p>"
+                if size % 5 == 0:
+                    body += "<w:p><w:pPr><w:sectPr/></w:pPr></w:p><w:sectPr/>"
+                if size % 7 == 0:
+                    more["word/header1.xml"] = f'<w:hdr xmlns:w="{docx.MAIN}"/>'
+                if size % 11 == 0:
+                    more["word/media/image1.PNG"] = "x"
+                made.append(docx.write(body, more))
+            yield pd.DataFrame({"pkg": pdf["pkg"], "format": "docx", "content": made})
+
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pkg"), "p_size", F.coalesce("p_name", F.lit("")).alias("p_name"))
+    return rows.mapInPandas(write, "pkg string, format string, content binary")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS pkg, label FROM part, (VALUES (2, 'tables'), (3, 'fields'), (5, 'sections'), (7, 'headers'), (11, 'images')) AS v(n, label) WHERE p_size % n = 0""")
+def text_labels(spark, d):
+    return packages.labels(rich_texts(spark, d))
 
 
 @query(_BOOKS + "SELECT pkg, 5 AS parts, 'xl/workbook.xml' AS main_part, 0 AS problems FROM books GROUP BY pkg")
@@ -224,43 +237,117 @@ def package_inventory(spark, d):
     return found.select("pkg", F.col("parts").cast("int").alias("parts"), "main_part", F.size("problems").alias("problems"))
 
 
-# Round trips: the identity adapter misses the edit, the patch adapter passes all.
+# Round trips: the identity adapter misses the edit, the patch adapter makes it, the misplacing one
+# makes it in another place, and the renaming one gives the edited part another name.
+
+_EARLY = ("opened", "saved", "package-valid", "parts-preserved")
+_PASSED = {
+    "identity": (*_EARLY, "semantic-preserved"),
+    "patch": (*_EARLY, "edit-applied", "content-preserved"),
+    "misplacing": _EARLY,
+    "renaming": (*_EARLY, "edit-applied", "content-preserved"),
+    "broken": ("opened",),
+}
+_NAMES = ["opened", "saved", "package-valid", "edit-applied", "content-preserved", "parts-preserved", "semantic-preserved"]
 
 
-def _checks(passed: dict[str, tuple[str, ...]]) -> str:
-    names = "['opened', 'saved', 'package-valid', 'edit-applied', 'content-preserved', 'parts-preserved']"
-    rows = " UNION ALL ".join(
-        f"SELECT '{a}' AS adapter, name, count(DISTINCT pkg) FILTER (WHERE name IN ({', '.join(repr(x) for x in good)})) AS passed, count(DISTINCT pkg) AS files FROM books, (SELECT unnest({names}) AS name) GROUP BY name"
-        for a, good in passed.items()
+def _checks(names: list[str], files: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS adapter, name, CASE WHEN name IN ({', '.join(map(repr, _PASSED[a]))}) THEN n ELSE 0 END AS passed, n AS files FROM (SELECT unnest({_NAMES}) AS name), ({files}) AS f" for a in names
     )
-    return _BOOKS + rows
 
 
-@query(_checks({"identity": ("opened", "saved", "package-valid", "parts-preserved"), "patch": ("opened", "saved", "package-valid", "edit-applied", "content-preserved", "parts-preserved"), "broken": ("opened",)}))
-def roundtrip_checks(spark, d):
-    rows = roundtrip.checks(workbooks(spark, d).persist(), ["identity", "patch", "broken"])
+_N_BOOKS = f"SELECT count(DISTINCT (c_nationkey, c_custkey // {BLOCK})) AS n FROM customer"
+_N_TEXTS = "SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '\\S')"
+_N_DECKS = "SELECT count(DISTINCT conv_id) AS n FROM conversations"
+
+
+def passed(trial: roundtrip.Trial) -> DataFrame:
+    rows = roundtrip.checks_of(trial).where("outcome <> 'unscored'")
     return rows.groupBy("adapter", "name").agg(F.count_if(F.col("outcome") == "success").alias("passed"), F.count("*").alias("files"))
 
 
+@query(_checks(list(_PASSED), _N_BOOKS))
+def roundtrip_checks(spark, d):
+    return passed(roundtrip.Trial(workbooks(spark, d), list(_PASSED)))
+
+
+@query(_checks(["patch", "misplacing"], _N_TEXTS))
+def roundtrip_texts(spark, d):
+    return passed(roundtrip.Trial(text_files(spark, d), ["patch", "misplacing"]))
+
+
+@query(_checks(["patch", "misplacing"], _N_DECKS))
+def roundtrip_decks(spark, d):
+    return passed(roundtrip.Trial(decks(spark, d), ["patch", "misplacing"]))
+
+
 @query(_BOOKS + """, n AS (SELECT count(DISTINCT pkg) AS n FROM books)
 SELECT adapter, feature, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0 ELSE n END AS preserved, n AS present, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0.0 ELSE 1.0 END::DOUBLE AS rate
 FROM n, (SELECT unnest(['identity', 'patch']) AS adapter), (SELECT unnest(['workbook', 'defined_names', 'cells', 'formulas', 'merged_cells', 'external_links']) AS feature)""")
 def roundtrip_features(spark, d):
-    return roundtrip.preservation(roundtrip.Trial(workbooks(spark, d).persist(), ["identity", "patch"]))
+    return roundtrip.preservation(roundtrip.Trial(workbooks(spark, d), ["identity", "patch"]))
 
 
 @query("""WITH n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations)
 SELECT 'identity' AS adapter, feature, CASE WHEN feature = 'text' THEN 0 ELSE n END AS preserved, n AS present, CASE WHEN feature = 'text' THEN 0.0 ELSE 1.0 END::DOUBLE AS rate
-FROM n, (SELECT unnest(['slide-size', 'shapes', 'geometry', 'text', 'text-format']) AS feature)""")
+FROM n, (SELECT unnest(['slide-size', 'slides', 'shapes', 'geometry', 'text', 'text-format']) AS feature)""")
 def roundtrip_deck_features(spark, d):
-    return roundtrip.preservation(roundtrip.Trial(decks(spark, d).persist(), ["identity"]))
+    return roundtrip.preservation(roundtrip.Trial(decks(spark, d), ["identity"]))
 
 
-@query("SELECT 'patch' AS adapter, count(DISTINCT conv_id) AS files, count(DISTINCT conv_id) AS preserved FROM conversations")
-def roundtrip_decks(spark, d):
-    rows = roundtrip.checks(decks(spark, d).persist(), ["patch"]).where("scored")
-    good = rows.groupBy("adapter", "pkg").agg(F.every(F.col("outcome") == "success").alias("ok"))
-    return good.groupBy("adapter").agg(F.count("*").alias("files"), F.count_if("ok").alias("preserved"))
+@query(_BOOKS + """SELECT DISTINCT 'renaming' AS adapter, pkg, method, CASE method WHEN 'name' THEN 4 ELSE 1 END AS parts, 0 AS missing, 0 AS added
+FROM books, (VALUES ('name'), ('path')) AS v(method)""")
+def roundtrip_parts(spark, d):
+    trial = roundtrip.Trial(workbooks(spark, d), ["renaming"])
+    return trial.scores.select("adapter", "pkg", F.explode("matched").alias("method", "parts"), F.size("missing").alias("missing"), "added")
+
+
+@query(_BOOKS + """SELECT DISTINCT adapter, pkg, outcome, reason FROM books, (VALUES ('patch', 'success', NULL), ('identity', 'failure', 'failed: edit-applied, content-preserved'),
+('broken', 'error', 'the adapter failed to save')) AS v(adapter, outcome, reason)""")
+def roundtrip_results(spark, d):
+    return roundtrip.results(roundtrip.Trial(workbooks(spark, d), ["patch", "identity", "broken"])).select("adapter", "pkg", "outcome", "reason")
+
+
+@query(_BOOKS + f"""SELECT 'identity' AS adapter, n AS files_total, 0 AS no_edit_target, 0 AS success, n AS failure, 0 AS error, 0 AS timeout, n AS content_files, 0 AS edit_applied,
+0 AS content_preserved, 0 AS default_style_files, 0 AS unlike_parts, 5 * n AS compared_parts FROM ({_N_BOOKS}) AS f""")
+def roundtrip_summary(spark, d):
+    return roundtrip.summary(roundtrip.Trial(workbooks(spark, d), ["identity"])).drop("median_ms")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS pkg, 'body' AS feature, '/body/0' AS path, 'added' AS kind FROM documents")
+def inserted_paragraph(spark, d):
+    """A paragraph put before all others is one difference, as lists are aligned."""
+
+    def write(batches):
+        for pdf in batches:
+            marked = [[docx.paragraph_markup(x) for x in t.split("\n")] for t in pdf["text"]]
+            before, after = [docx.write("".join(m)) for m in marked], [docx.write("".join([docx.paragraph_markup("put before the rest"), *m])) for m in marked]
+            yield pd.DataFrame({"pkg": pdf["pkg"], "format": "docx", "before": before, "after": after})
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("pkg"), F.coalesce("text", F.lit("")).alias("text"))
+    return roundtrip.model_differences(rows.mapInPandas(write, "pkg string, format string, before binary, after binary"))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS pkg, 'columns' AS feature, '/columns/S/' || chr(66 + n_nationkey) || ':' || chr(66 + n_nationkey) || '/width' AS path, 'changed' AS kind
+FROM nation WHERE n_nationkey < 24""")
+def recut_columns(spark, d):
+    """Runs of columns that are cut differently differ only where a column does: here the one that is wider."""
+
+    def book(first: list[tuple[int, int, float]]) -> bytes:
+        cols = "".join(f'<col min="{a}" max="{b}" width="{w}" customWidth="1"/>' for a, b, w in first)
+        made = opc.read_package(xlsx.write({"S": [("A1", "n", 1)]}))
+        parts = {made.members[k]: v.replace(b"<sheetData>", f"<cols>{cols}</cols><sheetData>".encode()) for k, v in made.parts.items()}
+        return opc.write_package(parts)
+
+    def write(batches):
+        for pdf in batches:
+            before = [book([(1, 30, 9.0)]) for _ in pdf["n"]]
+            after = [book([(1, n + 1, 9.05), (n + 2, n + 2, 12.0), (n + 3, 30, 9.0)]) for n in pdf["n"]]
+            yield pd.DataFrame({"pkg": pdf["n"].astype(str), "format": "xlsx", "before": before, "after": after})
+
+    rows = table(spark, d, "nation").where("n_nationkey < 24").select(F.col("n_nationkey").cast("long").alias("n"))
+    return roundtrip.model_differences(rows.mapInPandas(write, "pkg string, format string, before binary, after binary"))
 
 
 # Files of a corpus.

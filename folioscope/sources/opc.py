@@ -19,11 +19,11 @@ from xml.parsers import expat
 CONTENT_TYPES = "[content_types].xml"
 OLE_MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 
-#: Elements of the document properties that every save may change.
+#: Elements of the document properties that every save may change, and the parts that have them.
 VOLATILE = {"modified", "lastModifiedBy", "revision", "Application", "AppVersion", "TotalTime"}
-
-#: Elements of one XML part that are parsed at most, against expanding input.
-MAX_ELEMENTS = 5_000_000
+VOLATILE_PARTS = ("docprops/core.xml", "docprops/app.xml")
+#: Attributes of markup compatibility that list namespace prefixes.
+PREFIX_LISTS = {"{http://schemas.openxmlformats.org/markup-compatibility/2006}" + name for name in ("Ignorable", "ProcessContent", "MustUnderstand", "PreserveElements", "PreserveAttributes")}
 
 
 @dataclass
@@ -73,20 +73,27 @@ def replace_member(content: bytes, member: str, data: bytes) -> bytes:
 
 
 class Unfit(ValueError):
-    """XML that isn't well-formed, or more than is read."""
+    """XML that isn't well-formed, or has a document type."""
+
 
+def parse(data: bytes, expand: bool = False) -> ET.Element:
+    """The root of an XML part.  Document types are refused, so no entity expands.
+
+    ``expand``: lists of namespace prefixes come as sorted lists of what the prefixes stand for.
+    """
+    builder, known = ET.TreeBuilder(), {}
 
-def parse(data: bytes) -> ET.Element:
-    """The root of an XML part.  Document types are refused, so no entity expands."""
-    builder, count = ET.TreeBuilder(), 0
+    def named(token: str) -> str:
+        prefix, _, rest = token.partition(":")
+        uri = (known.get(prefix) or [f"unbound:{prefix}"])[-1]
+        return "{" + uri + "}" + rest if rest else uri
 
     def start(tag, attributes):
-        nonlocal count
-        count += 1
-        if count > MAX_ELEMENTS:
-            raise Unfit("too many elements")
         fix = lambda n: "{" + n.replace("}", "}", 1) if "}" in n else n
-        builder.start(fix(tag), {fix(k): v for k, v in attributes.items()})
+        found = {fix(k): v for k, v in attributes.items()}
+        for k in PREFIX_LISTS.intersection(found) if expand else ():
+            found[k] = " ".join(sorted(map(named, found[k].split())))
+        builder.start(fix(tag), found)
 
     def refuse(*_):
         raise Unfit("document type")
@@ -96,6 +103,9 @@ def parse(data: bytes) -> ET.Element:
     parser.StartElementHandler, parser.CharacterDataHandler = start, builder.data
     parser.EndElementHandler = lambda tag: builder.end("{" + tag if "}" in tag else tag)
     parser.StartDoctypeDeclHandler = refuse
+    if expand:
+        parser.StartNamespaceDeclHandler = lambda prefix, uri: known.setdefault(prefix or "", []).append(uri)
+        parser.EndNamespaceDeclHandler = lambda prefix: known[prefix or ""].pop()
     try:
         parser.Parse(data, True)
     except expat.ExpatError as e:
@@ -216,24 +226,23 @@ def payload_digest(data: bytes) -> str:
     return "zip:" + hashlib.sha256("\n".join(rows).encode()).hexdigest()
 
 
-def canonical(data: bytes, tokens: dict[str, str] | None = None) -> str:
+def canonical(data: bytes, tokens: dict[str, str] | None = None, part: str = "") -> str:
     """Digest of an XML part that doesn't depend on prefixes, attribute order, comments, blank text or relationship ids.
 
-    ``tokens`` gives what a relationship id stands for.  Malformed parts are digested as bytes.
+    ``tokens`` gives what a relationship id stands for.  Of the document's properties, what any
+    save changes is left out.  Malformed parts are digested as bytes.
     """
     try:
-        root = parse(data)
+        root = parse(data, expand=True)
     except Unfit:
         return hashlib.sha256(data).hexdigest()
-    digest = hashlib.sha256()
+    digest, volatile = hashlib.sha256(), VOLATILE if part in VOLATILE_PARTS else frozenset()
 
     def text(s: str | None) -> None:
         if s and s.strip():
             digest.update(b"t" + s.encode() + b"\0")
 
     def walk(e: ET.Element) -> None:
-        if local(e.tag) in VOLATILE:
-            return
         digest.update(b"<" + e.tag.encode() + b"\0")
         for k, v in sorted(e.attrib.items()):
             if "relationships" in k and tokens:
@@ -241,8 +250,9 @@ def canonical(data: bytes, tokens: dict[str, str] | None = None) -> str:
             digest.update(k.encode() + b"=" + v.encode() + b"\0")
         text(e.text)
         for child in e:
-            walk(child)
-            text(child.tail)
+            if local(child.tag) not in volatile:
+                walk(child)
+                text(child.tail)
         digest.update(b">")
 
     walk(root)

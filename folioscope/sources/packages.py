@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import features
 from folioscope.sources import opc
 
 #: File extensions per format, the plain one and those with macros.
@@ -58,7 +59,7 @@ def explode(packages: DataFrame, duplicates: str = "error", decode: bool = False
                     kind = opc.type_of(part, defaults, overrides)
                     xml = opc.is_xml(part, kind)
                     digest = hashlib.sha256(data).hexdigest()
-                    rows.append((pkg, part, found.members[part], kind, xml, opc.is_rels(part), opc.well_formed(data) if xml else None, len(data), digest, opc.canonical(data, tokens.get(part)) if xml else digest, data, None))
+                    rows.append((pkg, part, found.members[part], kind, xml, opc.is_rels(part), opc.well_formed(data) if xml else None, len(data), digest, opc.canonical(data, tokens.get(part), part) if xml else digest, data, None))
                 yield batch_of(_PARTS, rows)
 
     return packages.select(F.col("pkg").cast("string"), "content").mapInArrow(run, _PARTS)
@@ -86,6 +87,18 @@ def screened(packages: DataFrame) -> DataFrame:
     return packages.select(F.col("pkg").cast("string"), "content").mapInArrow(run, schema)
 
 
+def labels(packages: DataFrame) -> DataFrame:
+    """pkg, label: the features of each package of ``packages`` (pkg, format, content)."""
+    schema = "pkg string, label string"
+
+    def run(batches):
+        for batch in batches:
+            for pkg, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                yield batch_of(schema, [(pkg, f) for f in features.of_package(kind, opc.read_package(content or b"", "first").parts)])
+
+    return packages.select(F.col("pkg").cast("string"), "format", "content").mapInArrow(run, schema)
+
+
 def inventory(parts: DataFrame, rels: DataFrame) -> DataFrame:
     """pkg, parts, xml_bytes, main_part."""
     main = rels.where("source = '' AND kind = 'officeDocument' AND NOT external").groupBy("pkg").agg(F.first("target").alias("main_part"))

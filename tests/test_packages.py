@@ -158,7 +158,7 @@ def test_adapters_on_documents(spark):
     files = [("d", "docx", bytearray(docx.write(docx.paragraph_markup("some text")))), ("e", "docx", bytearray(docx.write("<w:p/>"))), ("x", "xlsx", bytearray(BOOK))]
     rows = roundtrip.checks(spark.createDataFrame(files, "pkg string, format string, content binary"), ["identity", "patch", "lossy", "broken"]).collect()
     good = {(r.adapter, r.pkg, r.name) for r in rows if r.outcome == "success"}
-    assert {r.pkg for r in rows} == {"d", "x"}
+    assert {r.pkg for r in rows} == {"d", "e", "x"} and {r.outcome for r in rows if r.pkg == "e"} == {"unscored"}
     for pkg in ("d", "x"):
         assert all(("patch", pkg, n) in good for n in ("opened", "saved", "package-valid", "edit-applied", "content-preserved", "parts-preserved"))
         assert ("identity", pkg, "edit-applied") not in good and ("identity", pkg, "content-preserved") not in good and ("identity", pkg, "parts-preserved") in good
