@@ -80,7 +80,8 @@ class PositionalIndex:
         same = F.startswith("word", F.col("term")) & F.startswith(F.col("term"), F.col("word"))
         at_end = lambda c: F.when(F.col("term_id") == 0, F.col(c)).alias(c)
         posted = tokens.join(keyed, "key").where(same).select("n", "term_id", "pos", at_end("doc_id"), at_end("doc_hash"))
-        self.postings = cut(posted.sortWithinPartitions("term_id", "n", "pos"), "postings")
+        # Rows come in the order of n and pos; a sort by one long keeps that order within a list.
+        self.postings = cut(posted.sortWithinPartitions("term_id"), "postings")
         self.lists = self.postings.where("term_id > 0").select("n", "term_id", "pos")
         self.counts = cut(self.lists.groupBy("term_id").agg(F.count("*").alias("df")), "counts")
 
@@ -118,12 +119,12 @@ class PositionalIndex:
         ranked = cut(self._by_rarity(windows), "ranked")
         most = ranked.agg(F.max("k").alias("k"), F.max("span").alias("span")).first()
         strip = 4 * (most["span"] or 1)
-        left = self._places(ranked, strip)
-        touched = cut(left.select("n").distinct(), "touched")
-        lists = self.lists.join(small(touched, 16), "n", "left_semi").select("n", "term_id", "pos", F.floor(F.col("pos") / strip).alias("strip"))
-        lists = cut(lists, "lists")
         held_by = small(ranked.select("window_id", "size", "span", "terms", "k", "slots"), 512)
-        left = left.join(held_by, "window_id")
+        left = self._places(ranked, strip).join(held_by, "window_id")
+        # Of the other lists only what lies in a strip with a place, or next to one, is looked at.
+        spots = cut(left.select("n", F.explode(_strips(strip)).alias("strip")).distinct(), "spots")
+        lists = self.lists.withColumn("strip", F.floor(F.col("pos") / strip)).join(small(spots, 24), ["n", "strip"], "left_semi")
+        lists = cut(lists, "lists")
         for r in range(2, min(most["k"] or 0, LISTS)):
             t = F.get("terms", F.lit(r))
             at = F.when(t.isNull(), F.array(F.lit(None).cast("long"))).otherwise(_strips(strip))
