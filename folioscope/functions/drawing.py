@@ -7,6 +7,9 @@ import math
 
 #: A full turn and a whole in the units of drawing markup.
 TURN, WHOLE = 21_600_000, 100_000
+#: What red, green and blue weigh in a grey; divisors of a shape's sides that have a name.
+GRAY = (0.3, 0.59, 0.11)
+SIDES = {"wd": (2, 3, 4, 5, 6, 8, 10, 12, 16, 32), "hd": (2, 3, 4, 5, 6, 8, 10, 12, 16, 32), "ssd": (2, 3, 4, 5, 6, 8, 10, 12, 16, 32)}
 
 
 def _linear(c: float) -> float:
@@ -18,7 +21,7 @@ def _gamma(c: float) -> float:
 
 
 def modified(rgb: str, modifiers: list[tuple[str, int]]) -> str:
-    """RGB after the modifiers in order; ``~`` marks a modified colour, ``@`` its opacity in thousandths of a percent, and unknown ones are appended."""
+    """RGB after the modifiers in order; ``~`` marks a computed colour, ``/a`` its opacity in percent, and unknown ones are appended."""
     r, g, b = (int(rgb[i : i + 2], 16) / 255 for i in (0, 2, 4))
     alpha, unknown = WHOLE, []
     keep = lambda x: min(max(x, 0.0), 1.0)
@@ -40,26 +43,25 @@ def modified(rgb: str, modifiers: list[tuple[str, int]]) -> str:
         elif name in ("alpha", "alphaMod", "alphaOff"):
             alpha = {"alpha": value, "alphaMod": alpha * share, "alphaOff": alpha + value}[name]
         elif name == "inv":
-            r, g, b = (_gamma(1 - _linear(c)) for c in (r, g, b))
+            r, g, b = 1 - r, 1 - g, 1 - b
         elif name == "gray":
-            r = g = b = 0.2126 * r + 0.7152 * g + 0.0722 * b
+            r = g = b = sum(weight * c for weight, c in zip(GRAY, (r, g, b)))
         elif name == "gamma":
             r, g, b = (_gamma(c) for c in (r, g, b))
         elif name == "invGamma":
             r, g, b = (_linear(c) for c in (r, g, b))
         else:
-            unknown.append(f"{name}={value}")
+            unknown.append(f"+{name}={value}")
     out = "".join(f"{round(keep(c) * 255):02X}" for c in (r, g, b))
-    changed = any(n not in ("alpha", "alphaMod", "alphaOff") for n, _ in modifiers)
     opacity = min(max(round(alpha), 0), WHOLE)
-    return out + "~" * changed + (f"@{opacity}" if opacity != WHOLE else "") + "".join(f"|{u}" for u in unknown)
+    return out + "~" * bool(modifiers) + (f"/a{opacity / 1000:g}" if opacity != WHOLE else "") + "".join(unknown)
 
 
 def guides(formulas: list[tuple[str, str]], width: int, height: int, adjust: dict[str, float] | None = None) -> dict[str, float]:
-    """Values of a shape's guides, in order; a name may be used once it is defined."""
+    """Values of a shape's guides, in order; a name that isn't defined yet, and an operator that isn't known, count as 0."""
     side = min(width, height)
     known: dict[str, float] = {"w": width, "h": height, "l": 0, "t": 0, "r": width, "b": height, "hc": width / 2, "vc": height / 2, "ss": side, "ls": max(width, height)}
-    known |= {f"wd{n}": width / n for n in (2, 3, 4, 5, 6, 8, 10, 12, 32)} | {f"hd{n}": height / n for n in (2, 3, 4, 5, 6, 8, 10, 12, 32)} | {f"ssd{n}": side / n for n in (2, 4, 6, 8, 16, 32)}
+    known |= {f"{name}{n}": of / n for (name, parts), of in zip(SIDES.items(), (width, height, side)) for n in parts}
     known |= {"cd2": TURN / 2, "cd4": TURN / 4, "cd8": TURN / 8, "3cd4": 3 * TURN / 4, "3cd8": 3 * TURN / 8, "5cd8": 5 * TURN / 8, "7cd8": 7 * TURN / 8}
     known |= adjust or {}
     angle = lambda a: a * 2 * math.pi / TURN
@@ -85,10 +87,16 @@ def guides(formulas: list[tuple[str, str]], width: int, height: int, adjust: dic
     }
 
     def value(token: str) -> float:
-        return known[token] if token in known else float(token)
+        try:
+            return known[token] if token in known else float(token)
+        except ValueError:
+            return 0.0
 
     for name, formula in formulas:
         op, *args = formula.split()
         if name not in (adjust or {}):
-            known[name] = apply[op](*map(value, args))
+            try:
+                known[name] = apply[op](*map(value, args))
+            except (KeyError, TypeError, OverflowError):
+                known[name] = 0.0
     return known

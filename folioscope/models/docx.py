@@ -44,6 +44,7 @@ class Document:
         self.styles = {attr(s, "styleId"): s for s in kids(self.part_of("styles"), "style")}
         self.defaults = kid(self.part_of("styles"), "docDefaults")
         self.numbering = self.part_of("numbering")
+        self.styled: dict[tuple[str, str | None], dict[str, dict]] = {}
 
     def targets(self, kind: str, source: str | None = None) -> list[str]:
         return sorted(t for k, t, x in self.rels.get(self.main if source is None else source, {}).values() if k == kind and not x and t in self.parts)
@@ -63,11 +64,18 @@ class Document:
 
     def cascade(self, name: str, style: str | None, direct: ET.Element | None) -> dict[str, dict]:
         """Properties of one kind: defaults, then the style chain, then direct ones; per property the last wins."""
-        layers = [kid(self.defaults, f"{name}Default", name), *(kid(s, name) for s in self.chain(style)), direct]
-        out: dict[str, dict] = {}
+        if (name, style) not in self.styled:
+            self.styled[name, style] = self.over({}, [kid(self.defaults, f"{name}Default", name), *(kid(s, name) for s in self.chain(style))])
+        return self.over(self.styled[name, style], [direct])
+
+    @staticmethod
+    def over(props: dict[str, dict], layers: list[ET.Element | None]) -> dict[str, dict]:
+        """``props`` with the properties of further layers laid over them."""
+        out = dict(props)
         for layer in layers:
             for e in kids(layer):
-                out.setdefault(opc.local(e.tag), {}).update({opc.local(k): v for k, v in e.attrib.items()} or {"val": "1"})
+                name = opc.local(e.tag)
+                out[name] = out.get(name, {}) | ({opc.local(k): v for k, v in e.attrib.items()} or {"val": "1"})
         return out
 
 
@@ -83,11 +91,9 @@ class Story:
         self.out: dict[str, list] = {k: [] for k in ("tracked_changes", "fields", "bookmarks", "hyperlinks", "content_controls", "images", "shapes", "text_boxes", "embedded_objects", "references", "breaks")}
 
     def format(self, run: ET.Element, style: str | None) -> dict:
-        props = self.doc.cascade("rPr", style, None)
         own = kid(run, "rPr")
-        for layer in (*(kid(s, "rPr") for s in self.doc.chain(attr(kid(own, "rStyle"), "val") or None)), own):
-            for e in kids(layer):
-                props.setdefault(opc.local(e.tag), {}).update({opc.local(k): v for k, v in e.attrib.items()} or {"val": "1"})
+        named = [kid(s, "rPr") for s in self.doc.chain(attr(kid(own, "rStyle"), "val") or None)] if own is not None else []
+        props = self.doc.over(self.doc.cascade("rPr", style, None), [*named, own])
         value = lambda n: props.get(n, {}).get("val")
         out: dict = {k: True for k in _SWITCHES if k in props and value(k) not in ("0", "false", "off")}
         out["size"] = float(number(value("sz")) or 20) / 2

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
 from xml.etree import ElementTree as ET
 
 from folioscope.functions import sheets as S
+from folioscope.models.sheet_styles import Styles, merged
 from folioscope.sources import opc
 
 _FALSE, _TRUE = {"0", "false"}, {"1", "true"}
@@ -57,10 +59,10 @@ def key_of(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
-def rich_text(e: ET.Element | None) -> tuple[str, list]:
+def rich_text(e: ET.Element | None, styles: Styles) -> tuple[str, list]:
     """Text of a string item and its formatted runs; phonetic runs are no text."""
     plain = "".join(t.text or "" for t in kids(e, "t"))
-    runs = [["".join(t.text or "" for t in kids(r, "t")), dump(p) if (p := kid(r, "rPr")) is not None else None] for r in kids(e, "r")]
+    runs = [["".join(t.text or "" for t in kids(r, "t")), styles.font(p) if (p := kid(r, "rPr")) is not None else None] for r in kids(e, "r")]
     merged: list = []
     for text, form in runs:
         if not text:
@@ -87,8 +89,8 @@ class Workbook:
             raise ValueError("no workbook")
         self.root = opc.parse(self.parts[self.main])
         self.from_1904 = flag(self.attr(kid(self.root, "workbookPr"), "date1904"))
-        self.strings = [rich_text(e) for e in kids(self.part_of("sharedStrings"), "si")]
-        self.styles = self.part_of("styles")
+        self.styles = Styles(self.part_of("styles"))
+        self.strings = [rich_text(e, self.styles) for e in kids(self.part_of("sharedStrings"), "si")]
 
     @staticmethod
     def attr(e: ET.Element | None, name: str, default: str | None = None) -> str | None:
@@ -109,32 +111,16 @@ class Workbook:
             out.append((e.get("name", ""), e.get("state", "visible"), kind, target if target in self.parts else None))
         return out
 
-    # Styles: each format is resolved to what it shows and named by its content.
-
     def style(self, index: int) -> dict:
-        table = lambda *path: kids(kid(self.styles, path[0]), path[1])
-        forms = table("cellXfs", "xf")
-        if not 0 <= index < len(forms):
-            return {} if index == 0 else {"invalid": index}
-        xf = forms[index]
-        out: dict = {}
-        for name, (group, item, attribute) in {"font": ("fonts", "font", "fontId"), "fill": ("fills", "fill", "fillId"), "border": ("borders", "border", "borderId")}.items():
-            rows, i = table(group, item), int(xf.get(attribute, "0"))
-            out[name] = dump(rows[i]) if 0 <= i < len(rows) else {} if i == 0 else {"invalid": i}
-        formats = {e.get("numFmtId"): e.get("formatCode") for e in table("numFmts", "numFmt")}
-        form = xf.get("numFmtId", "0")
-        out["number_format"] = formats.get(form, "General" if form == "0" else f"builtin:{form}")
-        for name in ("alignment", "protection"):
-            if (e := kid(xf, name)) is not None:
-                out[name] = dump(e)
-        return out
+        """What a cell format shows."""
+        return self.styles.cell(index)
 
     # Cells.
 
     def value(self, c: ET.Element) -> dict | None:
         kind, v = c.get("t", "n"), kid(c, "v")
         if kind == "inlineStr":
-            text, runs = rich_text(kid(c, "is"))
+            text, runs = rich_text(kid(c, "is"), self.styles)
             return {"type": "s", "value": text} | ({"runs": runs} if runs else {}) if kid(c, "is") is not None else None
         text = v.text if v is not None else None
         if text is None or text == "":
@@ -174,8 +160,18 @@ def sheet_model(book: Workbook, root: ET.Element, part: str) -> dict[str, dict]:
     anchors: dict[str, tuple[str, int, int]] = {}
     users: list[tuple[str, str, int, int]] = []
     default = book.style(0)
-    columns = column_runs(book, root)
-    by_column = [(c["first"], c["last"], c["style_index"]) for c in columns if c["style_index"] is not None]
+    columns, by_column = column_runs(book, root)
+    firsts = [a for a, _, _ in by_column]
+    by_row: dict[int, dict] = {}
+
+    def of_column(column: int) -> int:
+        k = bisect_right(firsts, column) - 1
+        return by_column[k][2] if k >= 0 and column <= by_column[k][1] else 0
+
+    form = kid(root, "sheetFormatPr")
+    usual = {"height": number(form.get("defaultRowHeight"))} if form is not None and flag(form.get("customHeight")) and form.get("defaultRowHeight") else {}
+    if usual := usual | ({"hidden": True} if form is not None and flag(form.get("zeroHeight")) else {}):
+        out["rows"]["_default"] = usual
     for r, row, cells in book.grid(root):
         shown: dict = {}
         if flag(r.get("customHeight")) and r.get("ht"):
@@ -185,7 +181,8 @@ def sheet_model(book: Workbook, root: ET.Element, part: str) -> dict[str, dict]:
             shown["outline"] = int(r.get("outlineLevel"))
         styled = int(r.get("s", "0")) if flag(r.get("customFormat")) else None
         if styled is not None:
-            shown["style"] = key_of(book.style(styled))
+            by_row[row] = book.style(styled)
+            shown |= {"style": by_row[row]} if by_row[row] != default else {}
         if shown:
             out["rows"][str(row)] = shown
         for c, column in cells:
@@ -193,8 +190,8 @@ def sheet_model(book: Workbook, root: ET.Element, part: str) -> dict[str, dict]:
             if (value := book.value(c)) is not None:
                 out["cells"][at] = value
             own = int(c.get("s", "0"))
-            inherited = styled if styled is not None else next((s for a, z, s in by_column if a <= column <= z), 0)
-            if own != inherited and book.style(own) != (book.style(inherited) if inherited else default):
+            inherited = styled if styled is not None else of_column(column)
+            if own != inherited and book.style(own) != book.style(inherited):
                 out["cell_styles"][at] = book.style(own)
             f = kid(c, "f")
             if f is None:
@@ -213,19 +210,15 @@ def sheet_model(book: Workbook, root: ET.Element, part: str) -> dict[str, dict]:
     for at, si, row, column in users:
         text, r0, c0 = anchors.get(si, (None, 0, 0))
         out["formulas"][at] = {"text": S.normal_formula(S.shift_formula(text, row - r0, column - c0))} if text is not None else {"text": None, "shared_without_anchor": True}
-    merged = [S.canonical_ref(e.get("ref", "")) for e in kids(kid(root, "mergeCells"), "mergeCell")]
-    out["merged_cells"] = {m: True for m in sorted(merged)}
-    for m in merged:
-        box = S.parse_range(m)
-        if box:
-            a, b, c, d = box
-            for at in list(out["cell_styles"]):
-                x, y, _, _ = S.parse_range(at)
-                if a <= x <= c and b <= y <= d and (x, y) != (a, b):
-                    del out["cell_styles"][at]
-    out["columns"] = {
-        f"{S.column_letters(c['first'])}:{S.column_letters(c['last'])}": {k: v for k, v in c.items() if k not in ("first", "last", "style_index")} for c in columns
-    }
+    areas = sorted(S.canonical_ref(e.get("ref", "")) for e in kids(kid(root, "mergeCells"), "mergeCell"))
+    out["merged_cells"] = {m: True for m in areas}
+    boxes = [box for m in areas if (box := S.parse_range(m))]
+    look = lambda x, y: out["cell_styles"].get(f"{S.column_letters(x)}{y}") or by_row.get(y) or book.style(of_column(x))
+    shown_by = merged(boxes, look)
+    for at in inside(boxes, list(out["cell_styles"])):
+        del out["cell_styles"][at]
+    out["cell_styles"] |= {f"{S.column_letters(x)}{y}": style for (x, y), style in shown_by.items()}
+    out["columns"] = columns
     views = {}
     for i, v in enumerate(kids(kid(root, "sheetViews"), "sheetView")):
         pane = kid(v, "pane")
@@ -234,7 +227,7 @@ def sheet_model(book: Workbook, root: ET.Element, part: str) -> dict[str, dict]:
             views[str(i)]["pane"] = {k: pane.get(k) for k in ("xSplit", "ySplit", "topLeftCell", "state") if pane.get(k)}
     out["views"] = views
     if (f := kid(root, "autoFilter")) is not None:
-        out["auto_filters"] = {"ref": S.canonical_ref(f.get("ref", "")), "columns": [dump(c) for c in kids(f, "filterColumn")]}
+        out["auto_filters"] = {"ref": S.canonical_ref(f.get("ref", "")), "columns": [book.styles.dump(c) for c in kids(f, "filterColumn")]}
     out["data_validations"] = validations(root)
     out["conditional_formats"] = conditional_formats(book, root)
     links = {}
@@ -265,18 +258,37 @@ def attr(e: ET.Element | None, name: str, default: str = "") -> str:
     return default if e is None else opc.attribute(e, name, default)
 
 
-def column_runs(book: Workbook, root: ET.Element) -> list[dict]:
-    """Maximal runs of columns with equal properties."""
-    out: list[dict] = []
+def inside(boxes: list[tuple[int, int, int, int]], cells: list[str]) -> list[str]:
+    """Those of ``cells`` that lie in a box, by the rows and then the columns that have cells."""
+    rows: dict[int, list[tuple[int, str]]] = {}
+    for at in cells:
+        x, y, _, _ = S.parse_range(at)
+        rows.setdefault(y, []).append((x, at))
+    order, found = sorted(rows), set()
+    for a, b, c, d in boxes:
+        for y in order[bisect_left(order, b) : bisect_right(order, d)]:
+            found.update(at for x, at in rows[y] if a <= x <= c)
+    return sorted(found)
+
+
+def column_runs(book: Workbook, root: ET.Element) -> tuple[dict[str, dict], list[tuple[int, int, int]]]:
+    """Maximal runs of columns with equal properties, and (first, last, format) of those with a look of their own."""
+    runs: list[list] = []
+    styled: list[tuple[int, int, int]] = []
     for e in sorted(kids(kid(root, "cols"), "col"), key=lambda e: int(e.get("min", "1"))):
-        index = int(e.get("style", "0")) or None
-        shown = {"width": number(e.get("width")) if flag(e.get("customWidth"), e.get("width") is not None) else None, "hidden": flag(e.get("hidden")), "outline": int(e.get("outlineLevel", "0")), "style": key_of(book.style(index)) if index else None, "style_index": index}
-        first, last = int(e.get("min", "1")), int(e.get("max", "1"))
-        if out and out[-1]["last"] == first - 1 and {k: v for k, v in out[-1].items() if k not in ("first", "last")} == shown:
-            out[-1]["last"] = last
-        else:
-            out.append(shown | {"first": first, "last": last})
-    return out
+        index, first, last = int(e.get("style", "0")), int(e.get("min", "1")), int(e.get("max", "1"))
+        shown: dict = {"width": number(e.get("width"))} if number(e.get("width")) is not None else {}
+        shown |= {k: True for k in ("hidden", "collapsed") if flag(e.get(k))}
+        if e.get("outlineLevel", "0") != "0":
+            shown["outline"] = int(e.get("outlineLevel"))
+        if book.style(index) != book.style(0):
+            shown["style"] = book.style(index)
+            styled.append((first, last, index))
+        if shown and runs and runs[-1][1] == first - 1 and runs[-1][2] == shown:
+            runs[-1][1] = last
+        elif shown:
+            runs.append([first, last, shown])
+    return {f"{S.column_letters(a)}:{S.column_letters(b)}": shown for a, b, shown in runs}, styled
 
 
 #: Validation types whose operator counts, and operators that take a second formula.
@@ -302,18 +314,55 @@ def validations(root: ET.Element) -> dict[str, dict]:
     return {k: v | {"refs": S.canonical_refs(v["refs"])} for k, v in found.items()}
 
 
+#: Attributes that each kind of rule reads, with the value that stands for nothing, and kinds without a condition of their own.
+_READ = {
+    **dict.fromkeys(("containsText", "notContainsText", "beginsWith", "endsWith"), {"text": None}), "timePeriod": {"timePeriod": None}, "top10": {"rank": None, "percent": False, "bottom": False},
+    "aboveAverage": {"aboveAverage": True, "equalAverage": False, "stdDev": None},
+}
+_COMPARES = {"cellIs", "containsText", "notContainsText", "beginsWith", "endsWith"}
+_NO_FORMULA = {"aboveAverage", "top10", "duplicateValues", "uniqueValues", "colorScale", "dataBar", "iconSet"}
+_GRAPHIC = ("colorScale", "dataBar", "iconSet")
+
+
+def conditional_rule(book: Workbook, e: ET.Element, refs: str) -> dict:
+    kind = e.get("type")
+    out: dict = {"type": kind, "refs": S.canonical_refs(refs)}
+    if e.get("operator") and kind in _COMPARES:
+        out["operator"] = e.get("operator")
+    formulas = [S.normal_formula(f.text or "") for f in kids(e, "formula", "f") if f.text]
+    if formulas and kind not in _NO_FORMULA:
+        out["formulas"] = formulas
+    if flag(e.get("stopIfTrue")):
+        out["stop"] = True
+    for name, usual in _READ.get(kind or "", {}).items():
+        value = e.get(name) if usual is None else flag(e.get(name), usual)
+        if value != usual:
+            out[name] = value
+    style = book.styles.rule(kid(e, "dxf")) if kid(e, "dxf") is not None else book.styles.rule_at(int(e.get("dxfId")) if (e.get("dxfId") or "").isdigit() else None)
+    return out | ({"style": style} if style else {}) | ({"shown": shown} if (shown := [book.styles.dump(c) for c in kids(e, *_GRAPHIC)]) else {})
+
+
 def conditional_formats(book: Workbook, root: ET.Element) -> list[dict]:
-    """Rules by priority, a missing one last, then by place; the rank is what counts."""
-    styles = kids(kid(book.styles, "dxfs"), "dxf")
-    rows = []
+    """Rules by priority, a missing one last, then by place; the rank is what counts.
+
+    An extended rule that a plain one refers to belongs to it; others are rules of their own.
+    """
+    extended = [(rule, "".join(kid(block, "sqref").itertext()) if kid(block, "sqref") is not None else "")
+                for x in kids(kid(root, "extLst"), "ext") for block in kids(kid(x, "conditionalFormattings"), "conditionalFormatting") for rule in kids(block, "cfRule")]
+    by_id = {rule.get("id"): rule for rule, _ in extended if rule.get("id")}
+    rows, linked = [], set()
     for block in kids(root, "conditionalFormatting"):
         for rule in kids(block, "cfRule"):
-            index = rule.get("dxfId")
-            look = dump(styles[int(index)]) if index and index.isdigit() and int(index) < len(styles) else {}
-            body = {k: v for k, v in dump(rule).items() if k not in ("priority", "dxfId", "formula", "extLst")}
-            body |= {"formulas": [S.normal_formula(f.text or "") for f in kids(rule, "formula")], "style": look, "refs": S.canonical_refs(block.get("sqref", ""))}
-            rows.append((int(rule.get("priority", 1 << 30)), len(rows), body))
-    return [body | {"rank": i + 1} for i, (_, _, body) in enumerate(sorted(rows, key=lambda r: r[:2]))]
+            body = conditional_rule(book, rule, block.get("sqref", ""))
+            for x in kids(kid(rule, "extLst"), "ext"):
+                name = "".join(kid(x, "id").itertext()).strip() if kid(x, "id") is not None else ""
+                if name in by_id:
+                    linked.add(name)
+                    body["extended"] = [book.styles.dump(c) for c in kids(by_id[name]) if opc.local(c.tag) != "dxf"]
+            rows.append((rule, body))
+    rows += [(rule, conditional_rule(book, rule, refs)) for rule, refs in extended if rule.get("id") not in linked]
+    place = lambda row: int(row[0].get("priority")) if (row[0].get("priority") or "").lstrip("-").isdigit() else 1 << 30
+    return [body | {"rank": i} for i, (_, body) in enumerate(sorted(rows, key=place), 1)]
 
 
 def comments(book: Workbook, part: str) -> dict[str, dict]:
@@ -329,7 +378,7 @@ def comments(book: Workbook, part: str) -> dict[str, dict]:
         for e in kids(kid(root, "commentList"), "comment"):
             at, author = S.canonical_ref(e.get("ref", "")), int(e.get("authorId", "0"))
             if at not in out:
-                out[at] = {"author": authors[author] if author < len(authors) else None, "text": rich_text(kid(e, "text"))[0]}
+                out[at] = {"author": authors[author] if author < len(authors) else None, "text": rich_text(kid(e, "text"), book.styles)[0]}
     return out
 
 
@@ -399,6 +448,7 @@ def extract(content: bytes) -> dict[str, object]:
     model["defined_names"] = names
     if (p := kid(book.root, "workbookProtection")) is not None:
         per["protection"][""] = {k: flag(v) for k, v in p.attrib.items() if v in _TRUE | _FALSE}
+    per["cell_styles"][""] = book.style(0)  # the look of cells that have none of their own
     model |= per
     model["external_links"] = {"count": len(book.targets(book.main, "externalLink"))}
     model["vba"] = any(p.rpartition("/")[2] == "vbaproject.bin" for p in book.parts)

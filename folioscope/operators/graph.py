@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import natural_key
+from folioscope.sources.scratch import written
 
 
 def dangling(rels: DataFrame, parts: DataFrame) -> DataFrame:
@@ -25,26 +26,25 @@ def ordinals(rels: DataFrame) -> DataFrame:
     return rels.withColumn("step", F.concat(F.lit("/"), "kind", F.lit("#"), rank.cast("string")))
 
 
-def logical_paths(rels: DataFrame, depth: int = 12) -> DataFrame:
+def logical_paths(rels: DataFrame) -> DataFrame:
     """pkg, part, path: the chain of relationship steps by which each part is first reached from the root.
 
-    Breadth first, one join per level, until a level reaches nothing new (``depth`` levels at
-    most, more than any format nests).  Parts met before are dropped by an anti join, so
-    cycles end.
+    Breadth first, one join per level, until a level reaches nothing new.  Parts met before are
+    dropped by an anti join, so cycles end.  Each level is a written table, so the plan of a
+    level doesn't hold those of all levels before.
     """
-    steps = ordinals(rels.where("NOT external")).select("pkg", F.col("source").alias("part"), "target", "step").alias("s")
+    steps = written(ordinals(rels.where("NOT external")).select("pkg", F.col("source").alias("part"), "target", "step"), "steps").alias("s")
     level = rels.select("pkg").distinct().select("pkg", F.lit("").alias("part"), F.lit("").alias("path"))
     found = None
-    for _ in range(depth):
+    while True:
         reached = level.alias("l").join(steps, ["pkg", "part"]).select("pkg", F.col("s.target").alias("part"), F.concat("l.path", "s.step").alias("path"))
         level = reached.where("part <> ''").groupBy("pkg", "part").agg(F.min("path").alias("path"))
         if found is not None:
             level = level.join(found.select("pkg", "part"), ["pkg", "part"], "left_anti")
-        level = level.persist()
+        level = written(level, "level")
         if found is not None and level.isEmpty():
-            break
+            return found
         found = level if found is None else found.unionByName(level)
-    return found
 
 
 def map_parts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ written to the shared folder before they are scored: no adapter runs twice.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -37,6 +38,8 @@ _SCORES = (
     "differences array<struct<feature:string,path:string,kind:string,before:string,after:string>>"
 )
 
+#: Leaves that go to Spark at a time, at least.
+BATCH = 20_000
 #: Errors that a damaged document may raise while its model is read.
 UNREADABLE = (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError)
 #: Fixed value: entries that a report lists of each kind.
@@ -50,15 +53,24 @@ def _extracted(module, content: bytes) -> tuple[list, str | None]:
         return [], f"{type(e).__name__}: {e}"
 
 
-def leaves(files: DataFrame) -> DataFrame:
-    """The model leaves of ``files`` (pkg, format, content); one row with an error for a file without a model."""
+def leaves(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """The model leaves of ``files`` (pkg, format, content); one row with an error for a file without a model.
+
+    Only leaves whose path matches the regular expression ``wanted`` leave the Python worker.
+    """
+    keep = re.compile(wanted).search if wanted else None
 
     def run(batches):
+        held: list[tuple] = []
         for batch in batches:
             for pkg, kind, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows, error = _extracted(MODELS[kind], content or b"")
-                found = [(pkg, *row, None) for row in rows] if error is None else [(pkg, None, None, None, None, error)]
-                yield packages.batch_of(_LEAVES, found)
+                held += [(pkg, *row, None) for row in rows if keep is None or keep(row[1])] if error is None else [(pkg, None, None, None, None, error)]
+                if len(held) >= BATCH:
+                    yield packages.batch_of(_LEAVES, held)
+                    held = []
+        if held:
+            yield packages.batch_of(_LEAVES, held)
 
     return files.select(F.col("pkg").cast("string"), "format", "content").mapInArrow(run, _LEAVES)
 
@@ -192,7 +204,7 @@ def scored(kind: str, content: bytes, output: bytes | None, target: str) -> tupl
         return (*parts, f"output: {type(e).__name__}: {e}", None, None, present, None)
     shown = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x, sort_keys=True, ensure_ascii=False)
     found = [(d.feature, d.path, d.kind, shown(d.before), shown(d.after)) for d in compare.differences(kind, wanted, got)]
-    plain = compare.default_style(got, place, xlsx.Workbook(output).style(0)) if kind == "xlsx" else False
+    plain = kind == "xlsx" and compare.default_style(wanted, got, place)
     return (*parts, None, compare.edit_found(kind, wanted, got, place, MARKER), plain, present, found)
 
 

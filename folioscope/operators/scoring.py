@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.scratch import small
+
 #: The checks in their order.
 CHECKS = ("opened", "saved", "package-valid", "edit-applied", "content-preserved", "render-similarity", "parts-preserved", "semantic-preserved")
 
@@ -17,10 +19,10 @@ def outcome(timeout: Column, phase: Column, failed: Column) -> Column:
 def tasks(adapters: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
     """adapter, file, runs: every available adapter on every file; a file without a target runs nothing.
 
-    Adapters are a registry of a few dozen rows and are broadcast.
+    Adapters are broadcast where their number allows it.
     """
     able = files.join(targets.select("file").distinct().withColumn("runs", F.lit(True)), "file", "left")
-    return able.crossJoin(F.broadcast(adapters)).select("adapter", "file", F.coalesce("runs", F.lit(False)).alias("runs"))
+    return able.crossJoin(small(adapters)).select("adapter", "file", F.coalesce("runs", F.lit(False)).alias("runs"))
 
 
 def check_summary(checks: DataFrame, names: list[str], group: str = "adapter") -> DataFrame:
@@ -39,7 +41,7 @@ def feature_preservation(inputs: DataFrame, diffs: DataFrame, results: DataFrame
     lost = diffs.select("adapter", "file", "feature").distinct().withColumn("lost", F.lit(True))
     each = have.join(lost, ["adapter", "file", "feature"], "left")
     kept = each.groupBy("adapter", "feature").agg(F.count_if(F.col("compared") & F.col("lost").isNull()).alias("preserved"), F.count("*").alias("present"))
-    every = results.select("adapter").distinct().crossJoin(F.broadcast(vocabulary))
+    every = results.select("adapter").distinct().crossJoin(small(vocabulary))
     out = every.join(kept, ["adapter", "feature"], "left").na.fill(0, ["preserved", "present"])
     return out.withColumn("rate", F.when(F.col("present") > 0, F.round(F.col("preserved") / F.col("present"), 4)))
 

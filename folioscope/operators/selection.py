@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.scratch import small
+
+#: Fixed value: file names that announce a damaged or hostile input.
+HOSTILE = r"(?i)corrupt|invalid|broken|truncat|fuzz|crash|ofz\d|malformed|damaged|bogus|garbage|poc[-_.]"
+
 
 def first_reason(rules: Iterable[tuple[str, Column]]) -> Column:
     """The label of the first rule that holds; null if none does."""
@@ -55,11 +60,9 @@ def lines_digest(lines: DataFrame, line: str) -> DataFrame:
 
 def manifest_counts(files: DataFrame) -> DataFrame:
     """Counts per format, per format and source and split, and per format and split, in one pass."""
-    files.createOrReplaceTempView("_manifest_files")
-    return files.sparkSession.sql(
-        "SELECT format, source, split, CAST(grouping_id(format, source, split) AS INT) AS level, count(*) AS n FROM _manifest_files "
-        "GROUP BY GROUPING SETS ((format), (format, source, split), (format, split))"
-    )
+    keys = [F.col(c) for c in ("format", "source", "split")]
+    grouped = files.groupingSets([keys[:1], keys, [keys[0], keys[2]]], *keys)
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
 def split_counts(files: DataFrame, splits: tuple[str, ...] = ("holdout", "dev")) -> DataFrame:
@@ -67,18 +70,20 @@ def split_counts(files: DataFrame, splits: tuple[str, ...] = ("holdout", "dev"))
     return files.groupBy("format", "source").pivot("split", list(splits)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def labels(parts: DataFrame, rules: DataFrame, part: str = "part", content: str = "content") -> DataFrame:
-    """file_id, label: rules (label, part_pattern, content_pattern) that a part of the file fits.
+def labels(parts: DataFrame, rules: list[tuple[str, str, str | None]], part: str = "part", content: str = "content") -> DataFrame:
+    """file_id, label: rules (label, pattern of the part's name, pattern of its content) that a part of the file fits.
 
-    Rules are a small fixed table and are broadcast; a null content pattern fits any content.
+    Rules are literals of one expression, so their patterns are compiled once; a null content
+    pattern fits any content.
     """
-    fits = F.expr(f"{part} RLIKE part_pattern AND (content_pattern IS NULL OR {content} RLIKE content_pattern)")
-    return parts.join(F.broadcast(rules), fits).select("file_id", "label").distinct()
+    fits = [F.col(part).rlike(name) & (F.coalesce(F.col(content).rlike(inside), F.lit(False)) if inside else F.lit(True)) for _, name, inside in rules]
+    found = F.array_compact(F.array(*(F.when(fit, F.lit(label)) for fit, (label, _, _) in zip(fits, rules))))
+    return parts.select("file_id", F.explode(found).alias("label")).distinct()
 
 
 def gains(pool: DataFrame, covered: DataFrame) -> DataFrame:
     """file_id, gain, n_labels: what each candidate of ``pool`` (file_id, labels) adds to ``covered`` (label, times)."""
-    each = pool.select("file_id", F.explode_outer("labels").alias("label")).join(F.broadcast(covered), "label", "left")
+    each = pool.select("file_id", F.explode_outer("labels").alias("label")).join(small(covered), "label", "left")
     gain = F.sum(F.when(F.col("label").isNotNull(), 1 / (1 + F.coalesce("times", F.lit(0)))).otherwise(0.0))
     return each.groupBy("file_id").agg(gain.alias("gain"), F.count("label").alias("n_labels"))
 

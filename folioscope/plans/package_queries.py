@@ -58,19 +58,19 @@ UNION ALL SELECT pkg, '/cells/' || sheet || '/B' || i || '/value', NULL, c_name
 UNION ALL SELECT pkg, '/cells/' || sheet || '/C' || i || '/value', c_acctbal, NULL FROM books
 UNION ALL SELECT pkg, '/cells/' || sheet || '/D' || i || '/value', NULL, CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END FROM books""")
 def xlsx_cells_rt(spark, d):
-    found = roundtrip.leaves(workbooks(spark, d)).where("feature = 'cells' AND path LIKE '%/value'")
+    found = roundtrip.leaves(workbooks(spark, d), "^/cells/.*/value$").where("path IS NOT NULL")
     num = F.when(F.col("vtype") == "num", F.col("value").cast("double"))
     return found.select("pkg", "path", num.alias("num"), F.when(F.col("vtype") != "num", F.col("value")).alias("str"))
 
 
 @query(_BOOKS + "SELECT pkg, '/formulas/' || sheet || '/E' || i || '/text' AS path, 'A' || i || '*2+$C$1' AS formula FROM books")
 def xlsx_formula_rt(spark, d):
-    return roundtrip.leaves(workbooks(spark, d)).where("feature = 'formulas'").select("pkg", "path", F.col("value").alias("formula"))
+    return roundtrip.leaves(workbooks(spark, d), "^/formulas/").where("path IS NOT NULL").select("pkg", "path", F.col("value").alias("formula"))
 
 
 @query(_BOOKS + "SELECT pkg, any_value(sheet) AS sheet, 'F1:G' || (count(*) + 1) AS merged, '''' || any_value(sheet) || '''!$A$1' AS name FROM books GROUP BY pkg")
 def xlsx_merge_rt(spark, d):
-    found = roundtrip.leaves(workbooks(spark, d)).where("feature = 'merged_cells' OR path = '/defined_names/first/formula'")
+    found = roundtrip.leaves(workbooks(spark, d), "^/merged_cells/|^/defined_names/first/formula$").where("path IS NOT NULL")
     split = F.split("path", "/")
     return found.groupBy("pkg").agg(
         F.max(F.when(F.col("feature") == "merged_cells", split[2])).alias("sheet"), F.max(F.when(F.col("feature") == "merged_cells", split[3])).alias("merged"), F.max(F.when(F.col("feature") == "defined_names", F.col("value"))).alias("name")
@@ -98,7 +98,7 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CAST(doc_id AS VARCHAR) AS pkg, '/body/' || (i - 1) || '/text' AS path, lines[i] AS text
 FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
 def docx_paras_rt(spark, d):
-    found = roundtrip.leaves(text_files(spark, d)).where("path RLIKE '^/body/[0-9]+/text$'")
+    found = roundtrip.leaves(text_files(spark, d), "^/body/[0-9]+/text$").where("path IS NOT NULL")
     return found.select("pkg", "path", F.col("value").alias("text"))
 
 
@@ -110,7 +110,7 @@ def docx_table_rt(spark, d):
         return pd.DataFrame({"pkg": [str(pdf["n_regionkey"].iloc[0])], "format": ["docx"], "content": [docx.write(docx.table_markup(rows))]})
 
     made = table(spark, d, "nation").groupBy("n_regionkey").applyInPandas(write, "pkg string, format string, content binary")
-    return roundtrip.leaves(made).where("path RLIKE '/blocks/0/text$'").select("pkg", "path", F.col("value").alias("text"))
+    return roundtrip.leaves(made, "/blocks/0/text$").where("path IS NOT NULL").select("pkg", "path", F.col("value").alias("text"))
 
 
 def decks(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ def decks(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS pkg, CAST(i AS BIGINT) AS slide, role, coalesce(text, '') AS text, CAST(turn * 100 AS BIGINT) AS x FROM t""")
 def pptx_slides_rt(spark, d):
-    found = roundtrip.leaves(decks(spark, d)).withColumn("s", F.split("path", "/"))
+    found = roundtrip.leaves(decks(spark, d), "^/slides/[0-9]+/shapes/(0/geometry/x|[01]/paragraphs/[0-9]+/text)$").withColumn("s", F.split("path", "/"))
     end = F.concat_ws("/", F.slice("s", 4, 100))
     at = lambda wanted: F.max(F.when(end == wanted, F.col("value")))
     line = F.when(end.rlike("^shapes/1/paragraphs/[0-9]+/text$"), F.struct(F.col("s")[6].cast("int").alias("i"), "value"))
@@ -284,7 +284,7 @@ def roundtrip_decks(spark, d):
 
 @query(_BOOKS + """, n AS (SELECT count(DISTINCT pkg) AS n FROM books)
 SELECT adapter, feature, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0 ELSE n END AS preserved, n AS present, CASE WHEN adapter = 'identity' AND feature = 'cells' THEN 0.0 ELSE 1.0 END::DOUBLE AS rate
-FROM n, (SELECT unnest(['identity', 'patch']) AS adapter), (SELECT unnest(['workbook', 'defined_names', 'cells', 'formulas', 'merged_cells', 'external_links']) AS feature)""")
+FROM n, (SELECT unnest(['identity', 'patch']) AS adapter), (SELECT unnest(['workbook', 'defined_names', 'cells', 'formulas', 'cell_styles', 'merged_cells', 'external_links']) AS feature)""")
 def roundtrip_features(spark, d):
     return roundtrip.preservation(roundtrip.Trial(workbooks(spark, d), ["identity", "patch"]))
 

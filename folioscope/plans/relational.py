@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import scalars
 from folioscope.operators import diff, graph, runs, scoring, selection
+from folioscope.sources.scratch import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,14 +38,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def rules() -> list[tuple[str, Column]]:
     return [
-        ("intentionally-malformed", F.col("text").rlike("(?i)idiot|trash|scum")),
+        ("intentionally-malformed", F.col("text").rlike(selection.HOSTILE)),
         ("too-large", F.col("n_chars") > 10000),
         ("too-small", F.col("n_chars") < 50),
     ]
 
 
-_RULED = """WITH ruled AS (
-  SELECT *, CASE WHEN regexp_matches(text, '(?i)idiot|trash|scum') THEN 'intentionally-malformed'
+_RULED = rf"""WITH ruled AS (
+  SELECT *, CASE WHEN regexp_matches(text, '{selection.HOSTILE}') THEN 'intentionally-malformed'
     WHEN n_chars > 10000 THEN 'too-large' WHEN n_chars < 50 THEN 'too-small' END AS rule FROM documents
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang, text, rule IS NULL ORDER BY source, doc_id) AS k FROM ruled
@@ -126,9 +127,8 @@ PAGE_RULES = [
 
 
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(PAGE_RULES, "label string, part_pattern string, content_pattern string")
     pages = table(spark, d, "pages").select(F.col("page_id").alias("file_id"), "url", F.concat_ws("\n", "html", "url").alias("content"))
-    return selection.labels(pages, rules, part="url")
+    return selection.labels(pages, PAGE_RULES, part="url")
 
 
 _LABELS = (
@@ -405,7 +405,7 @@ def run_status(spark, d):
 
 
 @query("""WITH inputs AS (SELECT DISTINCT p_partkey AS file, p_type AS feature FROM part UNION SELECT p_partkey, 'size' || p_size % 7 FROM part),
-results AS (SELECT DISTINCT s_nationkey AS adapter, l_partkey AS file, l_partkey % 9 <> 0 AS compared FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45),
+results AS (SELECT DISTINCT s_nationkey AS adapter, l_partkey AS file, l_partkey % 9 <> 0 AS compared FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 diffs AS (SELECT DISTINCT s_nationkey AS adapter, l_partkey AS file, p_type AS feature FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A'),
 vocabulary AS (SELECT DISTINCT feature FROM inputs UNION SELECT 'absent'),
 kept AS (SELECT adapter, r.file, feature, compared AND NOT EXISTS (SELECT 1 FROM diffs d WHERE d.adapter = r.adapter AND d.file = r.file AND d.feature = i.feature) AS ok FROM results r JOIN inputs i ON r.file = i.file),
@@ -415,7 +415,7 @@ FROM (SELECT DISTINCT adapter FROM results) a CROSS JOIN vocabulary v LEFT JOIN
 def feature_preservation(spark, d):
     part, line = table(spark, d, "part"), table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     inputs = part.select(F.col("p_partkey").alias("file"), F.explode(F.array("p_type", F.concat(F.lit("size"), (F.col("p_size") % 7).cast("string")))).alias("feature")).distinct()
-    results = line.where("l_quantity > 45").select(F.col("s_nationkey").alias("adapter"), F.col("l_partkey").alias("file"), (F.col("l_partkey") % 9 != 0).alias("compared")).distinct()
+    results = line.select(F.col("s_nationkey").alias("adapter"), F.col("l_partkey").alias("file"), (F.col("l_partkey") % 9 != 0).alias("compared")).distinct()
     diffs = line.where("l_returnflag = 'A'").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("adapter"), F.col("l_partkey").alias("file"), F.col("p_type").alias("feature"))
     vocabulary = inputs.select("feature").distinct().union(spark.createDataFrame([("absent",)], "feature string"))
     return scoring.feature_preservation(inputs, diffs, results, vocabulary)
@@ -432,9 +432,9 @@ def median_elapsed(spark, d):
     return scoring.median_elapsed(table(spark, d, "events"), ["user_id", "event_type"], "value")
 
 
-@query("SELECT s_suppkey AS adapter, p_partkey AS file, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50) AS runs FROM supplier CROSS JOIN part WHERE s_suppkey < 12")
+@query("SELECT n_nationkey AS adapter, p_partkey AS file, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50) AS runs FROM nation CROSS JOIN part")
 def task_cross(spark, d):
-    adapters = table(spark, d, "supplier").where("s_suppkey < 12").select(F.col("s_suppkey").alias("adapter"))
+    adapters = table(spark, d, "nation").select(F.col("n_nationkey").alias("adapter"))
     files = table(spark, d, "part").select(F.col("p_partkey").alias("file"))
     return scoring.tasks(adapters, files, table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("file")))
 
@@ -513,6 +513,6 @@ def pixel_diff(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def contained_items(spark, d):
-    """Whole benchmark texts inside documents; the benchmark is a fixed list and is broadcast."""
+    """Whole benchmark texts inside documents: a stated list of texts, broadcast where its size allows it, against all rows."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    return table(spark, d, "documents").join(F.broadcast(items), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
+    return table(spark, d, "documents").join(small(items, 4096), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")

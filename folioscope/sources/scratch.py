@@ -11,6 +11,10 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table that is broadcast by hint, at most.
+BROADCAST_BYTES = 32 << 20
 
 _paths: list[tuple[SparkSession, str]] = []
 
@@ -25,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted, stay within the bound at ``row_bytes`` each; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _paths:

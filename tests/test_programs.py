@@ -71,7 +71,7 @@ def test_blobs_of_the_whole_history(tmp_path, spark):
 
 @pytest.mark.parametrize(
     "rgb, steps, want",
-    [("4472C4", [], "4472C4"), ("000000", [("lumOff", 50000)], "808080~"), ("FFFFFF", [("lumMod", 50000)], "808080~"), ("FF0000", [("comp", 0)], "00FFFF~"), ("102030", [("alpha", 40000)], "102030@40000"), ("FF0000", [("shade", 100000), ("odd", 3)], "FF0000~|odd=3")],
+    [("4472C4", [], "4472C4"), ("000000", [("lumOff", 50000)], "808080~"), ("FFFFFF", [("lumMod", 50000)], "808080~"), ("FF0000", [("comp", 0)], "00FFFF~"), ("102030", [("alpha", 40000)], "102030~/a40"), ("FF0000", [("shade", 100000), ("odd", 3)], "FF0000~+odd=3"), ("204060", [("inv", 0)], "DFBF9F~"), ("FF0000", [("gray", 0)], "4C4C4C~"), ("0000FF", [("gray", 0)], "1C1C1C~")],
 )
 def test_colours(rgb, steps, want):
     assert drawing.modified(rgb, steps) == want
@@ -80,3 +80,8 @@ def test_colours(rgb, steps, want):
 def test_guides():
     out = drawing.guides([("adj", "val 25000"), ("a", "pin 0 adj 50000"), ("x", "*/ ss a 100000"), ("y", "+- r 0 x"), ("z", "at2 1 1"), ("c", "cos 10 cd2"), ("q", "?: -1 3 4")], 200, 100, {"adj": 60000})
     assert (out["a"], out["x"], out["y"], out["z"], out["q"]) == (50000, 50, 150, drawing.TURN / 8, 4) and round(out["c"], 9) == -10
+
+
+def test_guides_without_a_definition_are_zero():
+    out = drawing.guides([("x", "+- nowhere 5 0"), ("y", "odd 1 2"), ("z", "+- wd16 hd16 ssd12")], 160, 320)
+    assert (out["x"], out["y"]) == (5, 0) and out["z"] == 10 + 20 - 160 / 12
