@@ -188,11 +188,12 @@ def learn(docs: DataFrame) -> tuple[tuple[str, bytes], ...]:
     usable = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     marked = usable.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
-    chosen = cut(marked.select("lang", "doc_id", "mark").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS), "chosen")
+    # Each partition ranks its own rows first, so no language's rows meet in one task.
+    chosen = cut(marked.select("lang", "doc_id", "mark").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS), "chosen")
     # Letters stand somewhere in the text; a slice begins before its end by as much as it is long.
     at = F.pmod("mark", F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
     rows = marked.select("lang", "mark", F.substr("text", at, F.lit(DOC_CHARS)).alias("text"))
-    found = rows.join(small(chosen.select("lang", "mark"), 64), ["lang", "mark"]).dropDuplicates(["lang", "mark"]).orderBy("lang", "mark").collect()
+    found = rows.join(small(chosen.select("lang", "mark").distinct(), 64), ["lang", "mark"]).dropDuplicates(["lang", "mark"]).orderBy("lang", "mark").collect()
     by_lang: dict[str, list[str]] = {}
     for row in found:
         by_lang.setdefault(row["lang"], []).append(row["text"])
