@@ -172,3 +172,39 @@ def serial_day(text: str, from_1904: bool = False) -> float | None:
         return None
     days = (moment - (dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30))) / dt.timedelta(days=1)
     return days - 1 if not from_1904 and moment < dt.datetime(1900, 3, 1) else days
+
+
+def areas(text: str) -> list[str]:
+    """The areas of a reference list: what stands between commas outside quotes, brackets and parentheses."""
+    out, depth, held = [], 0, ""
+    for m in _TOKEN.finditer(text):
+        token = m[0]
+        depth += {"(": 1, ")": -1}.get(token, 0)
+        if token == "," and depth <= 0:
+            out.append(held)
+            held = ""
+        else:
+            held += token
+    return [a for a in map(str.strip, [*out, held]) if a]
+
+
+def without_sheet(area: str) -> str:
+    """An area without the sheet before its last ``!`` outside quotes."""
+    quoted, cut = False, 0
+    for i, c in enumerate(area):
+        quoted ^= c == "'"
+        cut = i + 1 if c == "!" and not quoted else cut
+    return area[cut:]
+
+
+def canonical_number(text: str | None) -> str | None:
+    """A number as text, the same for 1, 1.0 and 1E0; other texts stay, those of no finite number without blanks around."""
+    try:
+        n = float(text) if text is not None else None
+    except ValueError:
+        return text
+    if n is None:
+        return None
+    if n != n or n in (float("inf"), float("-inf")):
+        return text.strip()
+    return str(int(n)) if n.is_integer() and abs(n) < 1e15 else repr(n)

@@ -7,7 +7,7 @@ import re
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from folioscope.models.xlsx import attr, dump, kid, kids, number
+from folioscope.models.xlsx import attr, key_of, kid, kids, number
 from folioscope.sources import opc
 
 #: Twips per unit.
@@ -44,6 +44,7 @@ class Document:
         self.styles = {attr(s, "styleId"): s for s in kids(self.part_of("styles"), "style")}
         self.defaults = kid(self.part_of("styles"), "docDefaults")
         self.numbering = self.part_of("numbering")
+        self.lists: dict[str, dict[int, tuple] | None] = {}
         self.styled: dict[tuple[str, str | None], dict[str, dict]] = {}
 
     def targets(self, kind: str, source: str | None = None) -> list[str]:
@@ -79,6 +80,33 @@ class Document:
         return out
 
 
+    def list_levels(self, number: str) -> dict[int, tuple] | None:
+        """(format, text, start) of each level of a list: its abstract definition's, or those of the list of the style that this one links to, and what the list overrides."""
+        if number not in self.lists:
+            num = next((n for n in kids(self.numbering, "num") if attr(n, "numId") == number), None)
+            self.lists[number] = None  # a list that links to itself has none
+            abstract = next((a for a in kids(self.numbering, "abstractNum") if num is not None and attr(a, "abstractNumId") == attr(kid(num, "abstractNumId"), "val")), None)
+            link = attr(kid(self.styles.get(attr(kid(abstract, "numStyleLink"), "val")), "pPr", "numPr", "numId"), "val")
+            found = self.list_levels(link) if link and link != number else None
+            if found is None and abstract is not None:
+                found = {int(attr(x, "ilvl", "0")): self.level_row(x) for x in kids(abstract, "lvl")}
+            if found is not None:
+                found = dict(found)
+                for o in kids(num, "lvlOverride"):
+                    i, start = int(attr(o, "ilvl", "0")), attr(kid(o, "startOverride"), "val")
+                    if kid(o, "lvl") is not None:
+                        found[i] = self.level_row(kid(o, "lvl"))
+                    if i in found and start.lstrip("-").isdigit():
+                        found[i] = (*found[i][:2], int(start))
+            self.lists[number] = found
+        return self.lists[number]
+
+    @staticmethod
+    def level_row(e: ET.Element) -> tuple:
+        start, text = attr(kid(e, "start"), "val"), kid(e, "lvlText")
+        return (attr(kid(e, "numFmt"), "val") or "decimal", attr(text, "val").replace("\uf0b7", "•") if text is not None else None, int(start) if start.lstrip("-").isdigit() else 0)
+
+
 #: Run properties that are switches.
 _SWITCHES = ("b", "i", "strike", "dstrike", "caps", "smallCaps", "vanish", "outline", "shadow", "emboss")
 
@@ -207,16 +235,20 @@ class Story:
             "spacing": {"before": twips(spacing.get("before")) or 0, "after": twips(spacing.get("after")) or 0, "line": twips(spacing.get("line")) or 240, "line_rule": spacing.get("lineRule", "auto")},
             "keep_next": "keepNext" in props, "keep_lines": "keepLines" in props, "page_break_before": "pageBreakBefore" in props, "widow_control": props.get("widowControl", {}).get("val", "1") not in ("0", "false", "off"),
         }
-        return {"type": "paragraph", "style": style, "props": shown, "numbering": self.list_level(kid(own, "numPr")), "text": "".join(t for t, _ in runs), "runs": [{"text": t, "format": f} for t, f in runs]}
-
-    def list_level(self, e: ET.Element | None) -> dict | None:
-        if e is None or attr(kid(e, "numId"), "val", "0") == "0":
+        return {"type": "paragraph", "style": style, "props": shown, "numbering": self.list_level(kid(own, "numPr"), style), "text": "".join(t for t, _ in runs), "runs": [{"text": t, "format": f} for t, f in runs]}
+
+    def list_level(self, e: ET.Element | None, style: str | None) -> dict | None:
+        """The list level of a paragraph, by its own properties or else its style's; ``definition`` names all levels of the list."""
+        given = [e, *(kid(x, "pPr", "numPr") for x in reversed(self.doc.chain(style)))]
+        own = lambda name: next((attr(k, "val") for x in given if (k := kid(x, name)) is not None), None)
+        number, level = own("numId"), int(own("ilvl") or 0)
+        if number in (None, "0"):
+            return None
+        levels = self.doc.list_levels(number)
+        if levels is None:
             return None
-        level, root = attr(kid(e, "ilvl"), "val", "0"), self.doc.numbering
-        num = next((n for n in kids(root, "num") if attr(n, "numId") == attr(kid(e, "numId"), "val")), None)
-        abstract = next((a for a in kids(root, "abstractNum") if attr(a, "abstractNumId") == attr(kid(num, "abstractNumId"), "val")), None)
-        found = next((x for x in kids(abstract, "lvl") if attr(x, "ilvl") == level), None)
-        return {"level": int(level), "format": attr(kid(found, "numFmt"), "val") or None, "text": attr(kid(found, "lvlText"), "val") or None}
+        shown = levels.get(level, (None, None, None))
+        return {"definition": key_of(sorted(levels.items())), "level": level, "format": shown[0], "text": shown[1]}
 
     def field(self, code: str) -> None:
         words = re.sub(r"\\\* MERGEFORMAT", "", code, flags=re.I).split()

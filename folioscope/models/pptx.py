@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -169,20 +170,45 @@ def run_format(deck: Deck, run: ET.Element, level: int, sources: list[ET.Element
     return {"size": int(first("sz") or 1800), "bold": on("b"), "italic": on("i"), "underline": (first("u") or "none") != "none", "font": face, "color": shade}
 
 
+#: Fixed value: code points of symbol fonts, which stand for those 0xF000 below.
+_SYMBOLS = {c: c - 0xF000 for c in range(0xF020, 0xF100)}
+
+
+def link_target(deck: Deck, part: str, click: ET.Element | None) -> str | None:
+    """Where a click leads: an action and a target, a slide by its number, a part by its digest, a file with plain slashes."""
+    if click is None:
+        return None
+    action, rel = attr(click, "action"), deck.rels.get(part, {}).get(_rel_id(click))
+    target = ""
+    if rel is not None:
+        kind, found, external = rel
+        if external:
+            target = unquote(found.strip())
+            target = target.replace("\\", "/") if target[:5].lower() == "file:" else target
+        elif found in deck.slides:
+            target = f"slide:{deck.slides.index(found) + 1}"
+        else:
+            target = f"{kind}:{hashlib.sha256(deck.parts[found]).hexdigest() if found in deck.parts else 'missing'}"
+    return "|".join(x for x in (action, target) if x) if action else target or None
+
+
 def paragraphs(deck: Deck, part: str, shape: ET.Element, sources: list[ET.Element | None], colors: dict[str, str], links: list) -> list[dict]:
     out = []
     for p in kids(kid(shape, "txBody"), "p"):
         own = kid(p, "pPr")
-        level, runs = int(attr(own, "lvl", "0")), []
+        level, runs, linked = int(attr(own, "lvl", "0")), [], False
         for r in kids(p, "r", "br", "fld"):
             name = opc.local(r.tag)
             text = "\v" if name == "br" else "".join(t.text or "" for t in kids(r, "t"))
+            text = text.translate(_SYMBOLS) if kid(r, "rPr", "sym") is not None else text
             form = run_format(deck, r, level, [shape, *sources], colors)
             click = kid(r, "rPr", "hlinkClick")
-            target = deck.rels.get(part, {}).get(_rel_id(click), ("", "", True))[1] if click is not None else None
-            if target is not None:
-                target = f"slide:{deck.slides.index(target) + 1}" if target in deck.slides else target
+            target = link_target(deck, part, click)
+            if target is not None and links and linked and links[-1]["target"] == target:
+                links[-1]["text"] += text  # a link over neighbouring runs is one
+            elif target is not None:
                 links.append({"text": text, "target": target})
+            linked = target is not None
             key = [form, target, attr(r, "type") if name == "fld" else None]
             if not text:
                 continue
@@ -192,7 +218,7 @@ def paragraphs(deck: Deck, part: str, shape: ET.Element, sources: list[ET.Elemen
                 runs.append([text, key])
         bullet = None
         if runs and own is not None:
-            bullet = next((opc.local(b.tag) + (":" + attr(b, "char") if attr(b, "char") else "") for b in kids(own, "buChar", "buAutoNum", "buNone", "buBlip")), None)
+            bullet = next((opc.local(b.tag) + (":" + attr(b, "char").translate(_SYMBOLS) if attr(b, "char") else "") for b in kids(own, "buChar", "buAutoNum", "buNone", "buBlip")), None)
         out.append({"level": level, "align": attr(own, "algn", "l"), "bullet": bullet, "text": "".join(t for t, _ in runs), "runs": [{"text": t, "format": k[0], "link": k[1], "field": k[2]} for t, k in runs]})
     return out
 

@@ -411,7 +411,9 @@ def chart(root: ET.Element) -> dict:
     for plot in kids(kid(root, "chart", "plotArea")):
         series = []
         for i, s in enumerate(kids(plot, "ser")):
-            refs = {opc.local(x.tag): S.normal_formula(f.text or "") for x in kids(s) for f in x.iter() if opc.local(f.tag) == "f"}
+            refs: dict = {opc.local(x.tag): S.normal_formula(f.text or "") for x in kids(s) for f in x.iter() if opc.local(f.tag) == "f"}
+            told = {opc.local(x.tag): [S.canonical_number(v.text) for v in x.iter() if opc.local(v.tag) == "v"] for x in kids(s) if opc.local(x.tag) not in refs}
+            refs |= {k: v for k, v in told.items() if v}
             series.append((int(number(attr(kid(s, "order"), "val", "0")) or 0), i, refs))
         if series:
             plots.append({"kind": opc.local(plot.tag), "series": [r for _, _, r in sorted(series, key=lambda x: x[:2])]})
@@ -442,7 +444,7 @@ def extract(content: bytes) -> dict[str, object]:
         sheet = (listed[int(index)][0] if int(index) < len(listed) else f"#{index}") if index else None
         if name in _HIDDEN_NAMES:
             if _HIDDEN_NAMES[name] and sheet is not None:
-                per["page_setup"].setdefault(sheet, {})[_HIDDEN_NAMES[name]] = S.normal_formula(e.text or "")
+                per["page_setup"].setdefault(sheet, {})[_HIDDEN_NAMES[name]] = [S.canonical_ref(S.without_sheet(a)) for a in S.areas(S.normal_formula(e.text or "") or "")]
         else:
             names[f"{sheet}!{name}" if sheet is not None else name] = {"formula": S.normal_formula(e.text or ""), "hidden": flag(e.get("hidden"))}
     model["defined_names"] = names
@@ -472,7 +474,7 @@ def apply_edit(content: bytes, target: dict, text: str) -> bytes:
     import re
     from xml.sax.saxutils import escape
 
-    package = opc.read_package(content)
+    package = opc.read_package(content, decode=True)
     data = package.parts[target["part"]].decode("utf-8")
     prefix = m[1] if (m := re.search(r"<((?:\w+:)?)sheetData", data)) else ""
     row = S.parse_range(target["cell"])[1]

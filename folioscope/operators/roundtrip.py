@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import clip
-from folioscope.models import compare, docx, model_leaves, pptx, xlsx
+from folioscope.models import FEATURES, compare, docx, model_leaves, pptx, xlsx
 from folioscope.operators import scoring
 from folioscope.sources import opc, packages, pairing
 from folioscope.sources.scratch import written
@@ -140,6 +140,15 @@ def renaming(kind: str, content: bytes, target: dict) -> bytes:
 ADAPTERS: dict[str, Callable[[str, bytes, dict], bytes]] = {"identity": identity, "patch": patch, "lossy": lossy, "broken": broken, "misplacing": misplacing, "renaming": renaming}
 
 
+def chosen(names: list[str]) -> list[str]:
+    """The adapters that are asked for, each once, in their order; ``all`` stands for every one."""
+    if names == ["all"]:
+        return list(ADAPTERS)
+    if unknown := [n for n in names if n not in ADAPTERS]:
+        raise ValueError(f"unknown adapters: {', '.join(unknown)}")
+    return list(dict.fromkeys(names))
+
+
 def run_adapters(files: DataFrame, edits: DataFrame, names: list[str]) -> DataFrame:
     """A row for each adapter and file that has a target, with the saved bytes.
 
@@ -184,7 +193,8 @@ def scored(kind: str, content: bytes, output: bytes | None, target: str) -> tupl
     elif saved is not None:
         a, b = pairing.Parts(given.parts), pairing.Parts(saved.parts)
         mapping = pairing.mapped(a, b)
-        fresh = sorted(set(b.problems()) - set(a.problems()))
+        known = set(a.problems())
+        fresh = [p for p in b.problems() if p not in known]
         if b.main() not in b.parts:
             fresh.append("no main document part")
         methods = {m: sum(x == m for _, x in mapping.values()) for m in pairing.METHODS}
@@ -253,7 +263,7 @@ class Trial:
     scores: DataFrame = field(init=False)
 
     def __post_init__(self):
-        files = self.files
+        files, self.names = self.files, chosen(self.names)
         self.edits = written(targets(files), "targets")
         runs = written(run_adapters(files, self.edits, self.names), "runs")
         self.scores = written(scores(files, self.edits, runs), "scores")
@@ -346,6 +356,30 @@ def results(trial: Trial) -> DataFrame:
     return tried.unionByName(rest)
 
 
+def feature_counts(trial: Trial) -> DataFrame:
+    """adapter, format, feature, diff_count, rank: differences by feature; rank is the feature's place in its format's list."""
+    place = F.lit(None).cast("int")
+    for kind, names in FEATURES.items():
+        place = F.when(F.col("format") == kind, F.array_position(F.array(*(F.lit(n) for n in names)), F.col("feature")).cast("int")).otherwise(place)
+    found = trial.scores.select("adapter", "format", F.explode("differences").alias("d")).groupBy("adapter", "format", F.col("d.feature").alias("feature"))
+    return found.agg(F.count("*").alias("diff_count")).withColumn("rank", place)
+
+
+def default_style_files(trial: Trial) -> DataFrame:
+    """adapter, files: the files whose new cell has the default look instead of its row's or column's, in order."""
+    return trial.scores.groupBy("adapter").agg(F.array_sort(F.collect_list(F.when(F.col("default_style"), F.col("pkg")))).alias("files"))
+
+
+def write_run(trial: Trial, path: str) -> None:
+    """Checks, results, differences and summary as Parquet below a new folder; a table that is there already is an error.
+
+    What only a run needs (bytes, targets, the path of the edit) isn't written.
+    """
+    tables = {"checks": checks_of(trial), "results": results(trial), "differences": trial.differences(), "summary": summary(trial), "features": feature_counts(trial)}
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}.parquet")
+
+
 def summary(trial: Trial) -> DataFrame:
     """A row per adapter: files, those without a target, those whose model is compared, outcomes, byte-identical relations of parts, default styles."""
     by = results(trial).groupBy("adapter").agg(

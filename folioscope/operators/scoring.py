@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.scalars import comparable_text
 from folioscope.sources.scratch import small
 
 #: The checks in their order.
@@ -67,3 +68,25 @@ def first_samples(df: DataFrame, group: list[str], order: list[str], n: int = 10
     """The first ``n`` rows of each group with their rank."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def check_lists(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, checks: each row's checks (name, outcome) in the order of ``CHECKS``."""
+    place = F.array_position(F.array(*(F.lit(c) for c in CHECKS)), F.col("name"))
+    listed = F.sort_array(F.collect_list(F.struct(place.alias("place"), "name", "outcome")))
+    return checks.groupBy(*keys).agg(listed.alias("l")).select(*keys, F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["outcome"].alias("outcome"))).alias("checks"))
+
+
+def render_similarity(pages: DataFrame, keys: list[str], expected: str, limit: float) -> DataFrame:
+    """keys, pages, worst, outcome over ``pages`` (keys, page, share of differing points, the number of pages expected).
+
+    success if all pages are there and none differs by more than ``limit``.
+    """
+    found = pages.groupBy(*keys).agg(F.count("share").alias("pages"), F.max("share").alias("worst"), F.max(expected).alias("_wanted"))
+    good = (F.col("pages") == F.col("_wanted")) & (F.col("worst") <= limit)
+    return found.select(*keys, "pages", "worst", F.when(F.coalesce(good, F.lit(False)), "success").otherwise("failure").alias("outcome"))
+
+
+def mislocated(located: Column, expected: Column) -> Column:
+    """Whether an adapter found another paragraph than it was sent to: the texts differ in more than breaks and drawings."""
+    return F.coalesce(comparable_text(located) != comparable_text(F.coalesce(expected, F.lit(""))), F.lit(False))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,39 @@ def manifest_counts(files: DataFrame) -> DataFrame:
 
 
 def split_counts(files: DataFrame, splits: tuple[str, ...] = ("holdout", "dev")) -> DataFrame:
-    """A row per format and source with a count for each split, zero where there are none."""
-    return files.groupBy("format", "source").pivot("split", list(splits)).agg(F.count(F.lit(1))).na.fill(0)
+    """A row for every format with every source, and a count for each split; zero where there are none."""
+    counts = files.groupBy("format", "source").pivot("split", list(splits)).agg(F.count(F.lit(1)))
+    every = files.select("format").distinct().crossJoin(small(files.select("source").distinct()))
+    return every.join(counts, ["format", "source"], "left").na.fill(0, list(splits))
+
+
+def wanted(files: DataFrame, kind: str, split: str = "all") -> DataFrame:
+    """The files of one format, and of one split unless it is ``all``."""
+    found = files.where(F.col("format") == kind)
+    return found if split == "all" else found.where(F.col("split") == split)
+
+
+#: What a report tells of a file.
+FIXTURE = ("path", "sha256", "size", "source", "license", "split", "features")
+
+
+def fixtures(files: DataFrame) -> DataFrame:
+    """What a report tells of each of ``files``; its path is its id."""
+    return files.select(F.col("path").alias("id"), *FIXTURE)
+
+
+def files_digest(files: DataFrame, order: str = "path") -> DataFrame:
+    """digest: SHA-256 of the rows as one compact JSON list, keys sorted, other than ASCII escaped.  Meant for a list of files."""
+    schema = "_at string, _json string"
+    names = files.columns
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pydict({"_at": [str(r[order]) for r in rows], "_json": [json.dumps({k: r[k] for k in names}, sort_keys=True, separators=(",", ":")) for r in rows]}, schema=pa.schema([("_at", pa.string()), ("_json", pa.string())]))
+
+    listed = files.mapInArrow(run, schema).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_json"))), lambda x: x["_json"]), ",").alias("l"))
+    return listed.select(F.sha2(F.concat(F.lit("["), "l", F.lit("]")).cast("binary"), 256).alias("digest"))
 
 
 def labels(parts: DataFrame, rules: list[tuple[str, str, str | None]], part: str = "part", content: str = "content") -> DataFrame:

@@ -315,6 +315,12 @@ def roundtrip_summary(spark, d):
     return roundtrip.summary(roundtrip.Trial(workbooks(spark, d), ["identity"])).drop("median_ms")
 
 
+@query(_BOOKS + """SELECT 'identity' AS adapter, 'xlsx' AS format, 'cells' AS feature, count(DISTINCT pkg) AS diff_count, 3 AS rank FROM books
+UNION ALL SELECT 'misplacing', 'xlsx', 'cells', 2 * count(DISTINCT pkg), 3 FROM books""")
+def roundtrip_feature_counts(spark, d):
+    return roundtrip.feature_counts(roundtrip.Trial(workbooks(spark, d), ["identity", "patch", "misplacing"]))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS pkg, 'body' AS feature, '/body/0' AS path, 'added' AS kind FROM documents")
 def inserted_paragraph(spark, d):
     """A paragraph put before all others is one difference, as lists are aligned."""

@@ -108,7 +108,8 @@ def manifest_counts(spark, d):
     return selection.manifest_counts(files_split(spark, d))
 
 
-@query(_FILES + "SELECT format, source, count(*) FILTER (WHERE split = 'holdout') AS holdout, count(*) FILTER (WHERE split = 'dev') AS dev FROM files_split GROUP BY format, source")
+@query(_FILES + """SELECT f.format, s.source, count(*) FILTER (WHERE split = 'holdout') AS holdout, count(*) FILTER (WHERE split = 'dev') AS dev
+FROM (SELECT DISTINCT format FROM files_split) f CROSS JOIN (SELECT DISTINCT source FROM files_split) s LEFT JOIN files_split x ON x.format = f.format AND x.source = s.source GROUP BY f.format, s.source""")
 def split_pivot(spark, d):
     return selection.split_counts(files_split(spark, d))
 
@@ -450,6 +451,38 @@ def outcomes(spark, d):
     return table(spark, d, "events").select("event_id", scoring.outcome((F.col("value") > 90) & (F.col("event_id") % 5 == 0), phase, F.col("value") > 20).alias("outcome"))
 
 
+@query(_CHECKS + "SELECT adapter, file, string_agg(name || '=' || outcome, ',' ORDER BY list_position([" + ", ".join(f"'{c}'" for c in scoring.CHECKS) + "], name), name, outcome) AS checks FROM checks GROUP BY adapter, file")
+def check_lists(spark, d):
+    found = scoring.check_lists(check_rows(spark, d), ["adapter", "file"])
+    return found.select("adapter", "file", F.array_join(F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["outcome"])), ",").alias("checks"))
+
+
+@query("""WITH p AS (SELECT a.label, len(list_filter(list_zip(a.embedding, b.embedding), lambda p: abs(p[1] - p[2]) > 0.1)) / len(a.embedding) AS share
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT p.label, count(share) AS pages, max(share) AS worst, CASE WHEN count(share) = max(n - p.label % 2) AND max(share) <= 0.9 THEN 'success' ELSE 'failure' END AS outcome FROM p JOIN n ON p.label = n.label GROUP BY p.label""")
+def render_similarity(spark, d):
+    rows = table(spark, d, "embeddings")
+    a = rows.select("vec_id", "label", "embedding")
+    b = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    wanted = rows.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.col("n") - F.col("label") % 2).alias("wanted"))
+    pages = a.join(b, "vec_id").join(wanted, "label").select("label", scalars.differing_share(F.col("embedding"), F.col("other"), 0.1).alias("share"), "wanted")
+    return scoring.render_similarity(pages, ["label"], "wanted", 0.9)
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AND length(text) > 0 AS mislocated FROM documents""")
+def mislocated(spark, d):
+    """Texts that differ in breaks only are the same place; one with a letter more is another."""
+    docs = table(spark, d, "documents")
+    located = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.when(F.length("text") > 0, "x").otherwise(""))).otherwise(F.translate("text", "\n", "\r"))
+    return docs.select("doc_id", scoring.mislocated(located, F.col("text")).alias("mislocated"))
+
+
+@query("""SELECT sha256('[' || string_agg('{"path":"' || s_name || '","size":' || s_suppkey || ',"source":null}', ',' ORDER BY s_name) || ']') AS digest FROM supplier""")
+def files_digest(spark, d):
+    rows = table(spark, d, "supplier").select(F.lit(None).cast("string").alias("source"), F.col("s_suppkey").alias("size"), F.col("s_name").alias("path"))
+    return selection.files_digest(rows)
+
+
 # Scalars.
 
 

@@ -117,3 +117,8 @@ def problems(parts: DataFrame, rels: DataFrame) -> DataFrame:
     lost = graph.dangling(rels, some).select("pkg", F.concat(F.lit("dangling: "), "source", F.lit(" -> "), "target").alias("problem"))
     every = unread.unionByName(untyped).unionByName(broken).unionByName(lost)
     return parts.select("pkg").distinct().join(every, "pkg", "left").groupBy("pkg").agg(F.array_sort(F.collect_list("problem")).alias("problems"))
+
+
+def first_malformed(parts: DataFrame) -> DataFrame:
+    """pkg, part: of each package the first part, by name, that should be XML and isn't well-formed."""
+    return parts.where("NOT well_formed").groupBy("pkg").agg(F.min("part").alias("part"))

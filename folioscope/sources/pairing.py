@@ -55,20 +55,18 @@ class Parts:
         return found
 
     def problems(self) -> list[str]:
-        """Everything wrong with the package's structure, sorted."""
+        """Everything wrong with the package's structure: content types, then relationships, each by part."""
         out = [self.broken] if self.broken else []
-        for part, data in self.parts.items():
-            if opc.is_rels(part):
-                out += [] if opc.well_formed(data) else [f"malformed: {part}"]
-            elif part != opc.CONTENT_TYPES and self.type_of(part) is None:
-                out.append(f"no content type: {part}")
+        own = sorted(self.parts)
+        out += [f"no content type: {p}" for p in own if not opc.is_rels(p) and p != opc.CONTENT_TYPES and self.type_of(p) is None]
+        out += [f"malformed: {p}" for p in own if opc.is_rels(p) and not opc.well_formed(self.parts[p])]
         roots = self.rels.get("", [])
         if "_rels/.rels" not in self.parts:
             out.append("no relationships of the package")
         elif not any(kind == "officeDocument" and not external for _, kind, _, external in roots):
             out.append("no main part")
-        out += [f"dangling: {source} -> {target}" for source, rels in self.rels.items() for _, _, target, external in rels if not external and target not in self.parts]
-        return sorted(out)
+        sources = sorted(self.rels, key=opc.rels_part)
+        return out + [f"dangling: {s} -> {target}" for s in sources for _, _, target, external in self.rels[s] if not external and target not in self.parts]
 
     def main(self) -> str | None:
         return next((target for _, kind, target, external in self.rels.get("", []) if kind == "officeDocument" and not external), None)
