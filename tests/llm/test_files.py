@@ -1,9 +1,11 @@
 """Packing and ZIP-packaged WARC: exact round trips."""
 
 import base64
+import gzip
 import hashlib
 import io
 import itertools
+import json
 import struct
 import zipfile
 import zlib
@@ -198,16 +200,94 @@ def test_zip64_directories():
     locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, len(body) + len(entry), 1)
     end = struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 4) + b"note"
     whole = body + entry + end64 + locator + end
-    (at, n) = warc_zip.zip_members(io.BytesIO(whole), len(whole))["m.bin"]
-    assert whole[at : at + n] == data
-
-
-def test_deflated_members_are_left_out_and_broken_files_named():
+    at, n, method = warc_zip.zip_members(io.BytesIO(whole), len(whole))["m.bin"]
+    assert whole[at : at + n] == data and method == 0
+
+
+def raw_record(kind, n, body, more="", http=""):
+    inner = (f"HTTP/1.1 200 OK\r\n{http}\r\n".encode() + body) if http else body
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{n}>\r\n{more}Content-Type: {'application/http' if http else 'text/plain'}\r\nContent-Length: {len(inner)}\r\n\r\n"
+    return head.encode() + inner + b"\r\n\r\n"
+
+
+def foreign(tmp_path, archives, indexes, method=zipfile.ZIP_STORED, name="f.wacz", zip64=False):
+    """A package as others write it: archives and indexes by name; indexes may be deflated."""
+    with zipfile.ZipFile(tmp_path / name, "w") as z:
+        for k, v in archives.items():
+            with z.open(zipfile.ZipInfo(f"archive/{k}"), "w", force_zip64=zip64) as out:
+                out.write(v)
+        for k, v in indexes.items():
+            z.writestr(f"indexes/{k}", v, method)
+    return f"file://{tmp_path}/{name}"
+
+
+def lines(name, records, form="com,x)/ 20200101000000 {}"):
+    at, out = 0, []
+    for r in records:
+        out.append(form.format('{"url": "http://x.com/", "filename": "%s", "offset": "%d", "length": "%d"}' % (name, at, len(r))))
+        at += len(r)
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_packages_of_other_writers(spark, tmp_path, zip64):
+    chunked = b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"
+    one = [raw_record("warcinfo", 1, b"software: x"), raw_record("response", 2, chunked, "WARC-Payload-Digest: sha1:" + warc_zip.digest(b"abcde") + "\r\n", "Transfer-Encoding: chunked\r\n")]
+    two = [gzip.compress(raw_record("resource", 3, b"plain", "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"plain").hexdigest() + "\r\n")), gzip.compress(raw_record("revisit", 4, b"", http="Content-Length: 77\r\n"))]
+    at = 0
+    cdx = " CDX N b a m s k r M S V g\n"
+    for r in two:
+        cdx += f"com,x)/ 2020 http://x.com/ text/html 200 AAA - - {len(r)} {at} more/b.warc.gz\n"
+        at += len(r)
+    archives = {"a.warc": b"".join(one), "more/b.warc.gz": b"".join(two)}
+    path = foreign(tmp_path, archives, {"a.cdxj": lines("a.warc", one), "b.cdx.gz": gzip.compress(cdx.encode()), "again.cdxj": lines("a.warc", one), "b.idx": "ignored"}, zipfile.ZIP_DEFLATED, zip64=zip64)
+    rows = {r.record_id: r for r in warc_zip.read_archives(spark.createDataFrame([(path,)], "path string")).collect()}
+    assert {k: (r.record_type, r.payload, r.payload_bytes) for k, r in rows.items()} == {
+        "<urn:x:1>": ("warcinfo", b"software: x", 11), "<urn:x:2>": ("response", b"abcde", 5), "<urn:x:3>": ("resource", b"plain", 5), "<urn:x:4>": ("revisit", b"", 77),
+    }
+
+
+def located(path):
+    data = open(path.removeprefix("file://"), "rb").read()
+    return list(warc_zip.located(io.BytesIO(data), len(data)))
+
+
+def test_packages_that_cannot_be_read_by_ranges_are_errors(tmp_path):
+    r = [raw_record("resource", 1, b"x")]
+    for archives, indexes in (({"a.warc": r[0]}, {}), ({}, {"a.cdxj": lines("a.warc", r)}), ({"a.warc": r[0][:20]}, {"a.cdxj": lines("a.warc", r)}), ({"a.warc": r[0]}, {"a.cdx": "too few fields"})):
+        with pytest.raises(ValueError):
+            located(foreign(tmp_path, archives, indexes))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("a", b"x" * 100, zipfile.ZIP_DEFLATED)
-        z.writestr("b", b"y" * 100, zipfile.ZIP_STORED)
-    found = warc_zip.zip_members(out, len(out.getvalue()))
-    assert set(found) == {"b"} and out.getvalue()[found["b"][0] :][:100] == b"y" * 100
+        z.writestr("archive/a.warc", r[0] * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/a.cdxj", lines("a.warc", r))
+    with pytest.raises(ValueError, match="not stored"):
+        list(warc_zip.located(io.BytesIO(out.getvalue()), len(out.getvalue())))
     with pytest.raises(ValueError):
         warc_zip.zip_members(io.BytesIO(b"nothing"), 7)
+
+
+def test_slices_end_at_gaps(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_zip, "GAP_BYTES", 100)
+    records = [raw_record("resource", i, b"x" * (300 if i == 2 else 5)) for i in range(4)]
+    listed = "".join(x + "\n" for i, x in enumerate(lines("a.warc", records).splitlines()) if i != 2)
+    assert [len(held) for _, held in located(foreign(tmp_path, {"a.warc": b"".join(records)}, {"a.cdxj": listed}))] == [2, 1]
+
+
+def test_a_wrong_digest_is_an_error():
+    headers, payload, _ = warc_zip.parse(raw_record("resource", 1, b"x", "WARC-Payload-Digest: sha1:AAAA\r\n"))
+    with pytest.raises(ValueError):
+        warc_zip.checked(headers, payload)
+
+
+def test_own_packages_follow_the_format(spark):
+    pages = spark.createDataFrame([(1, "http://Sub.Example.com/A b", "<p>1</p>"), (2, None, "<p>1</p>")], "page_id long, url string, html string").repartition(1)
+    path = warc_zip.write_archives(pages).first().path
+    found, inner = warc_zip._open(path)
+    with zipfile.ZipFile(io.BytesIO(found.open_input_file(inner).read())) as z:
+        about = json.loads(z.read("datapackage.json"))
+        for r in about["resources"]:
+            data = z.read(r["path"])
+            assert r["bytes"] == len(data) and r["hash"] == "sha256:" + hashlib.sha256(data).hexdigest()
+        keys = [line.split(" ", 2) for line in z.read("indexes/index.cdxj").decode().splitlines()]
+        assert [k[:2] for k in keys] == [["-", "20200101000000"], ["com,example,sub)/a%20b", "20200101000000"]] and all(json.loads(k[2])["filename"] == "data.warc.gz" for k in keys)
