@@ -5,15 +5,16 @@ of a label go to tiles of a bounded size by a hash of their number; each pair of
 label is one task-sized product, however many rows a label has.  A tile holds its unit
 vectors quantised to int8, u = s q + e, with s and the norm of e per vector.  For two vectors
 
-    |u.v - s t (q.p)| <= |s q| |f| + |e| |t p| + |e| |f|
+    |u.v - s t (q.p)| <= |s q| |f| + |e| |t p| + |e| |f| <= (1 + |e|) |f| + |e| (1 + |f|),
 
-so a pair whose quantised product plus that bound is below the threshold can't be a link, one
+as |s q| is 1 + |e| at most; so a pair whose quantised product plus that bound is below the threshold can't be a link, one
 whose product minus it is above must be, and only the pairs between are recomputed in double
 precision.  A tile pair returns, per group, the rows linked to it and one star edge; pairs
 themselves are never emitted.
 
 Defined cases: rows of null label or null id, and vectors that are null, empty, zero or hold
-a null or non-finite number link with nothing; vectors of different lengths don't link.
+a null or non-finite number link with nothing; labels may be of any kind, and vectors of floats or
+doubles are taken as they are; vectors of different lengths don't link.
 Repeated rows are vectors of their own and link with each other; rows that share a vec_id
 share a component.  Empty tables give empty results; further columns are not read.
 """
@@ -36,7 +37,7 @@ TILE = 1024
 #: Margin for rounding in double precision.
 EPS = 1e-9
 
-_TILE_SCHEMA = "label long, dim int, tile int, tiles int, gid binary, rep binary, n binary, q binary, s binary, err binary, x binary"
+_TILE_SCHEMA = "label string, dim int, tile int, tiles int, gid binary, rep binary, n binary, q binary, s binary, err binary, x binary"
 _PART_SCHEMA = "gid long, rep long, links long, root long"
 
 
@@ -80,19 +81,20 @@ def _stars(r: np.ndarray, c: np.ndarray, rep: np.ndarray) -> np.ndarray:
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(table.num_rows, -1)
+    x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
     q, s, err = quantise(x.astype(np.float64))
     get = lambda c: table.column(c)[0].as_py()
     long = lambda c: table.column(c).to_numpy().astype(np.int64).tobytes()
     row = [get("label"), get("dim"), get("tile"), get("tiles"), long("gid"), long("rep"), long("n"), q.tobytes(), s.tobytes(), err.tobytes(), x.tobytes()]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 7
     names = [f.split()[0] for f in _TILE_SCHEMA.split(", ")]
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
 
 def _load(row: dict) -> dict:
     dim = row["dim"]
-    x = np.frombuffer(row["x"], np.float32).reshape(-1, dim).astype(np.float64)
+    wide = np.float64 if len(row["x"]) == 8 * len(row["q"]) else np.float32
+    x = np.frombuffer(row["x"], wide).reshape(-1, dim).astype(np.float64)
     out = {k: np.frombuffer(row[k], np.int64) for k in ("gid", "rep", "n")}
     out |= {"q": np.frombuffer(row["q"], np.int8).reshape(-1, dim), "s": np.frombuffer(row["s"]), "err": np.frombuffer(row["err"])}
     return out | {"unit": x / np.linalg.norm(x, axis=1)[:, None]}
@@ -121,7 +123,8 @@ def _multiply(threshold: float):
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    held = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(held).alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     able = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     groups = vectors.where(able).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))

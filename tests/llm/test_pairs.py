@@ -64,6 +64,17 @@ def test_embeddings_like_brute_force(spark, tile):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_vectors(rows, 0.93)
 
 
+def test_doubles_and_labels_of_text(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=24)
+    rows = [(i, [float(x) for x in base + rng.normal(size=24) * 0.3], f"group {i % 2}") for i in range(60)]
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    level = float(cos(np.array(rows[0][1]), np.array(rows[2][1])))  # a pair that is at the threshold in doubles only
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_links(df, level - 1e-12, 16).collect()}
+    assert out == {i: sum(c == d and i != j and cos(np.array(v), np.array(w)) >= level - 1e-12 for j, w, d in rows) for i, v, c in rows}
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_links(df).count() == 0
