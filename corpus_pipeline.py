@@ -34,14 +34,25 @@ def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts."""
+    """Documents that the rule ensemble accepts; the others go.
+
+    Null and empty texts have the statistics of an empty one and are judged by the same rules.
+    Rows that repeat, or share an id, are judged each.  Without labels every row has the score
+    0.5 and goes.  Columns named like the ensemble's own are carried in a struct and stay.
+    """
     model = quality.train(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     return rows.transform(quality.scores, model).where(F.col("score") >= quality.CUTOFF).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines deleted; a text that loses all its lines goes."""
+    """Later copies of repeated runs of lines deleted; a text that loses all its lines goes.
+
+    The first copy in the order of ids (a null one first) and text hashes stays, so ties have one
+    winner; repeated rows are one document and lose the same lines.  Null texts, and texts
+    without a line to delete, come back as they are; n_chars follows the text.  Columns named
+    n_lines or n_deleted are carried in a struct and stay.
+    """
     done = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     kept = done.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
     return _as_documents(kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns)), docs)
@@ -51,7 +62,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and one row of those with the same id, or none, and the same text.
 
     A document goes by its id and the hash of its text.  Among near duplicates the one with the
-    least id stays, and one without an id only if none has one.
+    least id stays, and one without an id only if none has one.  Null and empty texts have no
+    shingles and link with nothing; rows that share an id but not a text are judged each.  Further
+    columns stay as they are, whatever their names.
     """
     text_hash = line_dedup.text_hash(F.col("text"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_hash.alias("hash"))
@@ -71,13 +84,18 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without contaminated documents; passages of a single item are cut out of the rest."""
+    """Without contaminated documents; passages of a single item are cut out of the rest.
+
+    Null and empty texts have no words and stay.  Rows that share an id but not a text are judged
+    each, repeated rows alike; without benchmark items nothing changes.  n_chars follows the
+    text, and further columns stay as they are, whatever their names.
+    """
     items = _table(spark, sf_dir, "benchmark").select("item_id", "text")
     return _as_documents(decontaminate.clean(docs, items), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with their sequence and offset."""
+    """Pieces of all documents, with their sequence and offset; a null or empty text is its end token, and every row is packed."""
     return packing.packed(docs.select("doc_id", "text"), packing.production_tokenizer())
 
 
