@@ -45,7 +45,8 @@ class Document:
         self.defaults = kid(self.part_of("styles"), "docDefaults")
         self.numbering = self.part_of("numbering")
         self.lists: dict[str, dict[int, tuple] | None] = {}
-        self.styled: dict[tuple[str, str | None], dict[str, dict]] = {}
+        self.list_props: dict[tuple[str, int], ET.Element | None] = {}
+        self.styled: dict[tuple[str, str | None, str | None], dict[str, dict]] = {}
 
     def targets(self, kind: str, source: str | None = None) -> list[str]:
         return sorted(t for k, t, x in self.rels.get(self.main if source is None else source, {}).values() if k == kind and not x and t in self.parts)
@@ -63,11 +64,12 @@ class Document:
             style = attr(kid(self.styles[style], "basedOn"), "val") or None
         return out[::-1]
 
-    def cascade(self, name: str, style: str | None, direct: ET.Element | None) -> dict[str, dict]:
-        """Properties of one kind: defaults, then the style chain, then direct ones; per property the last wins."""
-        if (name, style) not in self.styled:
-            self.styled[name, style] = self.over({}, [kid(self.defaults, f"{name}Default", name), *(kid(s, name) for s in self.chain(style))])
-        return self.over(self.styled[name, style], [direct])
+    def cascade(self, name: str, style: str | None, table: str | None = None) -> dict[str, dict]:
+        """Properties of one kind: defaults, then the table's style, then the style chain; per property the last wins."""
+        if (name, style, table) not in self.styled:
+            layers = [kid(self.defaults, f"{name}Default", name), *(kid(s, name) for s in self.chain(table)), *(kid(s, name) for s in self.chain(style))]
+            self.styled[name, style, table] = self.over({}, layers)
+        return self.styled[name, style, table]
 
     @staticmethod
     def over(props: dict[str, dict], layers: list[ET.Element | None]) -> dict[str, dict]:
@@ -89,13 +91,19 @@ class Document:
             link = attr(kid(self.styles.get(attr(kid(abstract, "numStyleLink"), "val")), "pPr", "numPr", "numId"), "val")
             found = self.list_levels(link) if link and link != number else None
             if found is None and abstract is not None:
-                found = {int(attr(x, "ilvl", "0")): self.level_row(x) for x in kids(abstract, "lvl")}
+                found = {}
+                for x in kids(abstract, "lvl"):
+                    found[int(attr(x, "ilvl", "0"))] = self.level_row(x)
+                    self.list_props[number, int(attr(x, "ilvl", "0"))] = kid(x, "pPr")
+            elif found is not None:
+                self.list_props |= {(number, i): self.list_props.get((link, i)) for i in found}
             if found is not None:
                 found = dict(found)
                 for o in kids(num, "lvlOverride"):
                     i, start = int(attr(o, "ilvl", "0")), attr(kid(o, "startOverride"), "val")
                     if kid(o, "lvl") is not None:
                         found[i] = self.level_row(kid(o, "lvl"))
+                        self.list_props[number, i] = kid(o, "lvl", "pPr")
                     if i in found and start.lstrip("-").isdigit():
                         found[i] = (*found[i][:2], int(start))
             self.lists[number] = found
@@ -115,13 +123,13 @@ class Story:
     """One flow of blocks: the body, a header, a note, a cell."""
 
     def __init__(self, doc: Document, part: str):
-        self.doc, self.part = doc, part
+        self.doc, self.part, self.in_table = doc, part, None
         self.out: dict[str, list] = {k: [] for k in ("tracked_changes", "fields", "bookmarks", "hyperlinks", "content_controls", "images", "shapes", "text_boxes", "embedded_objects", "references", "breaks")}
 
     def format(self, run: ET.Element, style: str | None) -> dict:
         own = kid(run, "rPr")
         named = [kid(s, "rPr") for s in self.doc.chain(attr(kid(own, "rStyle"), "val") or None)] if own is not None else []
-        props = self.doc.over(self.doc.cascade("rPr", style, None), [*named, own])
+        props = self.doc.over(self.doc.cascade("rPr", style, self.in_table), [*named, own])
         value = lambda n: props.get(n, {}).get("val")
         out: dict = {k: True for k in _SWITCHES if k in props and value(k) not in ("0", "false", "off")}
         out["size"] = float(number(value("sz")) or 20) / 2
@@ -174,7 +182,9 @@ class Story:
     def paragraph(self, p: ET.Element) -> dict:
         own = kid(p, "pPr")
         style = attr(kid(own, "pStyle"), "val") or None
-        props = self.doc.cascade("pPr", style, own)
+        number, level = self.list_place(kid(own, "numPr"), style)
+        listed = self.doc.list_props.get((number, level)) if number and self.doc.list_levels(number) else None
+        props = self.doc.over(self.doc.cascade("pPr", style, self.in_table), [listed, own])
         runs: list[list] = []
         state = {"depth": 0, "code": "", "hidden": False, "link": None}
 
@@ -235,16 +245,18 @@ class Story:
             "spacing": {"before": twips(spacing.get("before")) or 0, "after": twips(spacing.get("after")) or 0, "line": twips(spacing.get("line")) or 240, "line_rule": spacing.get("lineRule", "auto")},
             "keep_next": "keepNext" in props, "keep_lines": "keepLines" in props, "page_break_before": "pageBreakBefore" in props, "widow_control": props.get("widowControl", {}).get("val", "1") not in ("0", "false", "off"),
         }
-        return {"type": "paragraph", "style": style, "props": shown, "numbering": self.list_level(kid(own, "numPr"), style), "text": "".join(t for t, _ in runs), "runs": [{"text": t, "format": f} for t, f in runs]}
+        return {"type": "paragraph", "style": style, "props": shown, "numbering": self.list_level(number, level), "text": "".join(t for t, _ in runs), "runs": [{"text": t, "format": f} for t, f in runs]}
 
-    def list_level(self, e: ET.Element | None, style: str | None) -> dict | None:
-        """The list level of a paragraph, by its own properties or else its style's; ``definition`` names all levels of the list."""
+    def list_place(self, e: ET.Element | None, style: str | None) -> tuple[str | None, int]:
+        """The list and the level of a paragraph, by its own properties or else its style's."""
         given = [e, *(kid(x, "pPr", "numPr") for x in reversed(self.doc.chain(style)))]
         own = lambda name: next((attr(k, "val") for x in given if (k := kid(x, name)) is not None), None)
-        number, level = own("numId"), int(own("ilvl") or 0)
-        if number in (None, "0"):
-            return None
-        levels = self.doc.list_levels(number)
+        number = own("numId")
+        return (None if number == "0" else number), int(own("ilvl") or 0)
+
+    def list_level(self, number: str | None, level: int) -> dict | None:
+        """What a list shows at a level; ``definition`` names all its levels."""
+        levels = self.doc.list_levels(number) if number else None
         if levels is None:
             return None
         shown = levels.get(level, (None, None, None))
@@ -274,7 +286,8 @@ class Story:
 
     def table(self, t: ET.Element) -> dict:
         """Rows of cells with their spans; a cell that continues one above counts towards its origin."""
-        rows, origins = [], {}
+        rows, origins, outer = [], {}, self.in_table
+        style = self.in_table = attr(kid(t, "tblPr", "tblStyle"), "val") or None
         for r in kids(t, "tr"):
             column, cells = int(attr(kid(r, "trPr", "gridBefore"), "val", "0")), []
             for c in kids(r, "tc"):
@@ -284,13 +297,29 @@ class Story:
                 if merge is not None and attr(merge, "val", "continue") != "restart" and origin is not None and origin["colspan"] == span:
                     origin["rowspan"] += 1
                 else:
-                    cell = {"column": column, "colspan": span, "rowspan": 1, "shading": attr(kid(p, "shd"), "fill") or None, "blocks": self.blocks(c)}
+                    cell = {"column": column, "colspan": span, "rowspan": 1, "shading": attr(kid(p, "shd"), "fill") or None, "blocks": self.blocks(c), "_own": kid(p, "tcBorders")}
                     cells.append(cell)
                     origins[column] = cell if merge is not None else None
                 column += span
             rows.append({"repeat_header": bool(on(kid(r, "trPr", "tblHeader"))), "cells": cells})
+        self.in_table = outer
+        self.draw(rows, [*(kid(x, "tblPr", "tblBorders") for x in self.doc.chain(style)), kid(t, "tblPr", "tblBorders")])
         grid = [twips(attr(g, "w")) for g in kids(kid(t, "tblGrid"), "gridCol")]
-        return {"type": "table", "style": attr(kid(t, "tblPr", "tblStyle"), "val") or None, "grid": grid, "rows": rows}
+        return {"type": "table", "style": style, "grid": grid, "rows": rows}
+
+    @staticmethod
+    def draw(rows: list[dict], layers: list[ET.Element | None]) -> None:
+        """Gives each cell the lines on its sides: its own, else those of the table's edge or of its inside."""
+        line = lambda e: {"style": attr(e, "val"), "size": int(attr(e, "sz") or 0), "color": attr(e, "color") or "auto"}
+        named = lambda e: {"start": "left", "end": "right"}.get(opc.local(e.tag), opc.local(e.tag))
+        table = {named(e): line(e) for layer in layers for e in kids(layer)}
+        width = max((c["column"] + c["colspan"] for r in rows for c in r["cells"]), default=0)
+        for i, r in enumerate(rows):
+            for c in r["cells"]:
+                edge = {"top": i == 0, "bottom": i + c["rowspan"] >= len(rows), "left": c["column"] == 0, "right": c["column"] + c["colspan"] == width}
+                own = {named(e): line(e) for e in kids(c.pop("_own"))}
+                drawn = {side: own.get(side) or table.get(side if at else "insideH" if side in ("top", "bottom") else "insideV") for side, at in edge.items()}
+                c["borders"] = {side: x for side, x in drawn.items() if x and x["style"] not in ("nil", "none", "")}
 
     def blocks(self, e: ET.Element) -> list[dict]:
         out = []

@@ -330,3 +330,26 @@ def test_runs_are_written_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "run/results.parquet")).first().outcome == "success" and roundtrip.default_style_files(trial).first().files == []
     with pytest.raises(Exception, match="already exists"):
         roundtrip.write_run(trial, str(tmp_path / "run"))
+
+
+def test_tables_style_their_paragraphs_and_cells():
+    style = '<w:style w:styleId="T"><w:pPr><w:jc w:val="center"/></w:pPr><w:rPr><w:b/></w:rPr><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="4"/><w:insideH w:val="dotted"/><w:bottom w:val="nil"/></w:tblBorders></w:tblPr></w:style><w:style w:styleId="P"><w:pPr><w:jc w:val="right"/></w:pPr></w:style>'
+    rels = '<Relationship Id="s" Type="x/styles" Target="styles.xml"/>'
+    cell = lambda inside, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{inside}</w:tc>"
+    plain, styled = docx.paragraph_markup("a"), '<w:p><w:pPr><w:pStyle w:val="P"/></w:pPr></w:p>'
+    own = '<w:tcBorders><w:left w:val="double" w:color="FF0000"/></w:tcBorders>'
+    body = f'<w:tbl><w:tblPr><w:tblStyle w:val="T"/></w:tblPr><w:tr>{cell(plain)}</w:tr><w:tr>{cell(styled, own)}</w:tr></w:tbl>{plain}'
+    table, after = docx.extract(docx.write(body, {"word/styles.xml": f'<w:styles xmlns:w="{docx.MAIN}">{style}</w:styles>'}, rels))["body"]
+    one, two = (r["cells"][0] for r in table["rows"])
+    assert one["blocks"][0]["props"]["alignment"] == "center" and one["blocks"][0]["runs"][0]["format"]["b"] and two["blocks"][0]["props"]["alignment"] == "right"
+    assert after["props"]["alignment"] == "left" and "b" not in after["runs"][0]["format"]
+    assert one["borders"] == {"top": {"style": "single", "size": 4, "color": "auto"}, "bottom": {"style": "dotted", "size": 0, "color": "auto"}}
+    assert two["borders"] == {"top": {"style": "dotted", "size": 0, "color": "auto"}, "left": {"style": "double", "size": 0, "color": "FF0000"}}
+
+
+def test_levels_of_lists_indent_their_paragraphs():
+    numbering = '<w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:pPr><w:ind w:left="720" w:right="9"/></w:pPr></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num>'
+    parts = {"word/numbering.xml": f'<w:numbering xmlns:w="{docx.MAIN}">{numbering}</w:numbering>'}
+    p = '<w:p><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr><w:ind w:right="5"/></w:pPr></w:p>'
+    shown = docx.extract(docx.write(p, parts, '<Relationship Id="n" Type="x/numbering" Target="numbering.xml"/>'))["body"][0]["props"]["indent"]
+    assert (shown["left"], shown["right"]) == (720, 5)
