@@ -100,3 +100,11 @@ def guides(formulas: list[tuple[str, str]], width: int, height: int, adjust: dic
             except (KeyError, TypeError, OverflowError):
                 known[name] = 0.0
     return known
+
+
+def scaled(token: str, known: dict[str, float], by: float) -> int:
+    """A coordinate, a number or a guide's name, in the space of the shape."""
+    try:
+        return round((known[token] if token in known else float(token)) * by)
+    except ValueError:
+        return 0

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from folioscope.functions.drawing import modified
+from folioscope.functions.drawing import guides, modified, scaled
 from folioscope.models.docx import _replace_text
 from folioscope.models.xlsx import attr, chart, dump, kid, kids
 from folioscope.sources import opc
@@ -119,50 +119,128 @@ def geometry(x: ET.Element | None, space) -> dict | None:
     return {"x": round(cx - w / 2), "y": round(cy - h / 2), "cx": round(w), "cy": round(h), "rot": round((turn + (-own if mirrored else own)) % 21_600_000), "flipped": flipped}
 
 
-def theme_colors(deck: Deck, master: str | None) -> dict[str, str]:
-    scheme = kid(deck.xml(deck.target(master, "theme") if master else None), "themeElements", "clrScheme")
-    return {opc.local(c.tag): next((attr(v, "lastClr") or attr(v, "val") for v in c), "") for c in kids(scheme)}
-
-
 #: Names of the colour map's default.
 _MAPPED = {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2"}
 
 
-def color(e: ET.Element | None, colors: dict[str, str]) -> str | None:
-    """A colour as RGB, its modifiers applied in order; a name that no theme resolves stays a name."""
+def theme_colors(deck: Deck, master: str | None, *overrides: ET.Element | None) -> dict[str, str]:
+    """The theme's colours by their own names, and by the names that the master's map, or that of a layout or slide, gives them."""
+    scheme = kid(deck.xml(deck.target(master, "theme") if master else None), "themeElements", "clrScheme")
+    named = {opc.local(c.tag): next((attr(v, "lastClr") or attr(v, "val") for v in c), "") for c in kids(scheme)}
+    names = dict(_MAPPED)
+    for e in (kid(deck.xml(master), "clrMap"), *(kid(x, "clrMapOvr", "overrideClrMapping") for x in overrides)):
+        names |= e.attrib if e is not None else {}
+    return named | {k: named[v] for k, v in names.items() if v in named}
+
+
+def color(e: ET.Element | None, colors: dict[str, str], own: str | None = None) -> str | None:
+    """A colour as RGB, its modifiers applied in order; a name that no theme resolves stays a name.
+
+    ``own`` is what stands for the colour of the shape in a theme's format.
+    """
     for x in kids(e):
         name = opc.local(x.tag)
         if not name.endswith("Clr"):
             continue
-        value = attr(x, "val")
-        base = {"srgbClr": value.upper(), "schemeClr": colors.get(_MAPPED.get(value, value), value), "sysClr": attr(x, "lastClr") or value}.get(name, value)
-        steps = [(opc.local(m.tag), int(attr(m, "val", "0"))) for m in kids(x)]
+        value, steps = attr(x, "val"), [(opc.local(m.tag), int(attr(m, "val", "0"))) for m in kids(x)]
+        if value == "phClr" and own is not None:
+            if not steps:
+                return own
+            base = own[:6]
+        else:
+            base = {"srgbClr": value.upper(), "schemeClr": colors.get(value, value), "sysClr": attr(x, "lastClr") or value}.get(name, value)
         if re.fullmatch("[0-9A-Fa-f]{6}", base):
             return modified(base.upper(), steps)
         return base + "".join(f"|{n}={v}" for n, v in steps)
     return None
 
 
+def fill_of(x: ET.Element, colors: dict[str, str], own: str | None = None) -> dict | None:
+    """What a fill element paints; null for other elements."""
+    name = opc.local(x.tag)
+    if name == "noFill":
+        return {"kind": "none"}
+    if name == "solidFill":
+        return {"kind": "solid", "color": color(x, colors, own)}
+    if name == "gradFill":
+        turn = kid(x, "lin")
+        stops = [{"at": attr(g, "pos"), "color": color(g, colors, own)} for g in kids(kid(x, "gsLst"), "gs")]
+        return {"kind": "gradient", "stops": stops} | ({"linear": int(attr(turn, "ang", "0"))} if turn is not None else {}) | ({"path": attr(kid(x, "path"), "path")} if kid(x, "path") is not None else {})
+    if name == "pattFill":
+        return {"kind": name, "pattern": attr(x, "prst") or None, "fg": color(kid(x, "fgClr"), colors, own), "bg": color(kid(x, "bgClr"), colors, own)}
+    if name == "blipFill":
+        return {"kind": name, "mode": "tile" if kid(x, "tile") is not None else "stretch", "crop": [int(attr(kid(x, "srcRect"), k, "0")) for k in "ltrb"]}
+    return {"kind": name} if name == "grpFill" else None
+
+
 def fill(e: ET.Element | None, colors: dict[str, str]) -> dict | None:
-    for x in kids(e):
-        name = opc.local(x.tag)
-        if name == "noFill":
-            return {"kind": "none"}
-        if name == "solidFill":
-            return {"kind": "solid", "color": color(x, colors)}
-        if name == "gradFill":
-            return {"kind": "gradient", "stops": [{"at": attr(g, "pos"), "color": color(g, colors)} for g in kids(kid(x, "gsLst"), "gs")]}
-        if name in ("blipFill", "pattFill", "grpFill"):
-            return {"kind": name}
-    return None
+    return next((f for x in kids(e) if (f := fill_of(x, colors)) is not None), None)
+
+
+def outline(e: ET.Element | None, box: dict | None) -> list[dict] | None:
+    """The paths of a geometry of its own, in units of the shape: commands with their points, arcs with radii and angles."""
+    if e is None or box is None:
+        return None
+    known = guides([(attr(g, "name"), attr(g, "fmla")) for n in ("avLst", "gdLst") for g in kids(kid(e, n), "gd")], box["cx"], box["cy"])
+    out = []
+    for path in kids(kid(e, "pathLst"), "path"):
+        own = [int(attr(path, k, "0")) for k in ("w", "h")]
+        sx, sy = (size / n if n else 1.0 for size, n in zip((box["cx"], box["cy"]), own))
+        steps = []
+        for x in kids(path):
+            step: dict = {"do": opc.local(x.tag)}
+            if points := [{"x": scaled(attr(p, "x"), known, sx), "y": scaled(attr(p, "y"), known, sy)} for p in kids(x, "pt")]:
+                step["points"] = points
+            step |= {k: scaled(attr(x, k), known, {"wR": sx, "hR": sy}.get(k, 1.0)) for k in ("wR", "hR", "stAng", "swAng") if attr(x, k)}
+            steps.append(step)
+        out.append({"steps": steps} | {k: attr(path, k) for k in ("fill", "stroke") if attr(path, k)})
+    return out
+
+
+class Theme:
+    """The formats of a theme that shapes refer to by number, one for each weight: 0 is none, and backgrounds follow 1000."""
+
+    def __init__(self, root: ET.Element | None, colors: dict[str, str]):
+        lists = kid(root, "themeElements", "fmtScheme")
+        self.colors = colors
+        self.fills, self.lines, self.backs = (kids(kid(lists, n)) for n in ("fillStyleLst", "lnStyleLst", "bgFillStyleLst"))
+
+    def _at(self, rows: list[ET.Element], ref: ET.Element | None, base: int = 0) -> ET.Element | None:
+        n = int(attr(ref, "idx", "0")) - base if attr(ref, "idx", "0").isdigit() else 0
+        return rows[n - 1] if 0 < n <= len(rows) else None
+
+    def fill(self, ref: ET.Element | None) -> dict | None:
+        if ref is None:
+            return None
+        back = attr(ref, "idx", "0").isdigit() and int(attr(ref, "idx", "0")) > 1000
+        found = self._at(self.backs, ref, 1000) if back else self._at(self.fills, ref)
+        return {"kind": "none"} if found is None else fill_of(found, self.colors, color(ref, self.colors))
+
+    def line(self, ref: ET.Element | None) -> tuple[ET.Element | None, str | None]:
+        """The line element that a reference names, and the colour that it is drawn in."""
+        return self._at(self.lines, ref), color(ref, self.colors)
+
+
+def line_of(layers: list[tuple[ET.Element | None, str | None]], colors: dict[str, str]) -> dict | None:
+    """Each property of a line from the first of its layers (element, own colour) that has it; without a layer there is no line."""
+    some = [(e, own) for e, own in layers if e is not None]
+    if not some:
+        return None
+    drawn = next((f for e, own in some for x in kids(e) if (f := fill_of(x, colors, own)) is not None), None)
+    if not drawn or drawn["kind"] == "none":
+        return {"fill": drawn}
+    first = lambda get: next((v for e, _ in some if (v := get(e))), None)
+    ends = {k: t for k in ("headEnd", "tailEnd") if (t := first(lambda e: attr(kid(e, k), "type"))) and t != "none"}  # noqa: B023
+    return {"fill": drawn, "width": int(first(lambda e: attr(e, "w")) or "9525"), "dash": first(lambda e: attr(kid(e, "prstDash"), "val")) or "solid"} | ends
 
 
 def run_format(deck: Deck, run: ET.Element, level: int, sources: list[ET.Element | None], colors: dict[str, str]) -> dict:
-    """Each property from the first of: the run, the paragraph's level in the shape, its layout, its master, and the master's text styles."""
+    """Each property from the first of: the run, the paragraph's level in the shape, its layout, its master, the master's text styles, and the presentation's."""
     layers = [kid(run, "rPr")]
     for s in sources:
         for owner in (kid(s, "txBody", "lstStyle"), s if s is not None and opc.local(s.tag).endswith("Style") else None):
             layers.append(kid(owner, f"lvl{level + 1}pPr", "defRPr"))
+    layers.append(kid(deck.root, "defaultTextStyle", f"lvl{level + 1}pPr", "defRPr"))
     first = lambda name: next((x.get(name) for x in layers if x is not None and x.get(name) is not None), None)
     on = lambda name: first(name) in ("1", "true")
     face = next((attr(f, "typeface") for x in layers if (f := kid(x, "latin")) is not None), None)
@@ -229,7 +307,8 @@ class Slide:
         self.layout = deck.target(part, "slideLayout")
         self.master = deck.target(self.layout, "slideMaster") if self.layout else None
         self.layers = [deck.xml(self.layout), deck.xml(self.master)]
-        self.colors = theme_colors(deck, self.master)
+        self.colors = theme_colors(deck, self.master, self.layers[0], deck.xml(part))
+        self.theme = Theme(deck.xml(deck.target(self.master, "theme") if self.master else None), self.colors)
         self.links: list[dict] = []
         self.media: dict[str, str] = {}
 
@@ -245,13 +324,18 @@ class Slide:
         out: dict = {
             "kind": kind, "name": attr(info, "name"), "hidden": attr(info, "hidden") in ("1", "true"), "alt_text": attr(info, "descr") or None,
             "placeholder": {"type": ph.get("type", "obj"), "idx": ph.get("idx")} if ph is not None else None,
-            "geometry": None if kind == "grpSp" else geometry(x, space), "preset": attr(kid(props, "prstGeom"), "prst") or None,
-            "fill": fill(props, self.colors) or next((f for s in above if (f := fill(kid(s, "spPr"), self.colors))), None),
+            "geometry": None if kind == "grpSp" else geometry(x, space), "preset": None,
+            "fill": fill(props, self.colors) or next((f for s in above if (f := fill(kid(s, "spPr"), self.colors))), None) or self.theme.fill(kid(e, "style", "fillRef")),
         }
-        line = kid(props, "ln")
+        shaped = kid(props, "prstGeom")
+        if shaped is not None:
+            moved = {attr(g, "name"): attr(g, "fmla").removeprefix("val ") for g in kids(kid(shaped, "avLst"), "gd")}
+            out["preset"] = {"name": attr(shaped, "prst"), "adjusted": moved} if moved else attr(shaped, "prst")
+        else:
+            out["preset"] = outline(kid(props, "custGeom"), out["geometry"])
+        line = line_of([(kid(props, "ln"), None), *((kid(s, "spPr", "ln"), None) for s in above), self.theme.line(kid(e, "style", "lnRef"))], self.colors)
         if line is not None:
-            drawn = fill(line, self.colors)
-            out["line"] = {"fill": drawn} if not drawn or drawn["kind"] == "none" else {"fill": drawn, "width": int(attr(line, "w", "9525")), "dash": attr(kid(line, "prstDash"), "val", "solid")}
+            out["line"] = line
         if kid(e, "txBody") is not None:
             role = (ph.get("type", "obj") if ph is not None else "other").lower()
             style = kid(self.layers[1], "txStyles", "titleStyle" if "title" in role and role != "subtitle" else "bodyStyle" if ph is not None else "otherStyle")
@@ -297,7 +381,7 @@ class Slide:
         layout, master = self.layers
         return {
             "hidden": attr(root, "show", "1") in ("0", "false"), "layout": attr(kid(layout, "cSld"), "name") or None, "master": self.deck.rels.get(self.master or "", {}) and attr(kid(master, "cSld"), "name") or None,
-            "background": fill(kid(root, "cSld", "bg", "bgPr"), self.colors), "shapes": shapes, "hyperlinks": self.links, "notes": text or None,
+            "background": next((f for x in (root, *self.layers) if (f := fill(kid(x, "cSld", "bg", "bgPr"), self.colors) or self.theme.fill(kid(x, "cSld", "bg", "bgRef")))), None), "shapes": shapes, "hyperlinks": self.links, "notes": text or None,
             "comments": [{"text": "".join(t.text or "" for t in c.iter() if opc.local(t.tag) in ("text", "t"))} for t in deck.targets(self.part, "comments") for c in kids(deck.xml(t), "cm")],
             "transition": {"effect": opc.local(effect.tag), "speed": attr(transition, "spd", "fast")} if effect is not None else None, "animation": moves or None, "media": sorted(self.media.items()),
         }

@@ -353,3 +353,62 @@ def test_levels_of_lists_indent_their_paragraphs():
     p = '<w:p><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr><w:ind w:right="5"/></w:pPr></w:p>'
     shown = docx.extract(docx.write(p, parts, '<Relationship Id="n" Type="x/numbering" Target="numbering.xml"/>'))["body"][0]["props"]["indent"]
     assert (shown["left"], shown["right"]) == (720, 5)
+
+
+def themed(shapes, layout="", master="", theme="", presentation=""):
+    """A presentation's only slide, with a layout, a master and a theme."""
+    made = opc.read_package(pptx.write([shapes]))
+    parts = {made.members[k]: v for k, v in made.parts.items()}
+    ns = f'xmlns:p="{pptx.P}" xmlns:a="{pptx.A}"'
+    rels = lambda kind, target: f'<Relationships><Relationship Id="r0" Type="x/{kind}" Target="{target}"/></Relationships>'
+    tree = lambda body: f"<p:cSld><p:spTree>{body}</p:spTree></p:cSld>"
+    scheme = "".join(f'<a:{k}><a:srgbClr val="{v}"/></a:{k}>' for k, v in {"dk1": "101010", "lt1": "F0F0F0", "accent1": "336699"}.items())
+    parts |= {
+        "ppt/slides/_rels/slide1.xml.rels": rels("slideLayout", "../l.xml"), "ppt/l.xml": f"<p:sldLayout {ns}>{tree(layout)}</p:sldLayout>", "ppt/_rels/l.xml.rels": rels("slideMaster", "m.xml"),
+        "ppt/m.xml": f'<p:sldMaster {ns}>{tree(master)}<p:clrMap bg1="dk1" tx1="lt1"/></p:sldMaster>', "ppt/_rels/m.xml.rels": rels("theme", "t.xml"),
+        "ppt/t.xml": f"<a:theme {ns}><a:themeElements><a:clrScheme>{scheme}</a:clrScheme>{theme}</a:themeElements></a:theme>",
+    }
+    parts["ppt/presentation.xml"] = parts["ppt/presentation.xml"].replace(b"<p:sldSz", presentation.encode() + b"<p:sldSz")
+    return pptx.extract(opc.write_package(parts))["slides"][0]
+
+
+_OWN = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>'
+FORMATS = (
+    f'<a:fmtScheme><a:fillStyleLst>{_OWN}<a:solidFill><a:schemeClr val="phClr"><a:shade val="50000"/></a:schemeClr></a:solidFill></a:fillStyleLst>'
+    f'<a:lnStyleLst><a:ln w="6350">{_OWN}<a:prstDash val="dot"/></a:ln></a:lnStyleLst><a:bgFillStyleLst>{_OWN}</a:bgFillStyleLst></a:fmtScheme>'
+)
+
+
+def styled_shape(style="", own=""):
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="x"/></p:nvSpPr><p:spPr>{own}</p:spPr><p:style>{style}</p:style><p:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></p:txBody></p:sp>'
+
+
+def test_shapes_take_the_themes_formats():
+    ref = lambda kind, n, name="accent1": f'<a:{kind} idx="{n}"><a:schemeClr val="{name}"/></a:{kind}>'
+    shape = lambda style, own="": themed(styled_shape(style, own), theme=FORMATS)["shapes"][0]
+    assert shape(ref("fillRef", 1))["fill"] == {"kind": "solid", "color": "336699"} and shape(ref("fillRef", 0))["fill"] == {"kind": "none"}
+    assert shape(ref("fillRef", 2))["fill"]["color"].endswith("~") and shape(ref("fillRef", 1, "bg1"))["fill"]["color"] == "101010"
+    assert shape(ref("fillRef", 1001))["fill"] == {"kind": "solid", "color": "336699"} and shape(ref("fillRef", 1), "<a:noFill/>")["fill"] == {"kind": "none"}
+    assert shape(ref("lnRef", 1))["line"] == {"fill": {"kind": "solid", "color": "336699"}, "width": 6350, "dash": "dot"}
+    assert shape(ref("lnRef", 1), '<a:ln w="100"><a:tailEnd type="arrow"/></a:ln>')["line"] == {"fill": {"kind": "solid", "color": "336699"}, "width": 100, "dash": "dot", "tailEnd": "arrow"}
+    assert "line" not in shape("")
+
+
+def test_placeholders_inherit_lines_and_texts_the_presentations_size():
+    ph = '<p:nvPr><p:ph type="body" idx="1"/></p:nvPr>'
+    own = f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="x"/>{ph}</p:nvSpPr><p:spPr/><p:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></p:txBody></p:sp>'
+    layout = f'<p:sp><p:nvSpPr><p:cNvPr id="3" name="y"/>{ph}</p:nvSpPr><p:spPr><a:ln w="7"><a:solidFill><a:schemeClr val="tx1"/></a:solidFill></a:ln></p:spPr></p:sp>'
+    slide = themed(own, layout, presentation='<p:defaultTextStyle><a:lvl1pPr><a:defRPr sz="2400"/></a:lvl1pPr></p:defaultTextStyle>')
+    assert slide["shapes"][0]["line"] == {"fill": {"kind": "solid", "color": "F0F0F0"}, "width": 7, "dash": "solid"}
+    assert slide["shapes"][0]["paragraphs"][0]["runs"][0]["format"]["size"] == 2400
+
+
+def test_outlines_are_in_units_of_the_shape():
+    paths = '<a:path w="100" h="50"><a:moveTo><a:pt x="0" y="mid"/></a:moveTo><a:lnTo><a:pt x="100" y="50"/></a:lnTo><a:arcTo wR="10" hR="5" stAng="0" swAng="cd4"/><a:close/></a:path>'
+    geometry = f'<a:xfrm><a:off x="0" y="0"/><a:ext cx="1000" cy="2000"/></a:xfrm><a:custGeom><a:gdLst><a:gd name="mid" fmla="*/ 50 1 2"/></a:gdLst><a:pathLst>{paths}</a:pathLst></a:custGeom>'
+    (path,) = themed(styled_shape(own=geometry))["shapes"][0]["preset"]
+    assert [s["do"] for s in path["steps"]] == ["moveTo", "lnTo", "arcTo", "close"]
+    assert path["steps"][0]["points"] == [{"x": 0, "y": 1000}] and path["steps"][1]["points"] == [{"x": 1000, "y": 2000}]
+    assert path["steps"][2] == {"do": "arcTo", "wR": 100, "hR": 200, "stAng": 0, "swAng": 5400000}
+    preset = lambda av="": themed(styled_shape(own=f'<a:prstGeom prst="roundRect"><a:avLst>{av}</a:avLst></a:prstGeom>'))["shapes"][0]["preset"]
+    assert preset() == "roundRect" and preset('<a:gd name="adj" fmla="val 9"/>') == {"name": "roundRect", "adjusted": {"adj": "9"}}
