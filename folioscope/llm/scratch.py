@@ -85,5 +85,5 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             _remove(spark, path)
-        except Exception:  # the session has ended
-            return
+        except Exception:  # this session has ended; another may not have
+            continue

@@ -100,6 +100,13 @@ def test_compiled_rules_equal_the_fitted_ones(spark):
     assert np.allclose(got, want)
 
 
+def test_columns_with_names_of_the_ensemble(spark, docs):
+    frame = docs([(1, "A b. C"), (2, None)]).withColumn("_statistics", F.lit("own")).withColumn("log_words", F.lit("own")).withColumn("score", F.lit("own"))
+    model = (0.5, [((("log_words", True, 0.1),), 1.0)])
+    rows = {r.doc_id: r for r in quality.scores(frame, model).collect()}
+    assert round(rows[1].score, 6) == round(1 / (1 + math.exp(-1.5)), 6) and round(rows[2].score, 6) == round(1 / (1 + math.exp(-0.5)), 6) and rows[1].log_words == "own"
+
+
 def test_quality_with_one_kind_of_label(spark, docs, tables):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "doc_id long, toxic int, quality int")
     out = quality.query(spark, tables(documents=docs([(1, "a"), (2, None)]), labels=labels))

@@ -168,6 +168,15 @@ def test_hit_words_are_cut_out(spark, docs):
     assert out == {1: "Before. After", 3: "clean text", 4: None}
 
 
+def test_columns_with_names_of_the_operator_stay(spark, docs):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    frame = docs([(1, "Before: one two three four five six seven eight. After"), (2, "clean")])
+    for name in ("spans", "contaminated", "hit_id", "doc_hash", "n", "pos"):
+        frame = frame.withColumn(name, F.lit("own"))
+    out = decontaminate.clean(frame, items)
+    assert out.columns == frame.columns and {(r.doc_id, r.text, r.spans, r.n, r.doc_hash) for r in out.collect()} == {(1, "Before. After", "own", "own", "own"), (2, "clean", "own", "own", "own")}
+
+
 def test_proximity(spark, docs):
     windows = spark.createDataFrame([(1, ["red", "fox", "runs"])], "window_id long, window array<string>")
     texts = docs([(1, "red fox x x runs x"), (2, "fox runs x x x x x x x x x red fox"), (3, "red fox runs"), (4, "red x x x x x runs fox"), (5, "fox runs red red fox runs")])
@@ -219,5 +228,6 @@ def test_urls_with_equal_and_no_rules(spark):
 def test_no_python_in_native_plans(spark, docs):
     out = line_dedup.line_dedup(docs(LINES))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for df in (out, decontaminate.decontaminate(docs(TEXTS), items)):
+    urls = url_filter.url_verdicts(spark.createDataFrame(URLS, "page_id long, url string"), url_filter.rule_table(spark, url_filter.RULES))
+    for df in (out, decontaminate.decontaminate(docs(TEXTS), items), urls):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
