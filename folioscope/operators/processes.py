@@ -12,6 +12,7 @@ import base64
 import json
 import os
 import selectors
+import shutil
 import signal
 import subprocess
 import tempfile
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from folioscope.sources import packages
 
-_RUNS = "pkg string, format string, opened boolean, saved boolean, output binary, error string, elapsed_ms double"
+_RUNS = "pkg string, format string, opened boolean, saved boolean, output binary, phase string, error string, elapsed_ms double"
 
 
 def _kill(child: subprocess.Popen) -> None:
@@ -99,6 +100,17 @@ class Session:
         return events, base64.b64decode(output) if output else None, error
 
 
+def prepared(programs: dict[str, list[str]]) -> dict[str, str | None]:
+    """Why each program can't run here; null if it can.  A program that is missing stops none of the others."""
+    out: dict[str, str | None] = {}
+    for name, command in programs.items():
+        try:
+            out[name] = None if command and shutil.which(command[0]) else f"{' '.join(command[:1]) or 'no command'}: not found"
+        except OSError as e:
+            out[name] = f"{type(e).__name__}: {e}"
+    return out
+
+
 def run_program(todo: DataFrame, command: list[str], timeout: float = 120.0, warm: bool = False) -> DataFrame:
     """The runs of a program on ``todo`` (pkg, format, content, target), a child per task at a time."""
 
@@ -112,7 +124,9 @@ def run_program(todo: DataFrame, command: list[str], timeout: float = 120.0, war
                     took = round((time.perf_counter() - began) * 1000, 3)
                     names = {e.get("event") for e in events}
                     saved = "saved" in names and bool(output) and error != "timeout"
-                    yield packages.batch_of(_RUNS, [(pkg, kind, "opened" in names, saved, output, error, took)])
+                    told = next((e.get("phase") for e in events if e.get("event") == "error"), None)
+                    phase = "timeout" if error == "timeout" else None if saved else told or ("save" if "opened" in names else "open")
+                    yield packages.batch_of(_RUNS, [(pkg, kind, "opened" in names, saved, output, phase, error, took)])
         finally:
             if session is not None:
                 session.close()

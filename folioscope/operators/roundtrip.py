@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import clip
 from folioscope.models import FEATURES, compare, docx, model_leaves, pptx, xlsx
-from folioscope.operators import scoring
+from folioscope.operators import processes, scoring
 from folioscope.sources import opc, packages, pairing
 from folioscope.sources.scratch import written
 
@@ -255,18 +255,33 @@ def model_differences(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class Trial:
-    """The tables of a round trip: edits, runs and their scores, each written once."""
+    """The tables of a round trip: edits, runs and their scores, each written once.
+
+    ``programs`` are adapters that are programs, by name, killed after ``timeout`` seconds for a
+    file; those that this place lacks are in ``unavailable`` with the reason, and run nothing.
+    """
 
     files: DataFrame
     names: list[str]
+    programs: dict[str, list[str]] = field(default_factory=dict)
+    timeout: float = 120.0
+    unavailable: dict[str, str] = field(init=False)
     edits: DataFrame = field(init=False)
     scores: DataFrame = field(init=False)
 
     def __post_init__(self):
         files, self.names = self.files, chosen(self.names)
+        self.unavailable = {n: why for n, why in processes.prepared(self.programs).items() if why}
         self.edits = written(targets(files), "targets")
-        runs = written(run_adapters(files, self.edits, self.names), "runs")
-        self.scores = written(scores(files, self.edits, runs), "scores")
+        runs = run_adapters(files, self.edits, self.names)
+        todo = files.select(F.col("pkg").cast("string").alias("pkg"), "format", "content").join(self.edits.where("target IS NOT NULL").select("pkg", "target"), "pkg")
+        for name, command in self.programs.items():
+            if name not in self.unavailable:
+                self.names.append(name)
+                edit = todo.withColumn("target", F.to_json(F.struct(F.col("target").alias("place"), F.lit(MARKER).alias("text"))))
+                found = processes.run_program(edit, command, self.timeout)
+                runs = runs.unionByName(found.withColumn("adapter", F.lit(name)))
+        self.scores = written(scores(files, self.edits, written(runs, "runs")), "scores")
 
     def differences(self) -> DataFrame:
         """adapter, pkg, feature, path, kind, before, after."""

@@ -100,3 +100,12 @@ def manifest(files: DataFrame, meta: dict) -> str:
     """A manifest document of a selection, whose rows are a few hundred by its quotas."""
     rows = [r.asDict(recursive=True) for r in files.orderBy("path").collect()]
     return json.dumps(meta | {"count": len(rows), "files": rows}, indent=2, ensure_ascii=False)
+
+
+def notices(files: DataFrame, sources: DataFrame) -> str:
+    """A text with a section for each source that a file comes from: its address, license and number of files.
+
+    Sources (id, url, license) are a configuration of a few dozen rows.
+    """
+    used = files.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("files")).join(sources, "id").orderBy("id").collect()
+    return "\n".join(f"{r['id']}\n  {r['url']}\n  license: {r['license'] or 'unknown'}\n  files: {r['files']}\n" for r in used)

@@ -85,3 +85,24 @@ def test_guides():
 def test_guides_without_a_definition_are_zero():
     out = drawing.guides([("x", "+- nowhere 5 0"), ("y", "odd 1 2"), ("z", "+- wd16 hd16 ssd12")], 160, 320)
     assert (out["x"], out["y"]) == (5, 0) and out["z"] == 10 + 20 - 160 / 12
+
+
+def test_programs_as_adapters(tmp_path, spark):
+    copy, slow = tmp_path / "copy.py", tmp_path / "slow.py"
+    copy.write_text('import json, shutil, sys\nprint(json.dumps({"event": "opened"}))\nshutil.copy(sys.argv[1], sys.argv[2])\nprint(json.dumps({"event": "saved"}))')
+    slow.write_text('import json, time\nprint(json.dumps({"event": "opened"}), flush=True)\ntime.sleep(60)')
+    files = spark.createDataFrame([("p", "xlsx", bytearray(xlsx.write({"S": []})))], "pkg string, format string, content binary")
+    trial = roundtrip.Trial(files, ["patch"], {"copy": [sys.executable, str(copy)], "slow": [sys.executable, str(slow)], "gone": ["/no/such/program"]}, 3)
+    rows = {r.adapter: (r.outcome, r.reason) for r in roundtrip.results(trial).collect()}
+    assert rows == {"patch": ("success", None), "copy": ("failure", "failed: edit-applied, content-preserved"), "slow": ("timeout", "the adapter took too long")}
+    assert trial.unavailable == {"gone": "/no/such/program: not found"}
+    summary = {r.adapter: (r.success, r.failure, r.timeout) for r in roundtrip.summary(trial).collect()}
+    assert summary == {"patch": (1, 0, 0), "copy": (0, 1, 0), "slow": (0, 0, 1)}
+
+
+def test_notices(spark):
+    from folioscope.sources import corpus
+
+    files = spark.createDataFrame([("b",), ("a",), ("b",)], "source string")
+    sources = spark.createDataFrame([("a", "http://a", "MIT"), ("b", "http://b", None), ("c", "http://c", "X")], "id string, url string, license string")
+    assert corpus.notices(files, sources) == "a\n  http://a\n  license: MIT\n  files: 1\n\nb\n  http://b\n  license: unknown\n  files: 2\n"
