@@ -107,7 +107,7 @@ def lasso(r: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float, steps: i
     """
     share = n / n.sum()
     m = r.shape[1]
-    rate = 4.0 / (np.linalg.norm(r * np.sqrt(share)[:, None], 2) ** 2 + 1)
+    rate = 4.0 / (np.linalg.eigvalsh(r.T @ (r * share[:, None]))[-1] + 1)
     p = float(np.clip(share @ y, 1e-3, 1 - 1e-3))
     w, bias = np.zeros(m), float(np.log(p / (1 - p)))
     v, vb, t = w, bias, 1.0
@@ -123,13 +123,9 @@ def lasso(r: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float, steps: i
 
 
 def alike(r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows of ``r``, the mean of y of each, and how many there are of each."""
-    rows, of, n = np.unique(r, axis=0, return_inverse=True, return_counts=True)
-    return rows.astype(np.float64), np.bincount(of.ravel(), y, len(rows)) / n, n.astype(float)
-
-
-def _losses(bias: float, w: np.ndarray, r: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, np.where(y > 0, -1, 1) * (r @ w + bias))
+    """The distinct rows of ``r`` (of truth values), the mean of y of each, and how many there are of each."""
+    _, first, of, n = np.unique(np.packbits(r, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return r[first].astype(np.float64), np.bincount(of.ravel(), y, len(first)) / n, n.astype(float)
 
 
 def penalty(r: np.ndarray, y: np.ndarray) -> float:
@@ -137,10 +133,14 @@ def penalty(r: np.ndarray, y: np.ndarray) -> float:
     aside = np.arange(len(y)) % 4 == 3
     if not aside.any() or len(set(y[~aside])) < 2:
         return LASSO[0]
-    own, tried = alike(r[~aside], y[~aside]), []
+    own, (rows, mean, n), tried = alike(r[~aside], y[~aside]), alike(r[aside], y[aside]), []
     for strength in LASSO:
-        loss = _losses(*lasso(*own, strength), r[aside], y[aside])
-        tried.append((loss.mean(), loss.std() / np.sqrt(len(loss))))
+        bias, w = lasso(*own, strength)
+        total = rows @ w + bias
+        ones, zeros = np.logaddexp(0, -total), np.logaddexp(0, total)
+        loss = float(n @ (mean * ones + (1 - mean) * zeros) / n.sum())
+        spread = float(n @ (mean * ones**2 + (1 - mean) * zeros**2) / n.sum()) - loss**2
+        tried.append((loss, np.sqrt(max(spread, 0.0) / n.sum())))
     least = min(tried)
     return max(strength for strength, (loss, _) in zip(LASSO, tried) if loss <= least[0] + least[1])
 
