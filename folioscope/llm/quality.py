@@ -7,8 +7,8 @@ loss on a quarter that it was not fitted on is within a standard error of the le
 are compiled into one Spark column expression, so whole texts are scored within the scan,
 without Python.
 
-The sample is at most ``SAMPLE`` labelled documents, chosen by a hash of their id; only their
-statistics come to the driver.
+The sample is at most ``SAMPLE`` labelled documents, chosen by a hash of their id.  The rules
+are fitted on its statistics in one task; only the weighted rules come to the driver.
 
 Defined cases: null texts count as empty, and empty texts have all statistics 0 and get the
 score that the rules give to those; repeated rows get equal scores; a null doc_id is in fold
@@ -20,6 +20,7 @@ read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,13 +181,34 @@ def compiled(bias: float, rules: list[tuple[Rule, float]], prefix: str = "s_") -
     return 1 / (1 + F.exp(-total))
 
 
+#: A row of the fitted model for each test of each rule, and one without a name for the bias.
+MODEL = "rule int, weight double, nth int, name string, above boolean, at double"
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    names = [c for c in table.column_names if c not in {"mark", "label"}]
+    table = table.sort_by([(c, "ascending") for c in ("mark", *names, "label")])
+    x = np.stack([table.column(c).to_numpy() for c in names], axis=1)
+    bias, rules = fit(x, table.column("label").to_numpy().astype(float), names)
+    rows = [(-1, bias, 0, None, None, None)] + [(i, w, k, *test) for i, (rule, w) in enumerate(rules) for k, test in enumerate(rule)]
+    kinds = (pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.bool_(), pa.float64())
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], [c.split()[0] for c in MODEL.split(", ")])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list[tuple[Rule, float]]]:
     """Bias and weighted rules learnt from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     chosen = cut(label_sample(labels, "quality", FOLDS, HELD_OUT, sample), "sample")
     rows = docs.join(small(chosen, 16), "doc_id").select("doc_id", "label", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
     names = [c for c in rows.columns if c not in {"doc_id", "label"}]
-    rows = cut(rows.dropDuplicates(), "statistics").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample).toPandas()
-    return fit(rows[names].to_numpy(float), rows["label"].to_numpy(float), names)
+    rows = cut(rows.dropDuplicates(), "statistics").withColumn("mark", F.xxhash64("doc_id")).orderBy("mark", "doc_id", *names).limit(sample)
+    found = rows.select("mark", "label", *names).groupBy(F.lit(1).alias("one")).applyInArrow(_fit, MODEL).collect()
+    if not found:  # nothing to learn from
+        return fit(np.zeros((0, len(names))), np.zeros(0), names)
+    weights, tests = {}, {}
+    for r in sorted(found, key=lambda r: (r.rule, r.nth)):
+        weights[r.rule] = r.weight
+        tests.setdefault(r.rule, []).append((r.name, r.above, r.at))
+    return weights[-1], [(tuple(tests[i]), w) for i, w in weights.items() if i >= 0]
 
 
 def scores(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]]) -> DataFrame:

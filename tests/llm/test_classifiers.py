@@ -87,6 +87,28 @@ def test_quality_on_held_out_documents(spark, docs, tables):
     assert by[9001] == by[9002] and all(0 <= s <= 1 for s in by.values())
 
 
+def test_quality_is_fitted_in_a_task(spark, docs, monkeypatch):
+    pairs = [(i, junk(i) if i % 5 == 0 else prose(RNG.randrange(20, 80))) for i in range(400)] + [(7, "a second text of an id"), (9, None), (9, "")]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(400)], "doc_id long, quality int")
+    stats = quality.statistics(F.col("text"))
+    learnt = docs(pairs).join(labels, "doc_id").where(labelled.fold(F.col("doc_id"), quality.FOLDS) != quality.HELD_OUT)
+    learnt = learnt.select(F.xxhash64("doc_id"), "doc_id", *stats.values(), F.col("quality")).distinct().collect()
+    rows = np.array([list(r)[2:] for r in sorted(map(tuple, learnt))], float)
+    want = quality.fit(rows[:, :-1], rows[:, -1], list(stats))
+
+    def here(*_):
+        raise AssertionError("the driver fits the rules")
+
+    monkeypatch.setattr(quality, "fit", here)
+    monkeypatch.setattr(type(labels), "toPandas", here)
+    assert quality.train(docs(pairs), labels) == want and want[1]
+
+
+def test_quality_without_labels(spark, docs, tables):
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert [r.score for r in quality.query(spark, tables(documents=docs([(1, "a"), (2, None)]), labels=none)).collect()] == [0.5, 0.5]
+
+
 def test_compiled_rules_equal_the_fitted_ones(spark):
     rng = np.random.default_rng(2)
     x = rng.random((400, 3))
